@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from logoscope.llm import exact_dedup, kd_shards
+from logoscope.llm import bpe, exact_dedup, kd_shards, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -47,3 +48,16 @@ def op2_kd_tree_shards(spark, sf_dir):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op1_token_tables")
+def op1_token_tables(spark, sf_dir):
+    """All documents as token ids in sorted-string tables, read back."""
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_shards.round_trip(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
+@query("op5_segment_tree_bpe")
+def op5_segment_tree_bpe(spark, sf_dir):
+    """Byte-level BPE of all documents, there and back."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
