@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logoscope.llm import bpe, exact_dedup, kd_shards, token_shards
+from logoscope.llm import bpe, exact_dedup, kd_shards, language_id, quality, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -61,3 +61,24 @@ def op1_token_tables(spark, sf_dir):
 def op5_segment_tree_bpe(spark, sf_dir):
     """Byte-level BPE of all documents, there and back."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def id_remainder(n):
+    """crc32 of the identifier as text, modulo ``n``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query("op4_string_kernel_language")
+def op4_string_kernel_language(spark, sf_dir):
+    """Language of all documents; a fifth of them is held out of the fit."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, docs.where(id_remainder(5) != 0))
+    return found.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_fourier_quality")
+def op10_fourier_quality(spark, sf_dir):
+    """Quality of all documents; labels of a quarter of them are held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.quality_scores(docs, labels.where(id_remainder(4) != 2))
+    return found.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
