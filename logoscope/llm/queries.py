@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logoscope.llm import bpe, exact_dedup, kd_shards, language_id, quality, token_shards
+from logoscope.llm import bpe, exact_dedup, kd_shards, language_id, multi_index, quality, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,3 +82,9 @@ def op10_fourier_quality(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.quality_scores(docs, labels.where(id_remainder(4) != 2))
     return found.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op7_multi_index")
+def op7_multi_index(spark, sf_dir):
+    """Near-duplicates among all embeddings."""
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
