@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logoscope.llm import bpe, exact_dedup, kd_shards, language_id, multi_index, quality, token_shards
+from logoscope.llm import bpe, exact_dedup, kd_shards, language_id, multi_index, pii, quality, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -88,3 +88,9 @@ def op10_fourier_quality(spark, sf_dir):
 def op7_multi_index(spark, sf_dir):
     """Near-duplicates among all embeddings."""
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+@query("op8_information_theoretic_pii")
+def op8_information_theoretic_pii(spark, sf_dir):
+    """Personal data and disclosing terms of all documents."""
+    return pii.report(table(spark, sf_dir, "documents"))
