@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logoscope.llm import bpe, exact_dedup, kd_shards, language_id, multi_index, pii, quality, token_shards
+from logoscope.llm import bpe, exact_dedup, jaccard_join, kd_shards, language_id, multi_index, pii, quality, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -94,3 +94,9 @@ def op7_multi_index(spark, sf_dir):
 def op8_information_theoretic_pii(spark, sf_dir):
     """Personal data and disclosing terms of all documents."""
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_signature_tree_join")
+def op9_signature_tree_join(spark, sf_dir):
+    """Groups of near copies among all documents."""
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
