@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logoscope.llm import bpe, exact_dedup, jaccard_join, kd_shards, language_id, multi_index, pii, quality, token_shards
+from logoscope.llm import bpe, exact_dedup, jaccard_join, kd_shards, language_id, multi_index, packing, pii, quality, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -100,3 +100,9 @@ def op8_information_theoretic_pii(spark, sf_dir):
 def op9_signature_tree_join(spark, sf_dir):
     """Groups of near copies among all documents."""
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark, sf_dir):
+    """All documents, as bytes with an end token, in sequences of four permitted lengths."""
+    return packing.pack(table(spark, sf_dir, "documents"), packing.byte_tokens())
