@@ -2,4 +2,5 @@
 
 from __future__ import annotations
 
+from logoscope.plans import texts  # noqa: F401
 from logoscope.plans.registry import ORACLES, QUERIES  # noqa: F401
