@@ -2,15 +2,17 @@
 
 1. Each text becomes a set of shingle hashes; equal sets are one class from then on.
 2. Prefix filter: two sets of similarity t share one of their first n - ceil(t n) + 1 members in any common order. The
-   order is by rarity of a shingle's words, so that texts that are not near each other hardly meet. Sets that share a
-   prefix member are chained to the least of them, and components of these chains are candidate groups: no link leaves
-   one.
+   order is by rarity of a shingle's words, so that texts that are not near each other hardly meet. Sets of similar size
+   that share a prefix member are chained to the least of them, and components of these chains are candidate groups: no
+   link leaves one.
 3. In each candidate group a signature tree finds the links. A large group is cut into chunks, which pivots tie
    together; what the pivots do not tie is compared with every chunk, so nothing is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logoscope.llm.components import components
-from logoscope.llm.shared import written
+from logoscope.llm.shared import discard, new_path, written
 from logoscope.llm.signature_tree import forest, mixed, shingles, word_hashes
 
 #: Texts whose words are counted for the order of rarity at most (a bounded sample by hash; any order gives whole
@@ -62,16 +64,19 @@ def sketched(rows: DataFrame, order: np.ndarray, k: int, num: int, den: int) ->
                 words = word_hashes(t.as_py() or "")
                 places = shingles(words, k)
                 rare = order[(words % np.uint64(ORDER_CELLS)).astype(np.int64)].astype(np.uint64)
-                weight = np.zeros(len(places), np.uint64)
+                least, total = np.full(len(places), np.uint64(255)), np.zeros(len(places), np.uint64)
                 for j in range(min(k, len(words))):
-                    weight += rare[j : j + len(places)]
+                    least = np.minimum(least, rare[j : j + len(places)])
+                    total += rare[j : j + len(places)]
                 members, at = np.unique(places, return_index=True)
                 size = len(members)
                 n.append(size)
                 one.append(members.sum(dtype=np.uint64))
                 two.append(mixed(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                # a shingle's place in the order: the sum of its words' classes, then its hash
-                key = np.minimum(weight[at], np.uint64(511)) << np.uint64(54) | members >> np.uint64(10)
+                # a shingle's place in the order: the class of its rarest word, which bounds how many texts have it, the
+                # sum of its words' classes, its hash
+                weight = np.minimum(least, np.uint64(31)) << np.uint64(7) | np.minimum(total, np.uint64(127))
+                key = weight[at] << np.uint64(51) | members >> np.uint64(13)
                 length = size - -(-num * size // den) + 1 if size else 0
                 prefix.append(np.sort(np.partition(key, length - 1)[:length]).view(np.int64) if length else np.zeros(0, np.int64))
             arrays = [b.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (one, two)]]
@@ -106,15 +111,24 @@ def near_groups(
     Null and empty texts and texts of white space have no shingles and link with nothing; shorter texts than k words are
     one shingle. Ids are whole numbers and meant to be unique; a repeated id is one node of the links. Extra columns are
     ignored; an empty table gives no rows. Shingles are compared as 64-bit hashes."""
-    num, den = similarity
+    spark, (num, den) = docs.sparkSession, similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = rarity(rows, docs.count())
-    sketches = written(sketched(rows, order, k, num, den), "shingle-sketches")
-    classes = sketches.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    path = new_path(spark, "shingle-sketches")
+    sketched(rows, order, k, num, den).write.parquet(path)
+    full = spark.read.parquet(path)
+    sketches = written(full.drop("prefix"), "shingle-sizes")
+    classes = full.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = written(classes, "shingle-classes")
-    members = classes.select("rep", F.explode("prefix").alias("member"))
-    shared = members.groupBy("member").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = members.join(written(shared, "shared-shingles"), "member").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    discard(spark, path)  # the prefixes are in the classes now
+    # sizes of linked sets are within a factor t, so their bands are equal or next to each other
+    band = F.floor(F.log("n") / (-math.log(num / den) * 1.0001)).cast("int")
+    members = classes.select("rep", band.alias("band"), F.explode("prefix").alias("member"))
+    shared = members.groupBy("member").agg(F.count("*").alias("c")).where("c > 1").select("member")
+    banded = members.join(written(shared, "shared-shingles"), "member").withColumn("key", F.explode(F.array("band", F.col("band") + 1)))
+    banded = written(banded.select("member", "key", "rep"), "shingle-meetings")
+    leads = banded.groupBy("member", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = banded.join(written(leads, "shingle-leads"), ["member", "key"]).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     groups = components(met).withColumnRenamed("id", "rep").withColumnRenamed("component", "cc")
     groups = written(groups.join(classes.select("rep", "n"), "rep"), "candidate-groups")
     size = groups.groupBy("cc").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
@@ -131,7 +145,10 @@ def near_groups(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["cc", "rep", "members"])
 
     texts = rows.join(held, rows["id"] == held["rep"]).select("cc", "rep", "text")
-    sets = written(texts.mapInArrow(collect, "cc long, rep long, members binary"), "candidate-sets")
+    sets = texts.mapInArrow(collect, "cc long, rep long, members binary")
+    cut_some = large.limit(1).count() > 0
+    if cut_some:  # sets of large groups are needed more than once
+        sets = written(sets, "candidate-sets")
     chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
     placed = sets.join(large, "cc", "left").withColumn("chunk", chunk).withColumn("label", F.col("rep"))
     small = placed.where("chunks is null").withColumn("k1", F.lit(-1).cast("long")).withColumn("k2", F.pmod(F.xxhash64("cc"), F.lit(tasks)))
@@ -141,10 +158,10 @@ def near_groups(
     spread = cut.join(pivots, ["cc", "rep"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     chunks = cut.unionByName(spread).withColumn("k1", F.col("cc")).withColumn("k2", F.col("chunk"))
     columns = ["k1", "k2", "cc", "rep", "label", "members"]
-    tasks_of = small.select(columns).union(chunks.select(columns)).groupBy("k1", "k2")
+    tasks_of = (small.select(columns).union(chunks.select(columns)) if cut_some else small.select(columns)).groupBy("k1", "k2")
     links = written(tasks_of.applyInPandas(linked(num, den), "a long, b long"), "shingle-links")
     parts = components(links)
-    if large.limit(1).count():
+    if cut_some:
         labels = cut.select("cc", "rep", "chunks", "chunk").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
         labels = written(labels.select("cc", "rep", "chunks", "chunk", F.coalesce("component", "rep").alias("label")), "large-labels")
         main = labels.groupBy("cc", "label").agg(F.count("*").alias("c")).groupBy("cc").agg(F.max(F.struct("c", "label")).getField("label").alias("main"))
