@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from logoscope.plans import detection, tenants, texts  # noqa: F401
+from logoscope.plans import detection, streams, tenants, texts  # noqa: F401
 from logoscope.plans.registry import ORACLES, QUERIES  # noqa: F401
