@@ -23,33 +23,33 @@ from logoscope.llm.components import components
 from logoscope.llm.shared import discard, new_path, written
 from logoscope.llm.signature_tree import forest, mixed, shingles, word_hashes
 
-#: Texts whose words are counted for the order of rarity at most (a bounded sample by hash; any order gives whole
-#: results, a good one fewer candidates), and cells that words are counted in.
-ORDER_ROWS, ORDER_CELLS = 16_000, 1 << 20
+#: Cells that words are counted in for the order of rarity. Any order gives whole results; a good one fewer candidates.
+ORDER_CELLS = 1 << 22
 #: Sets and members of a chunk, pivots of a large group, members of a task that holds many small groups.
 CHUNK_SETS, CHUNK_MEMBERS, PIVOTS, TASK_MEMBERS = 1000, 2_000_000, 8, 2_000_000
 #: Candidates up to this number are broadcast as (id, group) to pick their texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def rarity(rows: DataFrame, total: int) -> np.ndarray:
-    """Classes of word hashes by the logarithm of their count in a sample of texts, a byte a cell."""
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, ORDER_ROWS / max(1, total)))
+def rarity(rows: DataFrame) -> np.ndarray:
+    """Class of every cell of word hashes by the number of texts with a word of the cell, a byte a cell: the number
+    itself up to 32, then eight classes for each doubling. All texts count."""
 
     def count(batches):
-        cells = np.zeros(ORDER_CELLS, np.int64)
+        cells = np.zeros(ORDER_CELLS, np.int32)
         for b in batches:
             for t in b.column(0):
-                words = np.unique(word_hashes(t.as_py() or ""))  # a text counts once
-                cells[(words % np.uint64(ORDER_CELLS)).astype(np.int64)] += 1
+                cells[np.unique((word_hashes(t.as_py() or "") % np.uint64(ORDER_CELLS)).astype(np.int64))] += 1
         at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells[at], pa.int64())], ["cell", "n"])
-
-    counts = rows.where(part).select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 2")
-    table = np.zeros(ORDER_CELLS, np.uint8)
-    found = counts.toPandas()  # at most ORDER_CELLS rows
-    if len(found):
-        table[found["cell"].to_numpy()] = np.log2(found["n"].to_numpy()).astype(np.uint8) + 1
+        for start in range(0, len(at), 1 << 18):
+            part = at[start : start + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells[part], pa.int32())], ["cell", "n"])
+
+    counts = rows.select("text").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    found = counts.toArrow()  # at most ORDER_CELLS rows of 12 bytes
+    n = found.column("n").to_numpy()
+    table = np.ones(ORDER_CELLS, np.uint8)
+    table[found.column("cell").to_numpy()] = np.where(n <= 32, n, 32 + np.minimum(8 * np.log2(np.maximum(n, 32) / 32), 200)).astype(np.uint8)
     return table
 
 
@@ -75,8 +75,8 @@ def sketched(rows: DataFrame, order: np.ndarray, k: int, num: int, den: int) ->
                 two.append(mixed(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
                 # a shingle's place in the order: the class of its rarest word, which bounds how many texts have it, the
                 # sum of its words' classes, its hash
-                weight = np.minimum(least, np.uint64(31)) << np.uint64(7) | np.minimum(total, np.uint64(127))
-                key = weight[at] << np.uint64(51) | members >> np.uint64(13)
+                weight = least << np.uint64(10) | np.minimum(total, np.uint64(1023))
+                key = weight[at] << np.uint64(45) | members >> np.uint64(19)
                 length = size - -(-num * size // den) + 1 if size else 0
                 prefix.append(np.sort(np.partition(key, length - 1)[:length]).view(np.int64) if length else np.zeros(0, np.int64))
             arrays = [b.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (one, two)]]
@@ -113,7 +113,7 @@ def near_groups(
     ignored; an empty table gives no rows. Shingles are compared as 64-bit hashes."""
     spark, (num, den) = docs.sparkSession, similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = rarity(rows, docs.count())
+    order = rarity(rows)
     path = new_path(spark, "shingle-sketches")
     sketched(rows, order, k, num, den).write.parquet(path)
     full = spark.read.parquet(path)
