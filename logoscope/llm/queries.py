@@ -84,7 +84,21 @@ def op10_fourier_quality(spark, sf_dir):
     return found.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@query("op7_multi_index")
+@query(
+    "op7_multi_index",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    ok AS (SELECT * FROM v WHERE length(e) > 0 AND length(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+             AND length(list_filter(e, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND length(a.e) = length(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+    c AS (SELECT a AS id, a AS r FROM l UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.r),
+    n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a), m AS (SELECT id AS vec_id, min(r) AS component FROM c GROUP BY id)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component, vec_id) AS component_id,
+           coalesce(component, vec_id) = vec_id AS kept
+    FROM v LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)
+    """,
+)
 def op7_multi_index(spark, sf_dir):
     """Near-duplicates among all embeddings."""
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
@@ -96,7 +110,22 @@ def op8_information_theoretic_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-@query("op9_signature_tree_join")
+@query(
+    "op9_signature_tree_join",
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN length(w) >= 4 THEN list_distinct(list_transform(range(1, length(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                              WHEN length(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+    z AS (SELECT doc_id, length(s) AS n FROM s),
+    t AS (SELECT doc_id, unnest(s) AS t FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    c AS (SELECT a AS id, a AS r FROM l UNION SELECT c.id, l.b FROM c JOIN l ON l.a = c.r),
+    m AS (SELECT id AS doc_id, min(r) AS component FROM c GROUP BY id)
+    SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id FROM z LEFT JOIN m USING (doc_id)
+    """,
+)
 def op9_signature_tree_join(spark, sf_dir):
     """Groups of near copies among all documents."""
     return jaccard_join.near_groups(table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
