@@ -92,8 +92,8 @@ def expand_unpronounceable(text: Column, names: dict[str, str], lang: str = "en"
         said = F.when(n > 1, F.concat(F.lit(" "), n.cast("string"), F.lit(" "), name, F.lit(" characters "))).otherwise(F.concat(F.lit(" "), name, F.lit(" ")))
         return F.when(name.isNull(), run).when(name == "", F.lit("")).otherwise(said)
 
-    done = single_spaced(replaced(text, f"({unpronounceable_class()})\\1*", word))
-    return F.when(text.rlike(UNUSUAL) & text.rlike(unpronounceable_class()), done).otherwise(text)
+    done = single_spaced(replaced(text, f"(?={UNUSUAL})({unpronounceable_class()})\\1*", word))
+    return F.when(text.rlike(f"(?={UNUSUAL}){unpronounceable_class()}"), done).otherwise(text)
 
 
 def names_in(rows: DataFrame, text_col: str, verbosity: str = "brief", lang: str = "en", custom: dict[str, str] | None = None) -> dict[str, str]:
@@ -103,7 +103,7 @@ def names_in(rows: DataFrame, text_col: str, verbosity: str = "brief", lang: str
     if verbosity == "brief":
         names |= {c: "" for c, n in char_names(verbosity, lang).items() if n == ""}
     odd = rows.where(F.col(text_col).rlike(UNUSUAL)).select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(unpronounceable_class()), F.lit(0)))).alias("c")
+        F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?={UNUSUAL}){unpronounceable_class()}"), F.lit(0)))).alias("c")
     )
     found = [r.c for r in odd.distinct().collect()]
     return {c: names[c] for c in found if c in names}
