@@ -2,9 +2,9 @@
 
 1. Each text becomes a set of shingle hashes; equal sets are one class from then on.
 2. Prefix filter: two sets of similarity t share one of their first n - ceil(t n) + 1 members in any common order. The
-   order is by rarity of a shingle's words, so that texts that are not near each other hardly meet. Sets of similar size
-   that share a prefix member are chained to the least of them, and components of these chains are candidate groups: no
-   link leaves one.
+   order is by rarity of a shingle's words, so that texts that are not near each other hardly meet. Sets of like size
+   (each is in two overlapping ranges of size) that share a prefix member are chained to the least of them, and
+   components of these chains are candidate groups: every link is inside one.
 3. In each candidate group a signature tree finds the links. A large group is cut into chunks, which pivots tie
    together; what the pivots do not tie is compared with every chunk, so nothing is lost.
 """
@@ -128,9 +128,15 @@ def near_groups(
     banded = members.join(written(shared, "shared-shingles"), "member").withColumn("key", F.explode(F.array("band", F.col("band") + 1)))
     banded = written(banded.select("member", "key", "rep"), "shingle-meetings")
     leads = banded.groupBy("member", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = banded.join(written(leads, "shingle-leads"), ["member", "key"]).where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    groups = components(met).withColumnRenamed("id", "rep").withColumnRenamed("component", "cc")
-    groups = written(groups.join(classes.select("rep", "n"), "rep"), "candidate-groups")
+    # chains within one key only: texts of other sizes don't tie groups together
+    node = lambda c: F.xxhash64(c, "key")
+    met = banded.join(written(leads, "shingle-leads"), ["member", "key"]).where("rep <> lead").select(node("rep").alias("a"), node("lead").alias("b"))
+    ccs = components(met).withColumnRenamed("component", "cc")
+    groups = written(banded.select("rep", node("rep").alias("id")).distinct().join(ccs, "id").select("cc", "rep"), "candidate-groups")
+    # a group that both keys of its band hold is worked on once
+    same = groups.groupBy("cc").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    once = same.groupBy("c", "x", "y").agg(F.min("cc").alias("cc")).select("cc")
+    groups = written(groups.join(written(once, "group-names"), "cc").join(classes.select("rep", "n"), "rep"), "candidate-groups")
     size = groups.groupBy("cc").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     size = size.select("cc", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("total") / CHUNK_MEMBERS)).cast("long").alias("chunks"))
     large = written(size.where("chunks > 1"), "large-groups")  # at most a row for CHUNK_SETS sets or CHUNK_MEMBERS members
