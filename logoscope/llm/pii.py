@@ -1,9 +1,11 @@
-"""Personal data: patterns, and information-theoretic sanitisation of what is said around them. DataFrame operations only.
-
-Protected entities are the values that the patterns find (emails, ip addresses, cards, phones). A term near an entity
-discloses it as far as corpus co-occurrence says so: disclosure = PMI(term, entity) / IC(entity), with document
-frequencies over the whole corpus (after Sanchez and Batet, C-sanitized, 2016). It is 1 for a term that occurs only with
-the entity and about 0 for one that occurs everywhere. Terms above THRESHOLD with enough support are spans of kind term.
+"""Personal data: patterns, and information-theoretic sanitisation of the texts. DataFrame operations only.
+
+Protected entities are the values that the patterns find (emails, ip addresses, cards, phones). A term discloses an
+entity as far as corpus co-occurrence says so: disclosure = PMI(term, entity) / IC(entity), with document frequencies of
+whole texts over the whole corpus (after Sanchez and Batet, C-sanitized, 2016). It is 1 for a term that occurs only with
+the entity and about 0 for one that occurs everywhere. A term of at least THRESHOLD is a span of kind term wherever it
+occurs, in any document, unless chance alone explains it (CHANCE): so entities of few documents count too, as far as the
+corpus has few terms as rare as theirs.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ PATTERNS = {
 }
 #: What a text with a valid match must hold; keeps the patterns off most texts.
 HINTS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}"}
-#: Code points of context on each side of an entity, least share of an entity's information that a term discloses, least
-#: documents in which they meet, least letters of a term.
-CONTEXT, THRESHOLD, SUPPORT, TERM_LETTERS = 64, 0.8, 3, 3
+#: Least share of an entity's information that a term discloses. Terms of the same document frequency that would meet an
+#: entity as often by chance: so many are expected at most.
+THRESHOLD, CHANCE = 0.8, 0.05
+#: Disclosing terms that are broadcast at most; a shuffle join beyond.
+BROADCAST_TERMS = 100_000
 
 
 def luhn(digits: Column) -> Column:
@@ -76,56 +80,88 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[spans_of(kind, text) for kind in KINDS[:4]]))
 
 
-def context_terms(window: Column, base: Column, skip_first: Column, skip_last: Column) -> Column:
-    """Words of letters inside a window of the text that starts at ``base``; cut ones at its ends are left out."""
-    parts = F.split(window, r"[^\p{L}]", -1)
-    starts = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), base, lambda a, x: a + F.length(x) + 1)
-    terms = F.transform(parts, lambda x, i: F.struct(F.lower(x).alias("term"), starts(i).alias("s"), (starts(i) + F.length(x)).alias("e"), i.alias("i")))
-    last = F.size(parts) - 1
-    return F.filter(terms, lambda t: (F.length(t["term"]) >= TERM_LETTERS) & ~(skip_first & (t["i"] == 0)) & ~(skip_last & (t["i"] == last)))
+def outside(text: Column, base: Column) -> Column:
+    """``text`` with spaces over the spans ``base``, so that places stay as they are."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state, x):
+        gap = F.substring(text, state["at"] + 1, F.greatest(x["s"] - state["at"], F.lit(0)))
+        covered = F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(x["s"], state["at"]), F.lit(0)))
+        return F.struct(F.greatest(x["e"], state["at"]).alias("at"), F.concat(state["out"], gap, covered).alias("out"))
+
+    blank = F.aggregate(base, start, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
+    return F.when(F.size(base) > 0, blank).otherwise(text)
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct words of letters, in lower case, and maybe an empty one. Each word is put in lower case by itself, as in
+    ``places``; the whole text at once is faster, and the same unless one of two letters occurs."""
+    split = lambda x: F.split(x, r"[^\p{L}]+")
+    return F.when(text.rlike("[\u03a3\u0130]"), F.array_distinct(F.transform(split(text), F.lower))).otherwise(F.array_distinct(split(F.lower(text))))
+
+
+def places(text: Column, terms: Column) -> Column:
+    """Spans of all words of ``text`` that are among ``terms``."""
+    empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
+
+    def step(state, x):
+        e = state["at"] + F.length(x)
+        span = F.struct(state["at"].alias("s"), F.lit(KINDS.index("term")).alias("k"), e.alias("e"))
+        hit = F.array_contains(terms, F.lower(x))
+        return F.struct((e + 1).alias("at"), F.when(hit, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    found = F.aggregate(F.split(text, r"[^\p{L}]", -1), start, step, lambda state: state["out"])
+    return F.when(terms.isNotNull(), found).otherwise(empty)
+
+
+def disclosing_terms(rows: DataFrame) -> DataFrame:
+    """(term) of all terms that disclose an entity, from rows (h, t, base). All counts are of rows, over whole texts.
+
+    Equal texts are one class with its number of rows. A term of more than n_e ** THRESHOLD * n ** (1 - THRESHOLD) rows
+    can't reach THRESHOLD, so it need not be paired with the entity."""
+    words = rows.select(F.explode(terms_of(outside(F.col("t"), F.col("base")))).alias("term"))
+    frequencies = written(words.where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t")), "private-frequencies")
+    values = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["k"], F.lower(x["value"]))))
+    bearing = rows.where(F.size("base") > 0).select("h", values.alias("entities"), terms_of(outside(F.col("t"), F.col("base"))).alias("terms"))
+    bearing = bearing.groupBy("h").agg(F.count("*").alias("w"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    bearing = written(bearing, "private-classes")
+    n = float(max(1, rows.count()))
+    held = bearing.select("h", "w", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("w").alias("n_e")).where(F.col("n_e") < n)
+    entities = written(entities.withColumn("most", F.pow("n_e", F.lit(THRESHOLD)) * n ** (1 - THRESHOLD) * (1 + 1e-9)), "private-entities")
+    most = entities.agg(F.max("most")).first()[0] or 0.0
+    met = bearing.select("h", F.explode("terms").alias("term")).join(frequencies.where(F.col("n_t") <= most), "term")
+    pairs = held.join(entities, "entity").join(met, "h").where(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("w").alias("n_te"))
+    alike = frequencies.where(F.col("n_t") <= most).groupBy("n_t").agg(F.count("*").alias("alike"))
+    share = F.col("n_e") / n
+    gain = F.log2(F.col("n_te") / F.col("n_t") / share) / F.log2(1 / share)
+    # Chernoff's bound of the chance that n_te or more of n_t rows are among the entity's
+    apart = F.col("n_t") - F.col("n_te")
+    without = F.when(apart > 0, apart * F.log(apart / F.col("n_t") / (1 - share))).otherwise(0.0)
+    chance = F.exp(-(F.col("n_te") * F.log(F.col("n_te") / F.col("n_t") / share) + without))
+    found = pairs.where(gain >= THRESHOLD).join(alike, "n_t").where(F.col("alike") * chance <= CHANCE)
+    return written(found.select("term").distinct(), "private-terms")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, base, terms): of every row its spans by pattern, and its spans of disclosing terms (array of s, k, e).
-
-    Null text counts as empty. Rows of equal id and text share their terms. Extra columns are ignored; an empty table
-    gives no rows. Statistics are of all rows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    with_context = F.transform(
-        F.col("base"),
-        lambda x: F.struct(
-            x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lower(x["value"]).alias("value"),
-            F.greatest(x["s"] - CONTEXT, F.lit(0)).alias("from"),
-            F.substring(F.col("t"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))).alias("left"),
-            F.substring(F.col("t"), x["e"] + 1, F.lit(CONTEXT)).alias("right"),
-        ),
-    )
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    spans = rows.select("id", F.xxhash64("t").alias("h"), "t", base_spans(F.col("t")).alias("base"))
-    facts = written(spans.select("id", "h", with_context.alias("found"), F.length("t").alias("n")), "private-spans")
-    near = facts.where(F.size("found") > 0).select("id", "h", "n", "found", F.explode("found").alias("x"))
-    left = context_terms(F.col("x.left"), F.col("x.from"), F.col("x.from") > 0, ~F.col("x.left").rlike(r"[^\p{L}]$"))
-    right = context_terms(F.col("x.right"), F.col("x.e"), ~F.col("x.right").rlike(r"^[^\p{L}]"), F.col("x.e") + CONTEXT < F.col("n"))
-    clear = lambda t: ~F.exists("found", lambda f: (f["s"] < t["e"]) & (t["s"] < f["e"]))
-    near = near.select("id", "h", F.concat_ws(":", "x.k", "x.value").alias("entity"), F.explode(F.filter(F.concat(left, right), clear)).alias("t"))
-    near = written(near.select("id", "h", "entity", "t.term", "t.s", "t.e"), "private-contexts")
-    total = facts.count()
-    together = near.select("id", "h", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    values = facts.select("id", "h", F.explode("found").alias("x")).select("id", "h", F.concat_ws(":", "x.k", "x.value").alias("entity")).distinct()
-    entities = values.groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("term"))
-    frequencies = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(max(1, total)))
-    gain = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    known = together.join(entities, "entity").join(frequencies, "term")
-    disclosing = written(known.where((F.col("n_e") < n) & (gain >= THRESHOLD)).select("entity", "term"), "private-terms")
-    marked = near.join(disclosing, ["entity", "term"]).groupBy("id", "h").agg(
-        F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("terms")
-    )
-    marked = written(marked.withColumnRenamed("id", "m_id").withColumnRenamed("h", "m_h"), "private-marks")
-    plain = F.transform("found", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    joined = facts.join(marked, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("h") == F.col("m_h")), "left")
-    return joined.select("id", "h", plain.alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:int,k:int,e:int>>")).alias("terms"))
+    """``docs`` with columns __base and __terms: of every row its spans by pattern, and its spans of disclosing terms.
+
+    Null text counts as empty; an empty table gives no rows. Statistics are of all rows. Terms lie outside the spans by
+    pattern."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.xxhash64(t).alias("h"), t.alias("t"), base_spans(t).alias("base"))
+    disclosing = disclosing_terms(rows)
+    count = disclosing.count()
+    every = rows.select("h", F.explode(terms_of(outside(F.col("t"), F.col("base")))).alias("term"))
+    hits = every.join(F.broadcast(disclosing) if count <= BROADCAST_TERMS else disclosing, "term")
+    marks = written(hits.groupBy("h").agg(F.collect_set("term").alias("__said")).withColumnRenamed("h", "__h"), "private-marks")
+    few = (marks.agg(F.sum(F.size("__said"))).first()[0] or 0) <= BROADCAST_TERMS
+    found = docs.withColumn("__base", base_spans(t)).join(F.broadcast(marks) if few else marks, F.xxhash64(t) == F.col("__h"), "left")
+    plain = F.transform("__base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    said = places(outside(t, F.col("__base")), F.col("__said"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], plain.alias("__base"), said.alias("__terms"))
 
 
 def listed(spans: Column) -> Column:
@@ -137,24 +173,21 @@ def listed(spans: Column) -> Column:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (see ``find``)."""
     def count(k):
-        return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+        return F.size(F.filter("__base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = [count(k) for k in range(4)]
     return find(docs, id_col, text_col).select(
-        F.col("id").alias(id_col), *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
-        listed(F.array_sort(F.concat("base", "terms"))).alias("spans"),
+        F.col(id_col), *counts, F.sha2(listed(F.col("__base")), 256).alias("base_sha256"),
+        listed(F.array_sort(F.concat("__base", "__terms"))).alias("spans"),
     )
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``find`` generalised to the name of its kind in brackets; columns and rows as before.
 
-    A column n_chars, where there is one, is renewed for changed texts. Only rows with personal data are shuffled."""
-    spans = find(docs, id_col, text_col).where(F.size("base") > 0)
-    spans = spans.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.array_sort(F.concat("base", "terms")).alias("__spans")).distinct()
-    held = docs.withColumn("__has", F.size(base_spans(F.coalesce(F.col(text_col), F.lit("")))) > 0)
-    hit = held.where("__has").join(spans, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__h")))
-    text = F.col(text_col)
+    A column n_chars, where there is one, is renewed for changed texts."""
+    found = find(docs, id_col, text_col).withColumn("__spans", F.array_sort(F.concat("__base", "__terms")))
+    text, hit = F.col(text_col), F.size("__spans") > 0
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -164,7 +197,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.struct(F.greatest(x["e"], state["at"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate("__spans", empty, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    changed = hit.withColumn(text_col, clean)
+    changed = found.withColumn(text_col, F.when(hit, clean).otherwise(text))
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return changed.select(docs.columns).union(held.where("not __has").select(docs.columns))
+        renewed = F.when(hit, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = changed.withColumn("n_chars", renewed)
+    return changed.select(docs.columns)

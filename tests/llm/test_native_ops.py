@@ -112,3 +112,17 @@ def test_disclosing_terms_and_sanitise(spark):
     assert len(out) == df.count() and out[0].text == "note one said [TERM] writes from [EMAIL] often"
     assert out[0].n_chars == len(out[0].text) and out[20].text == clean[16] and out[64].text is None
     assert pii.report(documents(spark, [])).count() == 0
+
+
+def test_terms_of_rare_entities_in_whole_texts(spark):
+    """A term far from its entity, of entities of two documents and of one, is marked in documents without the entity too."""
+    filler = "the weather is fine and nobody was there " * 6
+    told = [f"zebulon {filler}jane.doe@mail.org", f"{filler}jane.doe@mail.org {filler} Zebulon", f"quu {filler}4111 1111 1111 1111"]
+    clean = [filler + "Zebulon" if i == 7 else filler for i in range(120)]
+    df = documents(spark, told + clean + [None], extra=False)
+    spans = {r.doc_id: r.spans.split(",") for r in pii.report(df).collect()}
+    assert spans[0][0] == "term:0:7" and spans[1][-1].startswith("term:") and spans[2][0] == "term:0:3"
+    assert spans[10] == [f"term:{len(filler)}:{len(filler) + 7}"] and spans[11] == [""]
+    out = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert out[10].text == filler + "[TERM]" and out[10].n_chars == len(out[10].text) and out[11].n_chars == 11
+    assert out[0].text == f"[TERM] {filler}[EMAIL]" and out[11].text == filler and out[123].text is None
