@@ -269,6 +269,32 @@ def dominant_script(spark, sf_dir):
     return short_docs(spark, sf_dir).select("doc_id", scripts.dominant_script(F.col("text")).alias("dominant"))
 
 
+#: Whole texts as rows of even number; the written-in parts alone, which have a dominant script, as rows of odd number.
+WHOLE_DOCS = f"""(SELECT 2 * doc_id AS row_id, {U.INJECTED} AS text FROM documents
+    UNION ALL SELECT 2 * doc_id + 1 AS row_id, right({U.INJECTED}, length({U.INJECTED}) - length(text)) AS text FROM documents)"""
+
+
+def whole_docs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    part = F.expr(f"right({U.INJECTED}, length({U.INJECTED}) - length(text))")
+    whole = docs.select((2 * F.col("doc_id")).alias("row_id"), F.expr(U.INJECTED).alias("text"))
+    return whole.union(docs.select((2 * F.col("doc_id") + 1).alias("row_id"), part.alias("text")))
+
+
+@query("dominant_script_whole", f"SELECT row_id, dominant FROM {D.dominant(WHOLE_DOCS, 'row_id')}")
+def dominant_script_whole(spark, sf_dir):
+    return whole_docs(spark, sf_dir).select("row_id", scripts.dominant_script(F.col("text")).alias("dominant"))
+
+
+@query(
+    "script_to_language_whole",
+    f"SELECT row_id, dominant, {D.case('dominant', T.SCRIPT_LANGUAGES)} AS lang FROM {D.dominant(WHOLE_DOCS, 'row_id')}",
+)
+def script_to_language_whole(spark, sf_dir):
+    known = spark.createDataFrame(list(T.SCRIPT_LANGUAGES.items()), "dominant string, lang string")
+    return dominant_script_whole(spark, sf_dir).join(F.broadcast(known), "dominant", "left").select("row_id", "dominant", "lang")
+
+
 @query("natural_word_count", f"SELECT doc_id, line_no, length({D.natural_words('text')})::INTEGER AS n FROM {D.lines(D.DOCS2)}")
 def natural_word_count(spark, sf_dir):
     return lines2(spark, sf_dir).select("doc_id", "line_no", F.size(X.natural_words(F.col("text"))).alias("n"))
