@@ -19,8 +19,10 @@ from logoscope.llm.shared import written
 
 #: Mean vectors of a cell that the grid is sized for, and codewords of a half at most.
 CELL_ROWS, MAX_CODEWORDS = 48, 1024
-#: Vectors that fit the codebooks, and queries that calibrate the traversal, at most (bounded samples by hash).
+#: Vectors that fit the codebooks, queries of the first calibration, and rounds of k-means (samples by hash).
 FIT_ROWS, CALIBRATION_ROWS, ROUNDS, SEED = 20_000, 400, 8, 7
+#: Queries with links that a calibration needs, if the table has so many; queries compared at once in it.
+ENOUGH_LINKED, QUERIES_AT_ONCE = 100, 512
 #: Share of links that the calibrated traversal must meet, and cells that it visits at least.
 TARGET_RECALL, LEAST_VISITS = 0.998, 4
 #: Vectors of each side of a block.
@@ -74,12 +76,26 @@ class Grid:
         The cell of ranks (a, b) comes after the (a + 1)(b + 1) - 1 cells of lower ranks, so only cells with
         (a + 1)(b + 1) <= count can be among the first; these are ordered by their summed distance."""
         count = min(count, self.k * self.k)
+        step = max(1, 8_000_000 // (count * (1 + int(np.log(count)))))
+        if len(x) > step:
+            return np.concatenate([self.visits(x[i : i + step], count) for i in range(0, len(x), step)])
         (o1, d1), (o2, d2) = self.orders(x)
         a = np.concatenate([np.full(min(self.k, count // (r + 1)), r) for r in range(min(self.k, count))])
         b = np.concatenate([np.arange(min(self.k, count // (r + 1))) for r in range(min(self.k, count))])
         first = np.argsort(d1[:, a] + d2[:, b], axis=1, kind="stable")[:, :count]
         return np.take_along_axis(o1[:, a], first, 1) * self.k + np.take_along_axis(o2[:, b], first, 1)
 
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The place of a cell in the traversal of each row of ``x``, counted over all cells; of equals the last."""
+        half = self.first.shape[1]
+        out = np.empty(len(x), np.int64)
+        for start in range(0, len(x), 1024):
+            rows = slice(start, start + 1024)
+            d1, d2 = distances(x[rows, :half], self.first), distances(x[rows, half:], self.second)
+            for n, (a, b, cell) in enumerate(zip(d1, d2, cells[rows], strict=True)):
+                out[start + n] = np.searchsorted(np.sort(b), a[cell // self.k] + b[cell % self.k] + 1e-9 - a, "right").sum() - 1
+        return out
+
 
 def fit(vectors: DataFrame, total: int) -> Grid | None:
     """Codebooks from a sample of at most about FIT_ROWS of the ``total`` rows (rep, w, e)."""
@@ -95,40 +111,58 @@ def fit(vectors: DataFrame, total: int) -> Grid | None:
 
 def depth(vectors: DataFrame, grid: Grid, total: int, threshold: float) -> int:
     """Cells to visit for TARGET_RECALL: of sampled queries, compared with all vectors, how far down a query's traversal
-    is the cell of a link, or the query's cell down the link's. Each query counts alike, however many links it has."""
-    part = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, CALIBRATION_ROWS / max(1, total)))
-    drawn = vectors.where(part).select("rep", "e").collect()
+    is the cell of a link, or the query's cell down the link's. Each query counts alike, however many links it has.
+    Further queries are drawn until ENOUGH_LINKED have links or all vectors were queries."""
+    tables, lower, rows, linked = [], 0, CALIBRATION_ROWS, 0
+    while lower < 1 << 20 and linked < ENOUGH_LINKED:
+        upper = min(1 << 20, lower + max(1, int((1 << 20) * min(1.0, rows / max(1, total)))))
+        table = link_ranks(vectors, grid, threshold, lower, upper)
+        if len(table):
+            tables.append(table.assign(q=table.q + (len(tables) << 40)))
+            linked += table.q.nunique()
+        lower, rows = upper, min(2 * rows, FIT_ROWS)
+    if not tables:
+        return LEAST_VISITS  # no vector has a link
+    table = pd.concat(tables)
+    table["share"] = table.n / table.groupby("q").n.transform("sum") / table.q.nunique()
+    reached = table.groupby("rank").share.sum().sort_index().cumsum()
+    return max(LEAST_VISITS, int(reached[reached >= TARGET_RECALL - 1e-9].index[0]) + 1)
+
+
+def link_ranks(vectors: DataFrame, grid: Grid, threshold: float, lower: int, upper: int) -> pd.DataFrame:
+    """(q, rank, n) of the links of the queries whose hash is from ``lower`` to less than ``upper`` of 2^20."""
+    place = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20))
+    drawn = vectors.where((place >= lower) & (place < upper)).select("rep", "e").collect()
     if not drawn:
-        return LEAST_VISITS
+        return pd.DataFrame({"q": [], "rank": [], "n": []})
     queries = normalised([r.e for r in drawn])
     names = np.array([r.rep for r in drawn])
-    longest = 4 * grid.k
+    at = grid.visits(queries, 1)[:, 0]
+
+    def pairs(x, rep):
+        for start in range(0, len(queries), QUERIES_AT_ONCE):
+            q, v = np.nonzero(queries[start : start + QUERIES_AT_ONCE] @ x.T >= threshold)
+            other = names[start + q] != rep[v]
+            yield start + q[other], v[other]
+
+    def once(x, row, cell):
+        """Ranks of cells for rows; equal pairs are ranked once."""
+        pair, back = np.unique(np.stack([row, cell]), axis=1, return_inverse=True)
+        return grid.ranks(x[pair[0]], pair[1])[back.ravel()]
 
     def ranks(batches):
-        seen = grid.visits(queries, longest)
         for b in batches:
-            x = normalised(b.column(1).to_pylist())
-            q, v = np.nonzero(queries @ x.T >= threshold)
-            rep = np.array(b.column(0).to_pylist())
-            other = names[q] != rep[v]
-            q, v = q[other], v[other]
-            if len(q):
-                rows, back = np.unique(v, return_inverse=True)
-                own = grid.visits(x[rows], longest)
-                there = seen[q] == own[back, :1]
-                here = own[back] == seen[q, :1]
-                rank = np.minimum(*[np.where(m.any(1), m.argmax(1), longest) for m in (there, here)])
-                pair, n = np.unique(np.stack([q, rank]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pair[0], pair[1], n)], ["q", "rank", "n"])
+            x, rep = normalised(b.column(1).to_pylist()), np.array(b.column(0).to_pylist())
+            for q, v in pairs(x, rep):
+                if len(q):
+                    rows, back = np.unique(v, return_inverse=True)
+                    own = grid.visits(x[rows], 1)[back, 0]
+                    rank = np.minimum(once(queries, q, own), once(x, v, at[q]))
+                    pair, n = np.unique(np.stack([q, rank]), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (pair[0], pair[1], n)], ["q", "rank", "n"])
 
     counts = vectors.select("rep", "e").mapInArrow(ranks, "q long, rank long, n long").groupBy("q", "rank").agg(F.sum("n").alias("n"))
-    table = counts.toPandas()  # at most CALIBRATION_ROWS times 4 K rows
-    if not len(table):
-        return LEAST_VISITS
-    table["share"] = table.n / table.groupby("q").n.transform("sum") / table.q.nunique()
-    reached = table.groupby("rank").share.sum().sort_index().cumsum()
-    enough = reached[reached >= TARGET_RECALL - 1e-9]
-    return max(LEAST_VISITS, int(enough.index[0]) + 1 if len(enough) else longest)
+    return counts.toPandas()
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

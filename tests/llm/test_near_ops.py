@@ -115,6 +115,29 @@ def test_multi_index(spark, monkeypatch):
     assert multi_index.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_multi_index_depth(spark, monkeypatch):
+    """Links farther down the traversal than 4 K cells are met, and few links that the first queries do not have."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "rep long, e array<double>")
+    grid = multi_index.Grid(multi_index.k_means(x[:, :6], 8), multi_index.k_means(x[:, 6:], 8))
+    homes = grid.visits(x, 1)[:, 0]
+
+    def met(threshold):
+        seen = grid.visits(x, multi_index.depth(df, grid, 1000, threshold))
+        pairs = [(i, j) for i, j in zip(*np.nonzero(x @ x.T >= threshold), strict=True) if i > j]
+        return np.mean([homes[i] in seen[j] or homes[j] in seen[i] for i, j in pairs])
+
+    assert met(0.0) >= 0.99
+    monkeypatch.setattr(multi_index, "CALIBRATION_ROWS", 2)
+    monkeypatch.setattr(multi_index, "LEAST_VISITS", 1)
+    assert met(0.86) == 1.0
+    every = grid.visits(x[:50], 64)
+    for cell in (0, 9, 63):
+        assert (every[np.arange(50), grid.ranks(x[:50], np.full(50, cell))] == cell).all()
+
+
 def test_language(spark):
     rng = random.Random(1)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["eux", "ion", "le"]}
