@@ -8,6 +8,8 @@ cell that holds a large part of all vectors becomes many tasks; only link counts
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,8 +27,8 @@ FIT_ROWS, CALIBRATION_ROWS, ROUNDS, SEED = 20_000, 400, 8, 7
 ENOUGH_LINKED, QUERIES_AT_ONCE = 100, 512
 #: Share of links that the calibrated traversal must meet, and cells that it visits at least.
 TARGET_RECALL, LEAST_VISITS = 0.998, 4
-#: Vectors of each side of a block.
-BLOCK = 4096
+#: Vectors of each side of a block; cell numbers of a dimension.
+BLOCK, CELLS = 4096, MAX_CODEWORDS**2
 
 
 def usable(vector) -> F.Column:
@@ -225,34 +227,44 @@ def block_links(threshold: float):
     return run
 
 
+def placer(grid: Grid, count: int, offset: int):
+    """Home and visited cells of vectors, with ``offset`` added."""
+
+    def place(batches):
+        for b in batches:
+            seen = grid.visits(normalised(b.column(2).to_pylist()), count) + offset
+            arrays = [b.column(0), b.column(1), b.column(2), pa.array(seen[:, 0], pa.int64()), pa.array(list(seen), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["rep", "w", "e", "home", "visits"])
+
+    return place
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links are pairs of other rows with cosine >= ``threshold``.
 
     Null, zero and non-finite vectors, and vectors with null components, have no links and stay. Vectors of equal
-    components are compared once, for all their rows. Vectors of another dimension than the most frequent one (of equally
-    frequent ones the least) link only with equal ones. Ids are meant to be unique; rows of equal id are one node. Extra
+    components are compared once, for all their rows. Vectors of each dimension have an index of their own; those of a
+    dimension with at most BLOCK different ones are all compared. Ids are meant to be unique; rows of equal id are one node. Extra
     columns are ignored; an empty table gives no rows. Links found are exact; some may be missed (see TARGET_RECALL).
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("e"))
     good = rows.where(usable(F.col("e")) & F.col("id").isNotNull())
     classes = written(good.groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "vectors")
-    sizes = classes.groupBy(F.size("e").alias("d")).agg(F.sum("w").alias("w")).orderBy(F.desc("w"), "d").first()
+    sizes = {r.d: r.n for r in classes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row a dimension
     single = F.col("id")
-    if sizes is None:
+    if not sizes:
         return rows.select(single.alias(id_col), F.lit(0).cast("long").alias("n_links"), single.alias("component_id"), F.lit(True).alias("kept"))
-    main = classes.where(F.size("e") == sizes.d)
-    total = main.count()
-    grid = fit(main, total)
-    count = depth(main, grid, total, threshold)
-
-    def place(batches):
-        for b in batches:
-            seen = grid.visits(normalised(b.column(2).to_pylist()), count)
-            arrays = [b.column(0), b.column(1), b.column(2), pa.array(seen[:, 0], pa.int64()), pa.array(list(seen), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["rep", "w", "e", "home", "visits"])
-
-    kind = main.schema["e"].dataType.simpleString()
-    placed = written(main.select("rep", "w", "e").mapInArrow(place, f"rep long, w long, e {kind}, home long, visits array<long>"), "vector-cells")
+    kind = classes.schema["e"].dataType.simpleString()
+    large = sorted(d for d, n in sizes.items() if n > BLOCK)
+    # cells of a dimension are numbered from dimension * CELLS; small dimensions are one cell each
+    home = F.size("e").cast("long") * CELLS
+    cells = [classes.where(~F.size("e").isin(large)).select("rep", "w", "e", home.alias("home"), F.array(home).alias("visits"))]
+    for d in large:
+        main = classes.where(F.size("e") == d)
+        grid = fit(main, sizes[d])
+        place = placer(grid, depth(main, grid, sizes[d], threshold), d * CELLS)
+        cells.append(main.select("rep", "w", "e").mapInArrow(place, f"rep long, w long, e {kind}, home long, visits array<long>"))
+    placed = written(reduce(DataFrame.union, cells), "vector-cells")
     # blocks of a cell: chunks of the vectors at home there times chunks of the vectors that visit it
     at_home = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h_chunks"))
     visiting = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_chunks"))

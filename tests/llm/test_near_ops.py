@@ -138,6 +138,27 @@ def test_multi_index_depth(spark, monkeypatch):
         assert (every[np.arange(50), grid.ranks(x[:50], np.full(50, cell))] == cell).all()
 
 
+@pytest.mark.parametrize("block", [4096, 60])
+def test_multi_index_dimensions(spark, monkeypatch, block):
+    """Near links in every dimension, by all pairs and by an index for each."""
+    rng = np.random.default_rng(6)
+    tables = [rng.normal(size=(n, d)) for n, d in ((200, 16), (150, 10), (20, 3))]
+    for x in tables:
+        half = len(x) // 2
+        x[half:] = x[:half] + rng.normal(scale=0.01, size=(half, x.shape[1]))
+    monkeypatch.setattr(multi_index, "BLOCK", block)
+    rows = [list(map(float, v)) for x in tables for v in x]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in multi_index.near_duplicates(df, 0.95).collect()}
+    first = 0
+    for x in tables:
+        y = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want = (y @ y.T >= 0.95).sum(1) - 1
+        found = np.array([got[first + i] for i in range(len(x))])
+        assert (found <= want).all() and found.sum() >= (1.0 if len(x) <= block else 0.98) * want.sum() and want.sum() >= len(x)
+        first += len(x)
+
+
 def test_language(spark):
     rng = random.Random(1)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["eux", "ion", "le"]}
