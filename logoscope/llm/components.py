@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logoscope.llm.shared import written
+from logoscope.llm.shared import Workspace
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -28,17 +28,20 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the least node of the component of every node in ``links`` (a, b).
+    """(id, component): the least node of the component of every node in ``links`` (a, b), as a table of the shared folder.
 
     Loops and repeated links are harmless; rows with a null end are ignored; no links give no rows."""
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = written(links, "links")
-    while True:
-        stars = written(_star(_star(links, True), False), "links")
-        # done when every node points to its root: no node is both a child and a parent, none has two parents
-        parents = stars.groupBy("a").agg(F.count("*").alias("n"))
-        deep = parents.where("n > 1").select("a").union(stars.select(F.col("b").alias("a")).join(parents.select("a"), "a", "left_semi"))
-        links = stars
-        if not deep.limit(1).count():
-            break
-    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    with Workspace(links.sparkSession, "components") as tables:
+        links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        links = tables.written(links, "links")
+        while True:
+            stars = tables.written(_star(_star(links, True), False), "links")
+            tables.drop(links)
+            links = stars
+            # done when every node points to its root: no node is both a child and a parent, none has two parents
+            parents = stars.groupBy("a").agg(F.count("*").alias("n"))
+            deep = parents.where("n > 1").select("a").union(stars.select(F.col("b").alias("a")).join(parents.select("a"), "a", "left_semi"))
+            if not deep.limit(1).count():
+                break
+        roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+        return tables.kept(links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), "component-of")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Deletes nothing by itself: what jobs write lies under the checkpoint folder, which the cluster's owner cleans.
+#: Removes the shuffle files of a query when it has ended: what it wrote is all that is read later.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where none is set (tests, one machine) a folder of this session."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is set a folder of this session, on one machine only: elsewhere
+    executors would write to their own disks and readers would miss rows, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.logoscope.scratch", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='logoscope-')}"
         spark.conf.set("spark.logoscope.scratch", at)
     return at.rstrip("/")
@@ -23,19 +29,65 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/logoscope/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lost executors then cost no recomputation."""
+@contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Queries that end inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again: lost executors then cost no recomputation."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    with tidy_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again. The cluster's owner cleans that folder."""
+    return save(df, new_path(df.sparkSession, name))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder through Spark's file system layer."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Workspace:
+    """Tables of one job under a path of their own, deleted when the job's ``with`` block ends; ``kept`` ones stay, as
+    the job's result is read from them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.number = spark, new_path(spark, name), 0
+        self.of: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        discard(self.spark, self.path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        path = f"{self.path}/{self.number:04d}-{name}"
+        back = save(df, path)
+        self.of[id(back)] = (back, path)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            discard(self.spark, self.of.pop(id(df))[1])
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
