@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logoscope.llm.components import components
-from logoscope.llm.shared import written
+from logoscope.llm.shared import Workspace
 
 #: Mean vectors of a cell that the grid is sized for, and codewords of a half at most.
 CELL_ROWS, MAX_CODEWORDS = 48, 1024
 #: Vectors that fit the codebooks, queries of the first calibration, and rounds of k-means (samples by hash).
 FIT_ROWS, CALIBRATION_ROWS, ROUNDS, SEED = 20_000, 400, 8, 7
+#: Components of all vectors of such a sample together: bounds what reaches the driver whatever the dimension.
+SAMPLE_COMPONENTS = 16_000_000
 #: Queries with links that a calibration needs, if the table has so many; queries compared at once in it.
 ENOUGH_LINKED, QUERIES_AT_ONCE = 100, 512
 #: Share of links that the calibrated traversal must meet, and cells that it visits at least.
@@ -39,7 +41,13 @@ def usable(vector) -> F.Column:
 
 
 def normalised(rows) -> np.ndarray:
+    """Vectors of length 1. They are divided by the power of two of their largest component first, so no finite vector
+    over- or underflows."""
     x = np.array(rows, np.float64)
+    if not x.size:
+        return x
+    power = np.frexp(np.abs(x).max(1, keepdims=True))[1]
+    x = np.ldexp(x, -power)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -99,9 +107,10 @@ class Grid:
         return out
 
 
-def fit(vectors: DataFrame, total: int) -> Grid | None:
+def fit(vectors: DataFrame, total: int, dimension: int) -> Grid | None:
     """Codebooks from a sample of at most about FIT_ROWS of the ``total`` rows (rep, w, e)."""
-    part = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, FIT_ROWS / max(1, total)))
+    rows = min(FIT_ROWS, SAMPLE_COMPONENTS // dimension)
+    part = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, rows / max(1, total))))
     drawn = vectors.where(part).select("e").collect()
     if not drawn:
         return None
@@ -111,18 +120,18 @@ def fit(vectors: DataFrame, total: int) -> Grid | None:
     return Grid(k_means(x[:, :half], k), k_means(x[:, half:], k) if x.shape[1] > 1 else np.zeros((k, 0)))
 
 
-def depth(vectors: DataFrame, grid: Grid, total: int, threshold: float) -> int:
+def depth(vectors: DataFrame, grid: Grid, total: int, threshold: float, most: int = FIT_ROWS) -> int:
     """Cells to visit for TARGET_RECALL: of sampled queries, compared with all vectors, how far down a query's traversal
     is the cell of a link, or the query's cell down the link's. Each query counts alike, however many links it has.
     Further queries are drawn until ENOUGH_LINKED have links or all vectors were queries."""
-    tables, lower, rows, linked = [], 0, CALIBRATION_ROWS, 0
+    tables, lower, rows, linked = [], 0, min(CALIBRATION_ROWS, most), 0
     while lower < 1 << 20 and linked < ENOUGH_LINKED:
         upper = min(1 << 20, lower + max(1, int((1 << 20) * min(1.0, rows / max(1, total)))))
         table = link_ranks(vectors, grid, threshold, lower, upper)
         if len(table):
             tables.append(table.assign(q=table.q + (len(tables) << 40)))
             linked += table.q.nunique()
-        lower, rows = upper, min(2 * rows, FIT_ROWS)
+        lower, rows = upper, min(2 * rows, most)
     if not tables:
         return LEAST_VISITS  # no vector has a link
     table = pd.concat(tables)
@@ -242,14 +251,19 @@ def placer(grid: Grid, count: int, offset: int):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links are pairs of other rows with cosine >= ``threshold``.
 
-    Null, zero and non-finite vectors, and vectors with null components, have no links and stay. Vectors of equal
-    components are compared once, for all their rows. Vectors of each dimension have an index of their own; those of a
+    Null, zero and non-finite vectors, and vectors with null components, have no links and stay. Finite components may be
+    of any magnitude. Vectors of equal components are compared once, for all their rows. Vectors of each dimension have an index of their own; those of a
     dimension with at most BLOCK different ones are all compared. Ids are meant to be unique; rows of equal id are one node. Extra
     columns are ignored; an empty table gives no rows. Links found are exact; some may be missed (see TARGET_RECALL).
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("e"))
     good = rows.where(usable(F.col("e")) & F.col("id").isNotNull())
-    classes = written(good.groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "vectors")
+    with Workspace(vectors.sparkSession, "near-vectors") as tables:
+        return tables.kept(_links(tables, rows, good, threshold, id_col), "near-vectors-found")
+
+
+def _links(tables: Workspace, rows: DataFrame, good: DataFrame, threshold: float, id_col: str) -> DataFrame:
+    classes = tables.written(good.groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "vectors")
     sizes = {r.d: r.n for r in classes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row a dimension
     single = F.col("id")
     if not sizes:
@@ -261,10 +275,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     cells = [classes.where(~F.size("e").isin(large)).select("rep", "w", "e", home.alias("home"), F.array(home).alias("visits"))]
     for d in large:
         main = classes.where(F.size("e") == d)
-        grid = fit(main, sizes[d])
-        place = placer(grid, depth(main, grid, sizes[d], threshold), d * CELLS)
+        grid = fit(main, sizes[d], d)
+        place = placer(grid, depth(main, grid, sizes[d], threshold, max(1, min(FIT_ROWS, SAMPLE_COMPONENTS // d))), d * CELLS)
         cells.append(main.select("rep", "w", "e").mapInArrow(place, f"rep long, w long, e {kind}, home long, visits array<long>"))
-    placed = written(reduce(DataFrame.union, cells), "vector-cells")
+    placed = tables.written(reduce(DataFrame.union, cells), "vector-cells")
     # blocks of a cell: chunks of the vectors at home there times chunks of the vectors that visit it
     at_home = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h_chunks"))
     visiting = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("v_chunks"))
@@ -276,7 +290,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     visit_side = visit_side.select("*", mine.cast("int").alias("v"), every.alias("h"), F.lit(1).alias("side"))
     columns = ["cell", "h", "v", "side", "rep", "w", "home", "visits", "e"]
     blocks = home_side.select(columns).union(visit_side.select(columns)).groupBy("cell", "h", "v")
-    found = written(blocks.applyInPandas(block_links(threshold), "rep long, links long, root long"), "vector-links")
+    found = tables.written(blocks.applyInPandas(block_links(threshold), "rep long, links long, root long"), "vector-links")
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(counted, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
