@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logoscope.llm.shared import written
+from logoscope.llm.shared import Workspace, written
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digit", "symbol", "punctuation", "white",
@@ -127,7 +127,7 @@ def _partial_sums(rows: DataFrame, centre: np.ndarray, scale: np.ndarray, weight
     return total[:, :d], total[:, d]
 
 
-def train(stats: DataFrame, labelled: DataFrame) -> dict:
+def train(tables: Workspace, stats: DataFrame, labelled: DataFrame) -> dict:
     """A model from ``stats`` (id, x) of all rows and ``labelled`` (id, y, fold): fold 0 fits, fold 1 calibrates.
 
     At most about MAX_FIT labelled rows enter the fit. Without labels of both kinds the model scores all rows by the
@@ -137,7 +137,7 @@ def train(stats: DataFrame, labelled: DataFrame) -> dict:
         F.count("*").alias("n"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(n)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(n)]
     ).first()
     rows = stats.join(labelled, "id").select("x", F.col("y").cast("double").alias("y"), "fold")
-    rows = written(rows, "quality-labelled")
+    rows = tables.written(rows, "labelled")
     tally = {(r.fold, r.y): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
     ones, zeros = (sum(c for (f, y), c in tally.items() if y == v) for v in (1.0, 0.0))
     flat = {"flat": ones / (ones + zeros) if ones + zeros else 1.0}
@@ -162,33 +162,59 @@ def train(stats: DataFrame, labelled: DataFrame) -> dict:
     return model
 
 
+def score_of(x: np.ndarray, model: dict) -> np.ndarray:
+    """Scores of rows of STATISTICS."""
+    if "flat" in model:
+        return np.full(len(x), model["flat"])
+    score = np.clip(features(x, model["centre"], model["scale"]) @ model["beta"], 0, 1)
+    return np.interp(score, model["cells"], model["rates"]) if "cells" in model else score
+
+
 def scored(stats: DataFrame, model: dict, kind: str) -> DataFrame:
     """(id, score from 0 to 1) of every row of ``stats``."""
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(-1, len(STATISTICS))
-            if "flat" in model:
-                score = np.full(len(x), model["flat"])
-            else:
-                score = np.clip(features(x, model["centre"], model["scale"]) @ model["beta"], 0, 1)
-                if "cells" in model:
-                    score = np.interp(score, model["cells"], model["rates"])
+            score = score_of(np.array(b.column(1).to_pylist(), float).reshape(-1, len(STATISTICS)), model)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["id", "score"])
 
     return stats.select("id", "x").mapInArrow(run, f"id {kind}, score double")
 
 
+def labelled_rows(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y, fold) of labels 0 or 1 with an id: a quarter of them, by the crc32 of the id, is fold 1."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
+    fold = (F.pmod(F.shiftright(F.crc32(F.col(id_col).cast("string").cast("binary")), 8), F.lit(4)) == 3).cast("int")
+    return known.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), fold.alias("fold"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, score) of every row of ``docs``, learned from ``labels`` (id, label 0 or 1) alone.
 
-    A quarter of the labelled rows, by the crc32 of their id, calibrates; the others fit. Null and empty texts have
-    statistics of zero and are scored like any other. Null labels and ids teach nothing; of an id with several labels
-    each counts. Extra columns are ignored. An empty table gives no rows; without usable labels see ``train``.
+    A quarter of the labelled rows calibrates; the others fit. Null and empty texts have statistics of zero and are scored
+    like any other. Null labels and ids teach nothing; of an id with several labels each counts, and so does each of
+    several rows of an id. Extra columns are ignored. An empty table gives no rows; without usable labels see ``train``.
+    The result is read from a table of all rows' statistics in the shared folder.
     """
     stats = written(measured(docs, id_col, text_col), "quality-statistics")
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-    fold = (F.pmod(F.shiftright(F.crc32(F.col(id_col).cast("string").cast("binary")), 8), F.lit(4)) == 3).cast("int")
-    known = known.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), fold.alias("fold"))
-    model = train(stats, known)
+    with Workspace(docs.sparkSession, "quality") as tables:
+        model = train(tables, stats, labelled_rows(labels, id_col, label_col))
     return scored(stats, model, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("id", id_col)
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, columns unchanged: scored where they lie, without a join or
+    shuffle of texts. The model is that of ``quality_scores``; rows with a null id are scored like others."""
+    with Workspace(docs.sparkSession, "quality") as tables:
+        stats = tables.written(measured(docs, id_col, text_col), "statistics")
+        model = train(tables, stats, labelled_rows(labels, id_col, label_col))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            x = np.array([statistics(t.as_py() or "") for t in b.column(place)], float).reshape(-1, len(STATISTICS))
+            yield b.filter(pa.array(score_of(x, model) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
