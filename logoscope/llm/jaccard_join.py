@@ -1,107 +1,284 @@
 """Near-duplicate documents by Jaccard similarity of word shingles: an exact self-join with signature trees.
 
-1. Each text becomes a set of shingle hashes; equal sets are one class from then on.
-2. Prefix filter: two sets of similarity t share one of their first n - ceil(t n) + 1 members in any common order. The
-   order is by rarity of a shingle's words, so that texts that are not near each other hardly meet. Sets of like size
-   (each is in two overlapping ranges of size) that share a prefix member are chained to the least of them, and
-   components of these chains are candidate groups: every link is inside one.
-3. In each candidate group a signature tree finds the links. A large group is cut into chunks, which pivots tie
-   together; what the pivots do not tie is compared with every chunk, so nothing is lost.
+1. Each text becomes a set of shingle hashes; equal sets are one node from then on.
+2. A set with too many members that no other set has can't overlap enough with any: a sample of each set's members, the
+   least hashes, is compared with all other samples, and a set goes if its unique members in it leave it a chance of less
+   than MISSED to have a link. This keeps documents apart that share passages but no more.
+3. The trees' top level. Sets are dealt by size range, so that linked sets are in equal or neighbouring ranges, and the
+   bitmap of all hashes is cut into p slices. Linked sets of one range differ in at most p - 1 members, so at least one
+   slice of their bitmaps is equal: a top node holds the sets of a size range that are equal in a slice. Sets that
+   share no top node can't overlap enough, whatever else they hold, and no pair of top nodes need be compared. Top nodes
+   with a common set are tied together into candidate groups: every link is inside one. As that holds for any cut of the
+   bitmaps, large groups are cut again in other ways, and fall apart unless links or likeness hold them together.
+4. In each candidate group a signature tree finds the links by dual traversal. A large group is cut into chunks, which
+   pivots tie together; what the pivots do not tie is compared with every chunk, so nothing is lost.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logoscope.llm.components import components
-from logoscope.llm.shared import discard, new_path, written
+from logoscope.llm.shared import Workspace, partitions
 from logoscope.llm.signature_tree import forest, mixed, shingles, word_hashes
 
-#: Cells that words are counted in for the order of rarity. Any order gives whole results; a good one fewer candidates.
-ORDER_CELLS = 1 << 22
 #: Sets and members of a chunk, pivots of a large group, members of a task that holds many small groups.
-CHUNK_SETS, CHUNK_MEMBERS, PIVOTS, TASK_MEMBERS = 1000, 2_000_000, 8, 2_000_000
-#: Candidates up to this number are broadcast as (id, group) to pick their texts; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+CHUNK_SETS, CHUNK_MEMBERS, PIVOTS, TASK_MEMBERS = 1000, 2_000_000, 8, 1_000_000
+#: Candidates up to this number are broadcast as (id, set, group) to pick their texts; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: Members in a sample, at least, of sets that have them; odds that a set with a link is dropped for its sample.
+SAMPLED, MISSED = 48, 1e-12
+#: Groups of more sets are refined by further cuts of the bitmaps, at most so many, while that makes them much smaller.
+REFINED_SETS, SEEDS = 200, 4
+#: Cuts of a bitmap that are tried for one with few empty slices; slices that are gathered before they leave a task.
+ROUNDS, GATHERED = 24, 1 << 20
+_MEMBER, _LEAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Class of every cell of word hashes by the number of texts with a word of the cell, a byte a cell: the number
-    itself up to 32, then eight classes for each doubling. All texts count."""
+@cache
+def ranges(num: int, den: int, most: int = 1 << 40) -> tuple[int, ...]:
+    """Starts of the size ranges: a range ends where a set can't be linked with the smallest set of the range."""
+    starts = [1]
+    while starts[-1] < most:
+        starts.append(starts[-1] * den // num + 1)
+    return tuple(starts)
 
-    def count(batches):
-        cells = np.zeros(ORDER_CELLS, np.int32)
-        for b in batches:
-            for t in b.column(0):
-                cells[np.unique((word_hashes(t.as_py() or "") % np.uint64(ORDER_CELLS)).astype(np.int64))] += 1
-        at = np.flatnonzero(cells)
-        for start in range(0, len(at), 1 << 18):
-            part = at[start : start + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells[part], pa.int32())], ["cell", "n"])
 
-    counts = rows.select("text").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    found = counts.toArrow()  # at most ORDER_CELLS rows of 12 bytes
-    n = found.column("n").to_numpy()
-    table = np.ones(ORDER_CELLS, np.uint8)
-    table[found.column("cell").to_numpy()] = np.where(n <= 32, n, 32 + np.minimum(8 * np.log2(np.maximum(n, 32) / 32), 200)).astype(np.uint8)
-    return table
+@cache
+def slicing(i: int, num: int, den: int) -> tuple[int, int]:
+    """(p, e) for links whose smaller set is in range i: number of slices, and of empty ones that a set may have.
+
+    Sets of sizes a <= b <= a / t of similarity t differ in at most a (1 - t) / t members, m for the range's largest a.
+    Of p = m + 1 + e slices at least e + 1 are then equal, so one that is not empty is, if a set has e empty ones."""
+    starts = ranges(num, den)
+    m = (den - num) * (starts[i + 1] - 1) // num
+    e = int(2 * (m + 1) * math.exp(-starts[i] / (m + 1))) if m else 0
+    return m + 1 + e, e
+
+
+@cache
+def cuts(p: int) -> np.ndarray:
+    return np.array([-(-(j << 64) // p) for j in range(1, p)], np.uint64)
+
+
+def slices(members: np.ndarray, i: int, num: int, den: int, seed: int = 0):
+    """Hashes of the slices of a set (ascending hashes) in size range i. Cuts are tried in a fixed order until one leaves
+    the set few empty slices; as two sets try the same ones, they meet in the first that suits either. Empty slices are
+    left out but in the last round, which a set only reaches if its similarity is low or its hashes are odd."""
+    p, e = slicing(i, num, den)
+    for r in range(ROUNDS):
+        cut = seed * ROUNDS + r
+        part = members if cut == 0 else np.sort(mixed(members ^ np.uint64(cut)))
+        at = np.concatenate([[0], np.searchsorted(part, cuts(p)), [len(part)]])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(part ^ _MEMBER))])
+        salt = mixed(np.array([(i << 16) + cut + 1], np.uint64))
+        content = total[at[1:]] - total[at[:-1]]
+        held = at[1:] > at[:-1]
+        if r == ROUNDS - 1:
+            content = np.where(held, content, np.arange(p, dtype=np.uint64) + np.uint64(1))
+            held[:] = True
+        yield mixed(content[held] + salt)
+        if p - np.count_nonzero(held) <= e:
+            return
+
+
+def names_of(members: np.ndarray) -> int:
+    """64-bit name of a set, from its size and two sums over its members."""
+    one, two = members.sum(dtype=np.uint64), mixed(members ^ _MEMBER).sum(dtype=np.uint64)
+    return int(mixed(mixed(np.array([one + np.uint64(len(members))], np.uint64)) + two)[0])
+
+
+def set_of(text: str | None, k: int) -> np.ndarray:
+    return np.unique(shingles(word_hashes(text or ""), k))
+
 
+def level(n: int) -> int:
+    """A sample holds the members of a set of n whose hashes are less than 2 ^ (64 - level)."""
+    return max(0, (n // SAMPLED).bit_length() - 1)
 
-def sketched(rows: DataFrame, order: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, h1, h2, prefix) of every row (id, text): size and hash of its set, and the set's prefix members."""
-    kind = rows.schema["id"].dataType.simpleString()
+
+def sketched(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, n, h, sample, tested) of every row (id, text): size and name of its set, a sample of its members, and how many
+    of these, the first ones, the sample of any linked set would hold if that set has them."""
 
     def run(batches):
         for b in batches:
-            n, one, two, prefix = [], [], [], []
+            n, h, samples, tested = [], [], [], []
             for t in b.column(1):
-                words = word_hashes(t.as_py() or "")
-                places = shingles(words, k)
-                rare = order[(words % np.uint64(ORDER_CELLS)).astype(np.int64)].astype(np.uint64)
-                least, total = np.full(len(places), np.uint64(255)), np.zeros(len(places), np.uint64)
-                for j in range(min(k, len(words))):
-                    least = np.minimum(least, rare[j : j + len(places)])
-                    total += rare[j : j + len(places)]
-                members, at = np.unique(places, return_index=True)
-                size = len(members)
-                n.append(size)
-                one.append(members.sum(dtype=np.uint64))
-                two.append(mixed(members ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                # a shingle's place in the order: the class of its rarest word, which bounds how many texts have it, the
-                # sum of its words' classes, its hash
-                weight = least << np.uint64(10) | np.minimum(total, np.uint64(1023))
-                key = weight[at] << np.uint64(45) | members >> np.uint64(19)
-                length = size - -(-num * size // den) + 1 if size else 0
-                prefix.append(np.sort(np.partition(key, length - 1)[:length]).view(np.int64) if length else np.zeros(0, np.int64))
-            arrays = [b.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (one, two)]]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "h1", "h2", "prefix"])
-
-    return rows.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, prefix array<long>")
-
-
-def linked(num: int, den: int):
+                s = set_of(t.as_py(), k)
+                n.append(len(s))
+                h.append(names_of(s))
+                samples.append(s[: np.searchsorted(s, np.uint64((1 << (64 - x)) - 1), "right")].view(np.int64) if (x := level(len(s))) else s.view(np.int64))
+                x = level(len(s) * den // num)
+                tested.append(int(np.searchsorted(s, np.uint64((1 << (64 - x)) - 1), "right")) if x else len(s))
+            arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64())), pa.array(tested, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "h", "sample", "tested"])
+
+    return rows.mapInArrow(run, "id long, n long, h long, sample array<long>, tested int")
+
+
+def possible_sets(sketches: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``classes`` that may have a link. At most 1 - t of a linked set's members are in no other set; the
+    chance that so many of a sample are has Chernoff's bound."""
+    members = sketches.where("n > 0 and id is not null").select(F.col("h"), F.posexplode("sample").alias("at", "member"), "tested")
+    members = members.select("member", "h", (F.col("at") < F.col("tested")).alias("own"))
+    alone = members.groupBy("member").agg(F.min("h").alias("h"), F.max("h").alias("last"), F.max("own").alias("own")).where("h = last and own")
+    counted = classes.join(alone.groupBy("h").agg(F.count("*").alias("u")), "h", "left")
+    u, most, tested = F.coalesce("u", F.lit(0)), 1 - num / den, F.col("tested")
+    share = u / tested
+    rest = F.when(share < 1, (tested - u) * F.log((1 - share) / (1 - most))).otherwise(0.0)
+    unlikely = F.when(share > most, u * F.log(share / most) + rest >= -math.log(MISSED)).otherwise(False)
+    return counted.where(~unlikely).drop("u")
+
+
+def gathered(top: np.ndarray, node: np.ndarray):
+    """Rows (top node, set), each once. Sets that meet here already are tied to the least of them, which alone goes on: so
+    a top node that very many sets share leaves a task as one row."""
+    order = np.lexsort((node, top))
+    top, node = top[order], node[order]
+    first = np.concatenate([[True], top[1:] != top[:-1]])
+    lead = node[first][np.cumsum(first) - 1]
+    tied = np.unique(np.stack([lead, node])[:, lead != node], axis=1)
+    name = mixed(tied[0].view(np.uint64) ^ _LEAD).view(np.int64)
+    one, at = np.unique(name, return_index=True)
+    return np.concatenate([top[first], one, name]), np.concatenate([node[first], tied[0][at], tied[1]])
+
+
+def top_nodes(texts: DataFrame, k: int, num: int, den: int, seed: int = 0) -> DataFrame:
+    """(top, node): the top nodes that sets are in, from rows (h, text, cc); those of different cc are apart."""
+
+    def run(batches):
+        starts = np.array(ranges(num, den))
+        tops, nodes, held = [], [], 0
+
+        def flush():
+            t, n = gathered(np.concatenate(tops).view(np.int64), np.repeat(np.array([x for x, _ in nodes], np.int64), [c for _, c in nodes]))
+            for s in range(0, len(t), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(t[s : s + (1 << 17)]), pa.array(n[s : s + (1 << 17)])], ["top", "node"])
+
+        for b in batches:
+            for name, text, cc in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                s = set_of(text.as_py(), k)
+                if np.array([names_of(s)], np.uint64).view(np.int64)[0] != name:
+                    continue  # another text of the same id
+                i = int(np.searchsorted(starts, len(s), "right")) - 1
+                # as the smaller set of a link, and as the larger one of a link with the range below
+                for j in (i, i - 1):
+                    if j >= 0 and slicing(j, num, den)[0] > 1 and len(s) * num <= (int(starts[j + 1]) - 1) * den:
+                        for found in slices(s, j, num, den, seed):
+                            tops.append(found ^ np.uint64(cc & (1 << 64) - 1))
+                            nodes.append((name, len(found)))
+                            held += len(found)
+                if held >= GATHERED:
+                    yield from flush()
+                    tops, nodes, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return texts.mapInArrow(run, "top long, node long")
+
+
+def linked(k: int, num: int, den: int):
     """Of the groups in one task: (a, b), a set and the set that stands for its component, where these differ."""
 
     def run(key, pdf):
         out = []
         for _, part in pdf.groupby("cc", sort=False):
-            part = part.drop_duplicates("rep")
-            sets = [np.frombuffer(s, np.uint64) for s in part["members"]]
-            known = part["label"].to_numpy()
-            rep = part["rep"].to_numpy()
-            root = rep[forest(sets, num, den, known)]
-            out.append(pd.DataFrame({"a": rep, "b": root})[rep != root])
-        return pd.concat(out)
+            sets = [set_of(t, k) for t in part["text"]]
+            h = part["h"].to_numpy()
+            # an id that several texts have brings all of them; each set is taken once, where it belongs
+            mine = np.array([names_of(s) for s in sets], np.uint64).view(np.int64) == h
+            at = np.flatnonzero(mine)
+            at = at[np.unique(h[at], return_index=True)[1]]
+            if len(at) < 2:
+                continue
+            h = h[at]
+            root = h[forest([sets[i] for i in at], num, den, part["label"].to_numpy()[at])]
+            out.append(pd.DataFrame({"a": h, "b": root})[h != root])
+        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
     return run
 
 
+def near_texts(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(h, text) of the sets ``near`` (h, rep): their rows' texts. An id of several texts gives all of them, named alike."""
+    few = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = near.select(F.col("rep").alias("id"), "h")
+    return rows.join(F.broadcast(held) if few else held, "id").select("h", "text")
+
+
+def tied(tables: Workspace, texts: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
+    """(h, cc): sets (h, text, cc) that share top nodes, and new names of their groups, which are parts of the old."""
+    upto = Window.partitionBy("top").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = top_nodes(texts.select("h", "text", "cc"), k, num, den, seed).select(F.col("node").alias("a"), F.first("node").over(upto).alias("b"))
+    ties = tables.written(met.where("a <> b").distinct(), "candidate-ties")
+    return components(ties).select(F.col("id").alias("h"), F.col("component").alias("cc"))
+
+
+def candidate_groups(tables: Workspace, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(h, cc): sets that may have a link, and the name of their candidate group."""
+    groups, before = tied(tables, texts.withColumn("cc", F.lit(0).cast("long")), k, num, den, 0), math.inf
+    for seed in range(1, SEEDS):
+        large = tables.written(groups.groupBy("cc").agg(F.count("*").alias("sets")).where(F.col("sets") > REFINED_SETS), "groups-to-refine")
+        now = large.agg(F.sum("sets")).first()[0] or 0
+        if not now or now > 0.8 * before:
+            break
+        before, held = now, groups.join(large.select("cc"), "cc")
+        parts = tied(tables, texts.join(F.broadcast(held) if now <= BROADCAST_ROWS else held, "h"), k, num, den, seed)
+        groups = tables.written(groups.join(large, "cc", "left_anti").select("h", "cc").union(parts), "refined-groups")
+    return groups
+
+
+def links_of(tables: Workspace, texts: DataFrame, near: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links among sets, enough to tie every component together."""
+    groups = tables.written(groups.join(near, "h").select("cc", "h", "n"), "candidate-groups")
+    size = groups.groupBy("cc").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
+    chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("total") / CHUNK_MEMBERS)).cast("long")
+    large = tables.written(size.select("cc", chunks.alias("chunks")).where("chunks > 1"), "large-groups")
+    total, candidates = groups.agg(F.sum("n"), F.count("*")).first()
+    tasks = max(4 * partitions(texts.sparkSession), -(-(total or 0) // TASK_MEMBERS))
+    held = groups.select("cc", "h")
+    texts = texts.join(F.broadcast(held) if candidates <= BROADCAST_ROWS else held, "h").select("cc", "h", F.col("h").alias("label"), "text")
+    columns = ["k1", "k2", "cc", "h", "label", "text"]
+    find = linked(k, num, den)
+    cut_some = large.limit(1).count() > 0
+    small = texts.join(large, "cc", "left_anti") if cut_some else texts
+    small = small.withColumn("k1", F.lit(-1).cast("long")).withColumn("k2", F.pmod(F.xxhash64("cc"), F.lit(tasks)))
+    links = tables.written(small.select(columns).groupBy("k1", "k2").applyInPandas(find, "a long, b long"), "links")
+    if not cut_some:
+        return links
+    cut = tables.written(texts.join(large, "cc").withColumn("chunk", F.pmod(F.xxhash64("h"), F.col("chunks"))), "large-texts")
+    slot = F.pmod(F.xxhash64("h", F.lit(2)), F.lit(PIVOTS))
+    pivots = cut.groupBy("cc", slot.alias("slot")).agg(F.min("h").alias("h")).select("cc", "h")
+    spread = cut.join(pivots, ["cc", "h"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = cut.unionByName(spread).withColumn("k1", F.col("cc")).withColumn("k2", F.col("chunk"))
+    in_chunks = tables.written(dealt.select(columns).groupBy("k1", "k2").applyInPandas(find, "a long, b long"), "links-in-chunks")
+    parts = components(in_chunks).withColumnRenamed("id", "h")
+    labels = cut.select("cc", "h").distinct().join(parts, "h", "left").select("cc", "h", F.coalesce("component", "h").alias("label"))
+    labels = tables.written(labels, "large-labels")
+    counts = labels.groupBy("cc", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("cc").agg(F.max(F.struct("c", "label")).getField("label").alias("main"))
+    rest = tables.written(labels.join(main, "cc").where("label <> main").select("cc", "h"), "large-rest")
+    rests = tables.written(rest.groupBy("cc").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("long").alias("rests")), "large-rests")
+    if not rests.limit(1).count():
+        return links.union(in_chunks)
+    # what pivots have not tied to the group's main part: dealt into shares, and each share meets every chunk
+    full = cut.drop("label").join(labels, ["cc", "h"]).join(rests, "cc")
+    every = full.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
+    alone = full.join(rest, ["cc", "h"], "left_semi").withColumn("k", F.pmod(F.xxhash64("h", F.lit(3)), F.col("rests")))
+    alone = alone.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    both = every.unionByName(alone).withColumn("k1", F.col("cc")).withColumn("k2", F.col("chunk") * F.col("rests") + F.col("k"))
+    more = tables.written(both.select(columns).groupBy("k1", "k2").applyInPandas(find, "a long, b long"), "links-of-rest")
+    return links.union(in_chunks).union(more)
+
+
 def near_groups(
     docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -109,89 +286,38 @@ def near_groups(
     that links of similarity >= num / den reach.
 
     Null and empty texts and texts of white space have no shingles and link with nothing; shorter texts than k words are
-    one shingle. Ids are whole numbers and meant to be unique; a repeated id is one node of the links. Extra columns are
-    ignored; an empty table gives no rows. Shingles are compared as 64-bit hashes."""
+    one shingle. Ids are whole numbers and meant to be unique; the rows of a repeated id are one node of the links. Rows
+    with a null id link with nothing. Extra columns are ignored; an empty table gives no rows. Shingles and sets are
+    compared as 64-bit hashes. The result is a table of the shared folder; what led to it is deleted."""
     spark, (num, den) = docs.sparkSession, similarity
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = rarity(rows)
-    path = new_path(spark, "shingle-sketches")
-    sketched(rows, order, k, num, den).write.parquet(path)
-    full = spark.read.parquet(path)
-    sketches = written(full.drop("prefix"), "shingle-sizes")
-    classes = full.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = written(classes, "shingle-classes")
-    discard(spark, path)  # the prefixes are in the classes now
-    # sizes of linked sets are within a factor t, so their bands are equal or next to each other
-    band = F.floor(F.log("n") / (-math.log(num / den) * 1.0001)).cast("int")
-    members = classes.select("rep", band.alias("band"), F.explode("prefix").alias("member"))
-    shared = members.groupBy("member").agg(F.count("*").alias("c")).where("c > 1").select("member")
-    banded = members.join(written(shared, "shared-shingles"), "member").withColumn("key", F.explode(F.array("band", F.col("band") + 1)))
-    banded = written(banded.select("member", "key", "rep"), "shingle-meetings")
-    leads = banded.groupBy("member", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
-    # chains within one key only: texts of other sizes don't tie groups together
-    node = lambda c: F.xxhash64(c, "key")
-    met = banded.join(written(leads, "shingle-leads"), ["member", "key"]).where("rep <> lead").select(node("rep").alias("a"), node("lead").alias("b"))
-    ccs = components(met).withColumnRenamed("component", "cc")
-    groups = written(banded.select("rep", node("rep").alias("id")).distinct().join(ccs, "id").select("cc", "rep"), "candidate-groups")
-    # a group that both keys of its band hold is worked on once
-    same = groups.groupBy("cc").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    once = same.groupBy("c", "x", "y").agg(F.min("cc").alias("cc")).select("cc")
-    groups = written(groups.join(written(once, "group-names"), "cc").join(classes.select("rep", "n"), "rep"), "candidate-groups")
-    size = groups.groupBy("cc").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
-    size = size.select("cc", F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("total") / CHUNK_MEMBERS)).cast("long").alias("chunks"))
-    large = written(size.where("chunks > 1"), "large-groups")  # at most a row for CHUNK_SETS sets or CHUNK_MEMBERS members
-    total, candidates = groups.agg(F.sum("n"), F.count("*")).first()
-    tasks = max(1, -(-(total or 0) // TASK_MEMBERS))
-    held = groups.select("rep", "cc")
-    held = F.broadcast(held) if candidates <= BROADCAST_ROWS else held
-
-    def collect(batches):
-        for b in batches:
-            sets = [np.unique(shingles(word_hashes(t.as_py() or ""), k)).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["cc", "rep", "members"])
-
-    texts = rows.join(held, rows["id"] == held["rep"]).select("cc", "rep", "text")
-    sets = texts.mapInArrow(collect, "cc long, rep long, members binary")
-    cut_some = large.limit(1).count() > 0
-    if cut_some:  # sets of large groups are needed more than once
-        sets = written(sets, "candidate-sets")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks"))
-    placed = sets.join(large, "cc", "left").withColumn("chunk", chunk).withColumn("label", F.col("rep"))
-    small = placed.where("chunks is null").withColumn("k1", F.lit(-1).cast("long")).withColumn("k2", F.pmod(F.xxhash64("cc"), F.lit(tasks)))
-    cut = placed.where("chunks is not null")
-    slot = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(PIVOTS))
-    pivots = cut.groupBy("cc", slot.alias("slot")).agg(F.min("rep").alias("rep")).select("cc", "rep")
-    spread = cut.join(pivots, ["cc", "rep"], "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    chunks = cut.unionByName(spread).withColumn("k1", F.col("cc")).withColumn("k2", F.col("chunk"))
-    columns = ["k1", "k2", "cc", "rep", "label", "members"]
-    tasks_of = (small.select(columns).union(chunks.select(columns)) if cut_some else small.select(columns)).groupBy("k1", "k2")
-    links = written(tasks_of.applyInPandas(linked(num, den), "a long, b long"), "shingle-links")
-    parts = components(links)
-    if cut_some:
-        labels = cut.select("cc", "rep", "chunks", "chunk").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-        labels = written(labels.select("cc", "rep", "chunks", "chunk", F.coalesce("component", "rep").alias("label")), "large-labels")
-        main = labels.groupBy("cc", "label").agg(F.count("*").alias("c")).groupBy("cc").agg(F.max(F.struct("c", "label")).getField("label").alias("main"))
-        rest = labels.join(F.broadcast(main), "cc").where("label <> main")  # main: a row a large group
-        some = rest.groupBy("cc").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("long").alias("rests"))
-        some = written(some, "large-rests")
-        if some.limit(1).count():
-            full = cut.drop("label").join(labels.select("cc", "rep", "label"), ["cc", "rep"]).join(F.broadcast(some), "cc")
-            mine = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("rests"))
-            every = full.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
-            every = every.select(F.col("cc").alias("k1"), (F.col("chunk") * F.col("rests") + F.col("k")).alias("k2"), "cc", "rep", "label", "members")
-            alone = full.join(rest.select("cc", "rep"), ["cc", "rep"], "left_semi").withColumn("k", mine)
-            alone = alone.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-            alone = alone.select(F.col("cc").alias("k1"), (F.col("c") * F.col("rests") + F.col("k")).alias("k2"), "cc", "rep", "label", "members")
-            more = every.union(alone).groupBy("k1", "k2").applyInPandas(linked(num, den), "a long, b long")
-            parts = components(written(links.union(more), "shingle-links"))
-    named = classes.drop("prefix", "n").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    named = written(named.select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "class-components")
-    found = sketches.where("n > 0 and id is not null").join(named, ["h1", "h2"]).select("id", "n", "component_id")
-    alone = sketches.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return found.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    with Workspace(spark, "near-groups") as tables:
+        sketches = tables.written(sketched(rows, k, num, den), "sketches")
+        sizes = tables.written(sketches.select("id", "n", "h"), "sizes")
+        nodes = sizes.where("n > 0 and id is not null")
+        firsts = sketches.where("n > 0 and id is not null").groupBy("h").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tested").alias("tested"))
+        classes = tables.written(firsts, "classes")
+        near = tables.written(possible_sets(sketches, classes, num, den).select("h", "rep", "n"), "possible-sets")
+        tables.drop(sketches)
+        texts = near_texts(rows, near)
+        links = links_of(tables, texts, near, candidate_groups(tables, texts, k, num, den), k, num, den)
+        # the sets of a repeated id are one node
+        repeated = nodes.groupBy("id").agg(F.min("h").alias("b"), F.max("h").alias("last")).where("b <> last").select("id", "b")
+        links = links.union(nodes.join(repeated, "id").where("h <> b").select(F.col("h").alias("a"), "b"))
+        parts = components(links).withColumnRenamed("id", "h")
+        tied = parts.join(classes, "h")
+        least = tied.groupBy("component").agg(F.min("rep").alias("component_id"))
+        tied = tables.written(tied.select("h", "component").join(least, "component").select("h", "component_id"), "class-components")
+        named = classes.join(tied, "h", "left").select("h", F.coalesce("component_id", "rep").alias("component_id"))
+        found = nodes.join(named, "h").select("id", "n", "component_id")
+        alone = sizes.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+        found = found.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+        return tables.kept(found, "near-groups-found")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row, that of the least id, for each group of near copies; columns unchanged. Ids must be unique."""
-    stay = near_groups(docs, k, similarity, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay")), "left_semi")
+    """``docs`` with the row of the least id for each group of near copies; columns unchanged. Rows of a repeated id stay
+    or go together; rows with a null id stay."""
+    gone = near_groups(docs, k, similarity, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("__gone"), "left_anti")
