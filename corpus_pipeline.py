@@ -17,30 +17,36 @@ LEAST_QUALITY = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labels outside the held-out quarter."""
+    """Documents that the quality classifier accepts. It learns from the labels outside the held-out quarter.
+
+    Null and empty texts are scored like any other; rows of a repeated or null id are scored one by one; an empty table
+    stays empty; other columns pass unchanged, whatever their names."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_remainder(4) != 2)
-    scores = quality.quality_scores(docs, labels)
-    kept = scores.where(F.col("score") >= LEAST_QUALITY).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    return quality.keep_good(docs, labels, LEAST_QUALITY)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts, null and blank texts being one group.
+
+    Rows of one id and text stay or go together; of rows without an id one stays for each text that no other has."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of 0.8 or more over five-word shingles tie together."""
+    """One document of each group that links of 0.8 or more over five-word shingles tie together.
+
+    Texts without words link with nothing and stay, as do rows without an id; rows of a repeated id stay or go together."""
     return jaccard_join.drop_near_copies(docs, k=5, similarity=(80, 100))
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and disclosing terms generalised to the names of their kinds."""
+    """Personal data and disclosing terms generalised to the names of their kinds; every row stays, null texts as null."""
     return pii.sanitise(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents in training sequences."""
+    """Places of the documents in training sequences. Every row has a piece, as a null or empty text has its end token;
+    rows of a repeated id are packed each."""
     return packing.pack(docs, packing.byte_tokens())
 
 
