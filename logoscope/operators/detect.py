@@ -16,16 +16,17 @@ def detect(texts: DataFrame, model: DataFrame, key: list[str], enabled: list[str
     """(key, script_lang, lang, conf, words): the language by script (a sentinel or enabled), else the likeliest one.
 
     ``words`` is the number of natural words. Only texts without a script language are scored, and of these only what
-    letters and natural words leave; texts that leave nothing have no language."""
+    letters and natural words leave; texts that leave nothing have no language. Keys must be unique."""
     tier = scripts.usable(scripts.script_language(scripts.dominant_script(F.col(text_col))), F.array(*[F.lit(x) for x in enabled]))
     natural = X.natural_words(X.clean_letters(F.col(text_col)))
+    by = ngram.wide(model, enabled)
     rows = texts.where(~X.is_blank(F.col(text_col))).select(*key, tier.alias("script_lang"), natural.alias("natural"))
-    rows = rows.select(*key, "script_lang", F.size("natural").alias("words"), F.array_join("natural", " ").alias("natural"))
-    rest = rows.where("script_lang is null and words > 0")
-    found = ngram.top(ngram.scores(rest, model.where(F.col("lang").isin(enabled)), key, "natural"), key)
-    return rows.join(found, key, "left").select(
-        *key, "script_lang", F.coalesce("script_lang", "lang").alias("lang"), F.when(F.col("script_lang").isNull(), F.col("conf")).alias("conf"), "words"
-    )
+    # texts that aren't scored keep one row without a gram; so nothing is joined back, and texts are read once
+    scored = F.when(F.col("script_lang").isNull(), ngram.grams_of(ngram.word_list(F.array_join("natural", " "))))
+    rows = rows.select(*key, "script_lang", F.size("natural").alias("words"), F.explode_outer(scored).alias("gram"))
+    found = by.joined(rows).groupBy(*key, "script_lang", "words").agg(*by.sums() or [F.count("*").alias("s_0")])
+    best = found.select(*key, "script_lang", "words", F.array_min(by.scored()).alias("b"))
+    return best.select(*key, "script_lang", F.coalesce("script_lang", "b.lang").alias("lang"), F.col("b.conf").alias("conf"), "words")
 
 
 def resolve(

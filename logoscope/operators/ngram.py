@@ -1,16 +1,21 @@
 """Statistical language identification: character trigrams with add-one smoothing, scored word by word.
 
-The logarithms are whole numbers of millionths, so sums don't depend on their order. A text's score is the sum of its
-words' scores, so the model is joined to distinct words, not to texts, and each word of the corpus is scored once.
+The logarithms are whole numbers of millionths, so sums don't depend on their order. A text's score is the sum over its
+grams; the model has one row a gram, so it is broadcast, and a text is scored where it lies: its grams are summed in the
+task that reads it, and what is shuffled is one row a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of a gram; scale of the stored logarithms.
 GRAM, SCALE = 3, 1_000_000
+#: Grams of a model that is broadcast; one with more (very large alphabets) is joined by shuffle.
+BROADCAST_GRAMS = 500_000
 
 
 def word_list(text) -> F.Column:
@@ -37,28 +42,64 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return counts.join(F.broadcast(totals), "lang").select("lang", "gram", "n", scaled.alias("lp"), unseen.alias("unseen"))
 
 
-def word_scores(words: DataFrame, model: DataFrame) -> DataFrame:
-    """(word, lang, score) of distinct words in every language of the model: the unseen value for each gram, and what
-    the grams that the model has add to it."""
-    languages = model.groupBy("lang").agg(F.min("unseen").alias("unseen"))  # a row a language
-    length = F.length("word") + 2 - (GRAM - 1)
-    base = words.crossJoin(F.broadcast(languages)).select("word", "lang", (length * F.col("unseen")).alias("s"))
-    gain = grams(words).join(model, "gram").select("word", "lang", (F.col("lp") - F.col("unseen")).alias("s"))
-    return base.union(gain).groupBy("word", "lang").agg(F.sum("s").alias("score"))
+@dataclass
+class Wide:
+    """A model as one row a gram: ``table`` (gram, lp_0, lp_1, ...) with a column a language, and each one's unseen value."""
+
+    table: DataFrame
+    languages: list[str]
+    unseen: list[int]
+
+    def lp(self, i: int) -> Column:
+        return F.coalesce(F.col(f"lp_{i}"), F.lit(self.unseen[i]))
+
+    def sums(self) -> list[Column]:
+        """Score of every language over the grams of a group of rows; null for a group without grams."""
+        return [F.sum(F.when(F.col("gram").isNotNull(), self.lp(i))).alias(f"s_{i}") for i in range(len(self.languages))]
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.table, "gram", "left")
+
+    def scored(self) -> Column:
+        """array<struct<s, lang, conf>> of the sums: s is the score turned round, so the least is the best; conf the
+        softmax of the scores. Of equal scores the first language by code comes first. Null without sums."""
+        n = range(len(self.languages))
+        if not n:
+            return F.lit(None).cast("array<struct<s:bigint,lang:string,conf:double>>")
+        best = F.greatest(*[F.col(f"s_{i}") for i in n]) if len(n) > 1 else F.col("s_0")
+        shares = [F.exp((F.col(f"s_{i}") - best) / SCALE) for i in n]
+        total = sum(shares[1:], shares[0])
+        found = F.array(*[F.struct((-F.col(f"s_{i}")).alias("s"), F.lit(x).alias("lang"), (shares[i] / total).alias("conf")) for i, x in enumerate(self.languages)])
+        return F.when(F.col("s_0").isNotNull(), found)
+
+
+def wide(model: DataFrame, enabled: list[str] | None = None) -> Wide:
+    """``model`` (of few languages, which are collected) in the shape for scoring, restricted to ``enabled`` languages."""
+    known = model if enabled is None else model.where(F.col("lang").isin(enabled))
+    languages = sorted((r.lang, r.unseen) for r in known.groupBy("lang").agg(F.min("unseen").alias("unseen")).collect())
+    columns = [F.max(F.when(F.col("lang") == x, F.col("lp"))).alias(f"lp_{i}") for i, (x, _) in enumerate(languages)]
+    table = known.groupBy("gram").agg(*columns) if columns else known.select("gram").distinct()
+    few = table.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return Wide(F.broadcast(table) if few else table, [x for x, _ in languages], [u for _, u in languages])
+
+
+def grams_of(words: Column) -> Column:
+    """Grams of an array of words, as ``grams`` cuts them."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(GRAM)))
+    return F.flatten(F.transform(words, cut))
 
 
 def scores(texts: DataFrame, model: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """(key, lang, score, conf): confidence of every language for every text with a word, as a softmax of the scores."""
-    words = texts.select(*key, F.explode(word_list(F.col(text_col))).alias("word"))
-    counted = words.groupBy(*key, "word").agg(F.count("*").alias("c"))
-    known = word_scores(words.select("word").distinct(), model)
-    summed = counted.join(known, "word").groupBy(*key, "lang").agg(F.sum(F.col("c") * F.col("score")).alias("score"))
-    of_text = Window.partitionBy(*key)
-    share = F.exp((F.col("score") - F.max("score").over(of_text)) / SCALE)
-    return summed.select(*key, "lang", "score", share.alias("e")).withColumn("conf", F.col("e") / F.sum("e").over(of_text)).drop("e")
-
-
-def top(scored: DataFrame, key: list[str]) -> DataFrame:
-    """(key, lang, conf): the likeliest language of each text; of equals the first by code."""
-    best = F.min(F.struct((-F.col("score")).alias("s"), "lang", "conf")).alias("b")
-    return scored.groupBy(*key).agg(best).select(*key, F.col("b.lang").alias("lang"), F.col("b.conf").alias("conf"))
+    by = wide(model)
+    rows = by.joined(texts.select(*key, F.explode(grams_of(word_list(F.col(text_col)))).alias("gram")))
+    found = rows.groupBy(*key).agg(*by.sums()).select(*key, F.explode(by.scored()).alias("x"))
+    return found.select(*key, F.col("x.lang").alias("lang"), (-F.col("x.s")).alias("score"), F.col("x.conf").alias("conf"))
+
+
+def top(texts: DataFrame, model: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
+    """(key, lang, conf): the likeliest language of each text with a word; of equals the first by code."""
+    by = wide(model)
+    rows = by.joined(texts.select(*key, F.explode(grams_of(word_list(F.col(text_col)))).alias("gram")))
+    best = rows.groupBy(*key).agg(*by.sums()).select(*key, F.array_min(by.scored()).alias("b"))
+    return best.select(*key, F.col("b.lang").alias("lang"), F.col("b.conf").alias("conf"))

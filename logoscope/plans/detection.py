@@ -10,6 +10,7 @@ from logoscope.plans import duck as D
 from logoscope.plans.registry import query, table
 from logoscope.plans.texts import lines2
 from logoscope.sources import utterances as U
+from logoscope.sources.scratch import scratch
 
 ENABLED = ["de", "en", "es", "fr", "ru", "he"]
 
@@ -35,7 +36,10 @@ def scored(source: str, key: str) -> str:
 
 
 def model_of(spark, sf_dir):
-    return ngram.train(table(spark, sf_dir, "documents"))
+    """The model, trained once for a query and written: scoring reads it for its languages and its grams."""
+    path = scratch(spark, "ngram-model")
+    ngram.train(table(spark, sf_dir, "documents")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("ngram_train", f"WITH {MODEL} SELECT lang, gram, n, lp FROM model")
@@ -62,7 +66,7 @@ TOP = "SELECT {key}, arg_min(lang, (-score, lang)) AS lang, arg_min(conf, (-scor
 @query("top_language", f"WITH {MODEL}, {scored(LINES, 'doc_id, line_no')}, t AS ({TOP.format(key='doc_id, line_no')}) SELECT doc_id, line_no, lang, round(conf, 4) AS conf FROM t")
 def top_language(spark, sf_dir):
     key = ["doc_id", "line_no"]
-    return ngram.top(ngram.scores(plain_lines(spark, sf_dir), model_of(spark, sf_dir), key), key).withColumn("conf", F.round("conf", 4))
+    return ngram.top(plain_lines(spark, sf_dir), model_of(spark, sf_dir), key).withColumn("conf", F.round("conf", 4))
 
 
 def detected(source: str, key: str, using: str) -> str:
