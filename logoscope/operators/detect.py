@@ -22,7 +22,7 @@ def detect(texts: DataFrame, model: DataFrame, key: list[str], enabled: list[str
     by = ngram.wide(model, enabled)
     rows = texts.where(~X.is_blank(F.col(text_col))).select(*key, tier.alias("script_lang"), natural.alias("natural"))
     # texts that aren't scored keep one row without a gram; so nothing is joined back, and texts are read once
-    scored = F.when(F.col("script_lang").isNull(), ngram.grams_of(ngram.word_list(F.array_join("natural", " "))))
+    scored = F.when(F.col("script_lang").isNull(), ngram.grams_of(F.array_join("natural", " ")))
     rows = rows.select(*key, "script_lang", F.size("natural").alias("words"), F.explode_outer(scored).alias("gram"))
     found = by.joined(rows).groupBy(*key, "script_lang", "words").agg(*by.sums() or [F.count("*").alias("s_0")])
     best = found.select(*key, "script_lang", "words", F.array_min(by.scored()).alias("b"))

@@ -83,16 +83,19 @@ def wide(model: DataFrame, enabled: list[str] | None = None) -> Wide:
     return Wide(F.broadcast(table) if few else table, [x for x, _ in languages], [u for _, u in languages])
 
 
-def grams_of(words: Column) -> Column:
-    """Grams of an array of words, as ``grams`` cuts them."""
+def grams_of(text: Column) -> Column:
+    """Grams of the words of a text, as ``grams`` cuts them: each word gets spaces of its own before and after it, and a
+    gram is a letter with what stands beside it. Texts with letters beyond 16 bits are cut word by word."""
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit("  "))
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(GRAM)))
-    return F.flatten(F.transform(words, cut))
+    slow = F.flatten(F.transform(word_list(text), cut))
+    return F.when(text.rlike(r"[\x{10000}-\x{10ffff}]"), slow).otherwise(F.regexp_extract_all(padded, F.lit(r"(?=(.\p{L}.))"), F.lit(1)))
 
 
 def scores(texts: DataFrame, model: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """(key, lang, score, conf): confidence of every language for every text with a word, as a softmax of the scores."""
     by = wide(model)
-    rows = by.joined(texts.select(*key, F.explode(grams_of(word_list(F.col(text_col)))).alias("gram")))
+    rows = by.joined(texts.select(*key, F.explode(grams_of(F.col(text_col))).alias("gram")))
     found = rows.groupBy(*key).agg(*by.sums()).select(*key, F.explode(by.scored()).alias("x"))
     return found.select(*key, F.col("x.lang").alias("lang"), (-F.col("x.s")).alias("score"), F.col("x.conf").alias("conf"))
 
@@ -100,6 +103,6 @@ def scores(texts: DataFrame, model: DataFrame, key: list[str], text_col: str = "
 def top(texts: DataFrame, model: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
     """(key, lang, conf): the likeliest language of each text with a word; of equals the first by code."""
     by = wide(model)
-    rows = by.joined(texts.select(*key, F.explode(grams_of(word_list(F.col(text_col)))).alias("gram")))
+    rows = by.joined(texts.select(*key, F.explode(grams_of(F.col(text_col))).alias("gram")))
     best = rows.groupBy(*key).agg(*by.sums()).select(*key, F.array_min(by.scored()).alias("b"))
     return best.select(*key, F.col("b.lang").alias("lang"), F.col("b.conf").alias("conf"))

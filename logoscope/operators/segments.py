@@ -14,32 +14,26 @@ NEAR, PAUSE = 2, 0.3
 
 def mixed_segments(texts: DataFrame, model: DataFrame, key: list[str], most: int = X.MIXED_MOST, text_col: str = "text") -> DataFrame:
     """(key, seg, lang, text): runs of words whose smoothed scores favour one language, of texts with two languages or
-    more. Texts of fewer than 8 or more than ``most`` words aren't split, which also bounds the array of a text's words.
+    more. Texts of fewer than 8 or more than ``most`` words aren't split, which also bounds the windows.
 
-    Words are scored where a text lies; one row a text then holds its words in order, and smoothing and runs are array
-    functions on it. Words without letters have no language of their own: they take that of the words around."""
+    Words are scored where a text lies, a row a word; smoothing and runs are windows over one sort by text. Words without
+    letters have no language of their own: they take that of the words around."""
     by = ngram.wide(model)
     n = range(len(by.languages))
     split = texts.where(X.mixed_eligible(F.col(text_col), F.lit(2), most)).select(*key, F.posexplode(X.words(F.col(text_col))).alias("pos", "token"))
     word = F.array_join(ngram.word_list(F.col("token")), "")
-    cut = split.select(*key, "pos", "token", F.explode_outer(ngram.grams_of(F.filter(F.array(word), lambda w: w != ""))).alias("gram"))
-    scored = by.joined(cut).groupBy(*key, "pos", "token").agg(*by.sums())
-    one = F.struct("pos", "token", *[F.coalesce(F.col(f"s_{i}"), F.lit(0)).alias(f"s_{i}") for i in n])
-    lines = scored.groupBy(*key).agg(F.array_sort(F.collect_list(one)).alias("w"))
-
-    def language(x, i):
-        near = F.slice("w", F.greatest(i - NEAR + 1, F.lit(1)), F.least(i, F.lit(NEAR)) + NEAR + 1)
-        total = lambda name: F.aggregate(near, F.lit(0).cast("long"), lambda a, y: a + y[name])
-        best = F.array_min(F.array(*[F.struct((-total(f"s_{k}")).alias("s"), F.lit(by.languages[k]).alias("lang")) for k in n]))
-        return F.struct(x["token"].alias("token"), best["lang"].alias("lang"))
-
-    spoken = lines.select(*key, F.transform("w", language).alias("w"))
-    several = spoken.where(F.size(F.array_distinct(F.transform("w", lambda x: x["lang"]))) > 1)
-    # a run starts where the language differs from that of the word before
-    starts = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i)["lang"] != F.get("w", F.greatest(i - 1, F.lit(0)))["lang"]))
-    runs = several.select(*key, "w", starts.alias("at")).select(*key, "w", "at", F.posexplode("at").alias("seg", "first"))
-    words = F.slice("w", F.col("first") + 1, F.coalesce(F.get("at", F.col("seg") + 1), F.size("w")) - F.col("first"))
-    return runs.select(*key, "seg", F.get("w", F.col("first"))["lang"].alias("lang"), F.array_join(F.transform(words, lambda x: x["token"]), " ").alias("text"))
+    cut = split.select(*key, "pos", "token", F.explode_outer(ngram.grams_of(word)).alias("gram"))
+    scored = by.joined(cut).groupBy(*key, "pos").agg(F.first("token").alias("token"), *by.sums())
+    along = Window.partitionBy(*key).orderBy("pos")
+    near = [F.sum(F.coalesce(F.col(f"s_{i}"), F.lit(0))).over(along.rowsBetween(-NEAR, NEAR)).alias(f"near_{i}") for i in n]
+    best = F.array_min(F.array(*[F.struct((-F.col(f"near_{i}")).alias("s"), F.lit(by.languages[i]).alias("lang")) for i in n]))
+    spoken = scored.select(*key, "pos", "token", *near).select(*key, "pos", "token", best.getField("lang").alias("lang"))
+    changed = (F.lag("lang").over(along) != F.col("lang")).cast("int")
+    runs = spoken.withColumn("changed", F.coalesce(changed, F.lit(0))).withColumn("seg", F.sum("changed").over(along))
+    whole = Window.partitionBy(*key)
+    runs = runs.withColumn("least", F.min("lang").over(whole)).withColumn("most", F.max("lang").over(whole)).where("least <> most")
+    said = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "token"))).getField("token"), " ")
+    return runs.groupBy(*key, "seg", "lang").agg(said.alias("text")).select(*key, F.col("seg").cast("int").alias("seg"), "lang", "text")
 
 
 def switch_pauses(segments: DataFrame, key: list[str], order: str = "seg", pause: float = PAUSE) -> DataFrame:
