@@ -3,6 +3,7 @@ settings are written from their keys by SQL that Spark and DuckDB share."""
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -284,6 +285,6 @@ def built_in():
 )
 def merge_char_names(spark, sf_dir):
     known = spark.createDataFrame(built_in(), "ch string, unicode_name string, name string")
-    others = spark.createDataFrame([(chr(p), unicodedata.name(chr(p), None)) for p in range(0x20, 0x3000)], "ch string, unicode_name string").where("unicode_name is not null")
+    others = spark.createDataFrame([(chr(p), unicodedata.name(chr(p), None)) for p in range(0x20, sys.maxunicode + 1)], "ch string, unicode_name string").where("unicode_name is not null")
     tenants = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tenant"))
     return named(S.merged_names(tenants, known, custom(spark, sf_dir), others))
