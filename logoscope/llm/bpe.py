@@ -26,13 +26,17 @@ class Remembered(dict):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
+    def rotate(self):
+        """A new generation, once this one has ``limit`` pieces; callers that add many at once call it before."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+
     def __missing__(self, piece):
         found = self.old.get(piece)
         if found is None:
             found = self.compute(piece)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
+        self.rotate()
         self[piece] = found
         return found
 
@@ -202,6 +206,7 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         cut = [pieces(t) for t in texts]
+        self.cache.rotate()
         self.learn(set().union(*cut) - self.cache.keys())
         return [list(chain.from_iterable(map(self.cache.__getitem__, x))) for x in cut]
 
