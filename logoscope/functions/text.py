@@ -16,6 +16,8 @@ EDGES, TECHNICAL = r"[.,;:!?\x22'()\[\]{}]", r"[/\\|<>{}$]"
 SHORT_CAPITALS, MIXED_LEAST, MIXED_MOST = 4, 8, 600
 #: Where a sentence ends (fixed value), and words of a chunk at most.
 SENTENCE_END, CHUNK_WORDS = rf"(?<=[.!?])[{SPACE}]+|\n+", 40
+#: Words above which a text of mixed language is searched chunk by chunk (fixed value).
+WHOLE_WORDS = 30
 
 
 def trimmed(c: Column) -> Column:

@@ -16,21 +16,33 @@ def mixed_segments(texts: DataFrame, model: DataFrame, key: list[str], most: int
     """(key, seg, lang, text): runs of words whose smoothed scores favour one language, of texts with two languages or
     more. Texts of fewer than 8 or more than ``most`` words aren't split, which also bounds the windows.
 
-    Words are scored where a text lies, a row a word; smoothing and runs are windows over one sort by text. Words without
-    letters have no language of their own: they take that of the words around."""
+    Texts of more than 30 words are taken sentence by sentence (at most 40 words each): a run ends with its chunk, and a
+    chunk of fewer than 8 words is of one language. Chunks without letters say nothing. Words without letters have no
+    language of their own: they take that of the words around.
+
+    Texts are dealt by key once, before they are cut; grams, words, windows and runs stay in that partitioning."""
     by = ngram.wide(model)
     n = range(len(by.languages))
-    split = texts.where(X.mixed_eligible(F.col(text_col), F.lit(2), most)).select(*key, F.posexplode(X.words(F.col(text_col))).alias("pos", "token"))
+    text = F.col(text_col)
+    long = F.size(X.words(text)) > X.WHOLE_WORDS
+    dealt = texts.where(X.mixed_eligible(text, F.lit(2), most)).select(*key, text_col).repartition(*key)
+    chunks = F.when(long, X.sentence_chunks(text)).otherwise(F.array(text))
+    cut = dealt.select(*key, long.alias("long"), F.posexplode(chunks).alias("chunk", "part")).where(F.col("part").rlike(r"\p{L}"))
+    tokens = X.words(F.col("part"))
+    short = F.col("long") & (F.size(tokens) < X.MIXED_LEAST)
+    split = cut.select(*key, "chunk", short.alias("short"), F.posexplode(tokens).alias("pos", "token"))
     word = F.array_join(ngram.word_list(F.col("token")), "")
-    cut = split.select(*key, "pos", "token", F.explode_outer(ngram.grams_of(word)).alias("gram"))
-    scored = by.joined(cut).groupBy(*key, "pos").agg(F.first("token").alias("token"), *by.sums())
-    along = Window.partitionBy(*key).orderBy("pos")
-    near = [F.sum(F.coalesce(F.col(f"s_{i}"), F.lit(0))).over(along.rowsBetween(-NEAR, NEAR)).alias(f"near_{i}") for i in n]
+    graded = split.select(*key, "chunk", "short", "pos", "token", F.explode_outer(ngram.grams_of(word)).alias("gram"))
+    scored = by.joined(graded).groupBy(*key, "chunk", "pos").agg(F.first("token").alias("token"), F.first("short").alias("short"), *by.sums())
+    inside = Window.partitionBy(*key, "chunk").orderBy("pos")
+    around, across = inside.rowsBetween(-NEAR, NEAR), inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    score = lambda i: F.coalesce(F.col(f"s_{i}"), F.lit(0))
+    near = [F.when(F.col("short"), F.sum(score(i)).over(across)).otherwise(F.sum(score(i)).over(around)).alias(f"near_{i}") for i in n]
     best = F.array_min(F.array(*[F.struct((-F.col(f"near_{i}")).alias("s"), F.lit(by.languages[i]).alias("lang")) for i in n]))
-    spoken = scored.select(*key, "pos", "token", *near).select(*key, "pos", "token", best.getField("lang").alias("lang"))
-    changed = (F.lag("lang").over(along) != F.col("lang")).cast("int")
+    spoken = scored.select(*key, "chunk", "pos", "token", *near).select(*key, "chunk", "pos", "token", best.getField("lang").alias("lang"))
+    along, whole = Window.partitionBy(*key).orderBy("chunk", "pos"), Window.partitionBy(*key)
+    changed = ((F.lag("lang").over(along) != F.col("lang")) | (F.lag("chunk").over(along) != F.col("chunk"))).cast("int")
     runs = spoken.withColumn("changed", F.coalesce(changed, F.lit(0))).withColumn("seg", F.sum("changed").over(along))
-    whole = Window.partitionBy(*key)
     runs = runs.withColumn("least", F.min("lang").over(whole)).withColumn("most", F.max("lang").over(whole)).where("least <> most")
     said = F.array_join(F.array_sort(F.collect_list(F.struct("pos", "token"))).getField("token"), " ")
     return runs.groupBy(*key, "seg", "lang").agg(said.alias("text")).select(*key, F.col("seg").cast("int").alias("seg"), "lang", "text")
@@ -42,7 +54,10 @@ def switch_pauses(segments: DataFrame, key: list[str], order: str = "seg", pause
     return segments.withColumn("pause", F.when(before != F.col("lang"), F.lit(float(max(0.0, pause)))).otherwise(0.0))
 
 
-def switch_events(spoken: DataFrame, session: str, order: str, lang: str, start: str) -> DataFrame:
-    """(session, order, before, lang) of each effective change of language; sessions begin in ``start``."""
+def switch_events(spoken: DataFrame, session: str, order: str, lang: str, start: str, voiced: list[str]) -> DataFrame:
+    """(session, order, before, lang) of each effective change of language; sessions begin in ``start``.
+
+    Only a language with a voice (see ``voiced``) takes effect: another one, or a sentinel, leaves the voice as it is."""
     before = F.coalesce(F.lag(lang).over(Window.partitionBy(session).orderBy(order)), F.lit(start))
-    return spoken.select(session, order, before.alias("before"), F.col(lang).alias("lang")).where("lang <> before")
+    heard = spoken.where(F.col(lang).isin(voiced))
+    return heard.select(session, order, before.alias("before"), F.col(lang).alias("lang")).where("lang <> before")

@@ -20,13 +20,18 @@ THRESHOLD, SURE, LEAST_WORDS = 2, 0.92, 3
 
 @dataclass
 class Session:
-    """State of one session; ``heard`` holds the last detections that have not switched, at most ``threshold``."""
+    """State of one session; ``heard`` holds the last detections that have not switched, at most ``threshold``.
+
+    ``statistical`` false leaves detection by script alone; ``fallback`` false gives null where there is no signal, instead
+    of the current language, and leaves the state as it is where a script is found."""
 
     default: str = "en"
     threshold: int = THRESHOLD
     sure: float = SURE
     current: str | None = None
     heard: list[str] = field(default_factory=list)
+    statistical: bool = True
+    fallback: bool = True
 
     def _become(self, lang: str) -> str:
         self.current, self.heard = lang, []
@@ -34,14 +39,17 @@ class Session:
 
     def step(self, script: str | None, lang: str | None, conf: float | None, words: int | None, hint: str | None = None) -> str | None:
         """Language in which an utterance is spoken. ``script`` is its language by script; ``lang`` the detected one, null
-        for blank text; a ``hint`` (with a voice) becomes current, and detections heard before stay."""
+        for text without words, and ``words`` null for blank text; a ``hint`` (with a voice) becomes current, and
+        detections heard before stay."""
         if hint is not None:
             self.current = hint
             return hint
         if script in SENTINELS:
             return script
         if script is not None:
-            return self._become(script)
+            return self._become(script) if self.fallback else script
+        if words is None or not self.statistical:
+            return self.current if self.fallback else None
         if lang is None:
             return self.current
         if lang == self.current:
@@ -56,7 +64,7 @@ class Session:
         return self._become(lang) if self.heard == [lang] * self.threshold else self.current
 
 
-def session_language(rows: DataFrame, default: str = "en", threshold: int = THRESHOLD, sure: float = SURE) -> DataFrame:
+def session_language(rows: DataFrame, default: str = "en", threshold: int = THRESHOLD, sure: float = SURE, statistical: bool = True, fallback: bool = True) -> DataFrame:
     """``rows`` (session, seq, script_lang, lang, conf, words, hint) with the language that is spoken.
 
     Sessions begin in the default language. Null sessions are one session. Order within a session is by seq."""
@@ -70,7 +78,7 @@ def session_language(rows: DataFrame, default: str = "en", threshold: int = THRE
             spoken = []
             for session, _, script, lang, conf, words, hint in zip(*columns, strict=True):
                 if session != of:
-                    of, state = session, Session(default, threshold, sure, default)
+                    of, state = session, Session(default, threshold, sure, default, [], statistical, fallback)
                 spoken.append(state.step(script, lang, conf, words, hint))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spoken, pa.string())], ["session", "seq", "spoken"])
 

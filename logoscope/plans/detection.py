@@ -169,26 +169,50 @@ def session_language(spark, sf_dir):
     return session.session_language(turn_detections(spark, sf_dir))
 
 
-@query("switch_events", SESSIONS + """ SELECT session, seq, before, lang FROM (SELECT conv_id AS session, turn AS seq, spoken AS lang,
-  coalesce(lag(spoken) OVER (PARTITION BY conv_id ORDER BY turn), 'en') AS before FROM f WHERE rn > 0) WHERE lang <> before""")
+@query(
+    "session_language_scripts",
+    f"""WITH t AS (SELECT concat_ws('/', conv_id, turn) AS k, * FROM {TURNS})
+        SELECT conv_id AS session, turn AS seq, CASE WHEN l IN ('ipa', 'unicode_braille', {", ".join(D.quoted(x) for x in ENABLED)}) THEN l END AS spoken
+        FROM t JOIN (SELECT k, {D.case('dominant', T.SCRIPT_LANGUAGES)} AS l FROM {D.dominant('t', 'k')}) USING (k)""",
+)
+def session_language_scripts(spark, sf_dir):
+    """Detection by script alone that doesn't fall back to the current language: null without a signal."""
+    return session.session_language(turn_detections(spark, sf_dir), statistical=False, fallback=False)
+
+
+#: Effective changes: each turn has the last language with a voice so far.
+EVENTS = """ SELECT session, seq, before, lang FROM (SELECT *, coalesce(lag(lang) OVER (PARTITION BY session ORDER BY seq), 'en') AS before FROM (
+  SELECT conv_id AS session, turn AS seq, coalesce(last_value(CASE WHEN spoken IN ('en', 'de', 'ru') THEN spoken END IGNORE NULLS)
+    OVER (PARTITION BY conv_id ORDER BY turn), 'en') AS lang FROM f WHERE rn > 0)) WHERE lang <> before"""
+
+
+@query("switch_events", SESSIONS + EVENTS)
 def switch_events(spark, sf_dir):
-    return segments.switch_events(session.session_language(turn_detections(spark, sf_dir)), "session", "seq", "spoken", "en")
+    return segments.switch_events(session.session_language(turn_detections(spark, sf_dir)), "session", "seq", "spoken", "en", VOICED)
 
 
 #: Lines with a clause in another language written in.
 MIXED = """text || CASE doc_id % 3 WHEN 0 THEN ' der die und nicht mit sich auf das ist ein' WHEN 1 THEN ' les des que dans pour sur une est par pas' ELSE '' END"""
 MIXED_LINES = D.lines(f"(SELECT doc_id, source, lang, {MIXED} AS text FROM documents)")
-TOKENS = f"""tk AS (SELECT doc_id, line_no, token, pos, regexp_replace(lower(token), '[^\\p{{L}}]', '', 'g') AS word FROM (
-   SELECT doc_id, line_no, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, line_no, {D.words('text')} AS w FROM {MIXED_LINES}) WHERE length(w) BETWEEN 8 AND 600))"""
-SEGMENTS = f"""WITH {MODEL}, {TOKENS}, dw AS (SELECT DISTINCT word FROM tk WHERE word <> ''),
+PIECES = f"""ln AS (SELECT doc_id, line_no, text, length({D.words('text')}) AS n FROM {MIXED_LINES}),
+ pa AS (SELECT doc_id, line_no, n, unnest(parts) AS part, generate_subscripts(parts, 1) AS p FROM (SELECT *, CASE WHEN n <= 30 THEN [text]
+   ELSE regexp_split_to_array(regexp_replace(text, '([.!?])[{D.S}]+', '\\1' || chr(1), 'g'), '\\x{{1}}|\\n+') END AS parts FROM ln WHERE n BETWEEN 8 AND 600)),
+ pw AS (SELECT doc_id, line_no, n, p, {D.words('part')} AS w FROM pa),
+ pk AS (SELECT *, unnest(range(0, length(w), 40)) AS k FROM pw),
+ pc AS (SELECT doc_id, line_no, n, p, k, w[k + 1:k + 40] AS t FROM pk),
+ tk AS (SELECT doc_id, line_no, p, k, short, token, pos, regexp_replace(lower(token), '[^\\p{{L}}]', '', 'g') AS word FROM (
+   SELECT doc_id, line_no, p, k, n > 30 AND length(t) < 8 AS short, unnest(t) AS token, generate_subscripts(t, 1) AS pos
+   FROM pc WHERE regexp_matches(array_to_string(t, ' '), '\\p{{L}}')))"""
+SEGMENTS = f"""WITH {MODEL}, {PIECES}, dw AS (SELECT DISTINCT word FROM tk WHERE word <> ''),
  la AS (SELECT lang, min(unseen) AS unseen FROM model GROUP BY lang),
  wsc AS (SELECT word, lang, sum(s) AS score FROM (SELECT word, lang, length(word) * unseen AS s FROM dw, la
    UNION ALL SELECT word, lang, lp - unseen FROM (SELECT word, {GRAMS} AS gram FROM dw) JOIN model USING (gram)) GROUP BY ALL),
- full_ AS (SELECT doc_id, line_no, pos, token, la.lang, coalesce(score, 0) AS score FROM tk CROSS JOIN la LEFT JOIN wsc ON wsc.word = tk.word AND wsc.lang = la.lang),
- sm AS (SELECT *, sum(score) OVER (PARTITION BY doc_id, line_no, lang ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM full_),
- be AS (SELECT doc_id, line_no, pos, token, arg_min(lang, (-s, lang)) AS lang FROM sm GROUP BY ALL),
- ch AS (SELECT *, CASE WHEN lag(lang) OVER w <> lang THEN 1 ELSE 0 END AS c FROM be WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY pos)),
- ru AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS seg FROM ch),
+ full_ AS (SELECT doc_id, line_no, p, k, short, pos, token, la.lang, coalesce(score, 0) AS score FROM tk CROSS JOIN la LEFT JOIN wsc ON wsc.word = tk.word AND wsc.lang = la.lang),
+ sm AS (SELECT *, CASE WHEN short THEN sum(score) OVER (PARTITION BY doc_id, line_no, p, k, lang)
+   ELSE sum(score) OVER (PARTITION BY doc_id, line_no, p, k, lang ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS s FROM full_),
+ be AS (SELECT doc_id, line_no, p, k, pos, token, arg_min(lang, (-s, lang)) AS lang FROM sm GROUP BY ALL),
+ ch AS (SELECT *, CASE WHEN lag(lang) OVER w IS NOT DISTINCT FROM lang THEN 0 ELSE 1 END AS c FROM be WINDOW w AS (PARTITION BY doc_id, line_no, p, k ORDER BY pos)),
+ ru AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, line_no ORDER BY p, k, pos) - 1 AS seg FROM ch),
  sg AS (SELECT doc_id, line_no, seg::INTEGER AS seg, lang, string_agg(token, ' ' ORDER BY pos) AS text FROM ru GROUP BY ALL),
  fin AS (SELECT * FROM sg WHERE (doc_id, line_no) IN (SELECT (doc_id, line_no) FROM sg GROUP BY doc_id, line_no HAVING count(DISTINCT lang) > 1))"""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from logoscope.functions import rewrite
 from logoscope.plans import duck as D
-from logoscope.plans.detection import SESSIONS, turn_detections
+from logoscope.plans.detection import EVENTS, SESSIONS, VOICED, turn_detections
 from logoscope.plans.registry import query, table
 from logoscope.plans.texts import docs2
 from logoscope.sources import utterances as U
@@ -40,7 +40,7 @@ def spoken_stream(spark, sf_dir):
     path = scratch(spark, "detections")
     found = turn_detections(spark, sf_dir)
     found.write.parquet(path)
-    return to_end(session_stream(spark.readStream.schema(found.schema).parquet(path)), "sessions")
+    return to_end(session_stream(spark.readStream.schema(found.schema).parquet(path), voiced=VOICED), "sessions")
 
 
 @query("session_language_stream", SESSIONS + " SELECT conv_id AS session, turn AS seq, spoken FROM f WHERE rn > 0")
@@ -48,7 +48,6 @@ def session_language_stream(spark, sf_dir):
     return spoken_stream(spark, sf_dir).select("session", "seq", "spoken")
 
 
-@query("switch_events_stream", SESSIONS + """ SELECT session, seq, before, lang FROM (SELECT conv_id AS session, turn AS seq, spoken AS lang,
-  coalesce(lag(spoken) OVER (PARTITION BY conv_id ORDER BY turn), 'en') AS before FROM f WHERE rn > 0) WHERE lang <> before""")
+@query("switch_events_stream", SESSIONS + EVENTS)
 def switch_events_stream(spark, sf_dir):
-    return spoken_stream(spark, sf_dir).where("spoken <> before").select("session", "seq", "before", F.col("spoken").alias("lang"))
+    return spoken_stream(spark, sf_dir).where("effective <> before").select("session", "seq", "before", F.col("effective").alias("lang"))

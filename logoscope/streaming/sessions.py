@@ -9,44 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
-from logoscope.operators.session import SURE, THRESHOLD, Session
+from logoscope.operators.session import SENTINELS, SURE, THRESHOLD, Session
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class SessionProcessor(StatefulProcessor):
-    def __init__(self, default: str, threshold: int, sure: float):
-        self.default, self.threshold, self.sure = default, max(1, threshold), sure
+    def __init__(self, default: str, threshold: int, sure: float, voiced: list[str] | None):
+        self.default, self.threshold, self.sure, self.voiced = default, max(1, threshold), sure, voiced
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("session", "current string, heard string")
+        self.state = handle.getValueState("session", "current string, heard string, effective string")
 
     def handleInputRows(self, key, rows, timerValues):
-        current, heard = self.state.get() if self.state.exists() else (self.default, "")
+        current, heard, effective = self.state.get() if self.state.exists() else (self.default, "", self.default)
         session = Session(self.default, self.threshold, self.sure, current, heard.split(",") if heard else [])
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable").astype(object)
         batch = batch.where(batch.notna(), None)
-        before, spoken = [], []
+        before, spoken, after = [], [], []
         for script, lang, conf, words, hint in batch[["script_lang", "lang", "conf", "words", "hint"]].itertuples(index=False):
-            before.append(spoken[-1] if spoken else current)
+            before.append(effective)
             spoken.append(session.step(script, lang, conf, words, hint))
-        self.state.update((session.current, ",".join(session.heard)))
-        yield pd.DataFrame({"session": key[0], "seq": batch["seq"].astype("int64"), "before": before, "spoken": spoken})
+            if spoken[-1] in self.voiced if self.voiced is not None else spoken[-1] not in SENTINELS:
+                effective = spoken[-1]
+            after.append(effective)
+        self.state.update((session.current, ",".join(session.heard), effective))
+        yield pd.DataFrame({"session": key[0], "seq": batch["seq"].astype("int64"), "before": before, "spoken": spoken, "effective": after})
 
     def close(self) -> None:
         pass
 
 
-def session_stream(detections: DataFrame, default: str = "en", threshold: int = THRESHOLD, sure: float = SURE) -> DataFrame:
-    """A stream (session, seq, script_lang, lang, conf, words, hint) with ``before`` and ``spoken``, the languages before
-    and of each utterance. ``before`` is what the utterance before was spoken in, or, for the first of a micro-batch, the
-    session's current language."""
+def session_stream(detections: DataFrame, default: str = "en", threshold: int = THRESHOLD, sure: float = SURE, voiced: list[str] | None = None) -> DataFrame:
+    """A stream (session, seq, script_lang, lang, conf, words, hint) with ``spoken``, the language of each utterance, and
+    ``before`` and ``effective``, the languages of the voice before and after it. Only a language of ``voiced`` (null: any
+    but the sentinels) moves the voice."""
     spark = detections.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = detections.schema["session"].dataType.simpleString()
     return detections.groupBy("session").transformWithStateInPandas(
-        statefulProcessor=SessionProcessor(default, threshold, sure),
-        outputStructType=f"session {kind}, seq long, before string, spoken string",
+        statefulProcessor=SessionProcessor(default, threshold, sure, voiced),
+        outputStructType=f"session {kind}, seq long, before string, spoken string, effective string",
         outputMode="Append",
         timeMode="None",
     )

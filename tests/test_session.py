@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from logoscope.operators import ngram, segments
 from logoscope.operators.session import Session, session_language
 from logoscope.sources import settings, utterances
 from logoscope.streaming.sessions import session_stream
@@ -27,6 +28,38 @@ def test_scripts_hints_and_blanks():
     assert s.step(None, "de", 0.1, 1) == "de"
 
 
+def test_scripts_alone():
+    s = Session("en", 2, 0.92, "en", [], False, False)
+    assert s.step("ru", "ru", None, 1) == "ru" and s.current == "en"
+    assert s.step(None, "de", 1.0, 9) is None and s.step(None, None, None, None) is None
+    s = Session("en", 2, 0.92, "en", [], False, True)
+    assert s.step("ru", "ru", None, 1) == "ru" and s.step(None, "de", 1.0, 9) == "ru"
+    s = Session("en", 2, 0.92, "en", [], True, False)
+    assert s.step(None, None, None, 0) == "en" and s.step(None, None, None, None) is None
+
+
+def test_only_voices_take_effect(spark):
+    spoken = spark.createDataFrame(list(enumerate(["en", "fr", "ipa", "de", "de", "fr", "de", "en"])), "seq int, spoken string").selectExpr("1 AS session", "*")
+    got = segments.switch_events(spoken, "session", "seq", "spoken", "en", ["en", "de"]).orderBy("seq").collect()
+    assert [(r.seq, r.before, r.lang) for r in got] == [(3, "en", "de"), (7, "de", "en")]
+
+
+def test_mixed_chunks(spark):
+    labelled = spark.createDataFrame([("en", "the cat and the dog with this"), ("de", "der hund und die katze mit nicht")], "lang string, text string")
+    model = ngram.train(labelled)
+    en, de = "the cat and the dog with this cat", "der hund und die katze mit nicht hund"
+    long = f"{en} {en} {en}. Die katze. 12 34. {de}! der hund the der."
+    texts = [(1, long), (2, f"{en} {de}"), (3, f"{en} {en} {en} {en} {en}"), (4, "the cat der hund"), (5, f"{en} {en} {en} {en} {en} {de}"), (6, None), (7, "")]
+    got = segments.mixed_segments(spark.createDataFrame(texts, "id int, text string"), model, ["id"]).orderBy("id", "seg").collect()
+    of = lambda i: [(r.seg, r.lang, r.text) for r in got if r.id == i]
+    # a sentence ends a run, short sentences are of one language, one without letters is left out
+    assert of(1) == [(0, "en", f"{en} {en} {en}."), (1, "de", "Die katze."), (2, "de", f"{de}!"), (3, "de", "der hund the der.")]
+    assert [(s, x) for s, x, _ in of(2)] == [(0, "en"), (1, "de")]  # at most 30 words: as a whole
+    assert of(3) == of(4) == of(6) == of(7) == []
+    # 48 words without a sentence's end: 40 and 8
+    assert of(5) == [(0, "en", " ".join([en] * 5)), (1, "de", de)]
+
+
 def detections(spark, n=40):
     rng = random.Random(5)
     rows = [
