@@ -20,12 +20,14 @@ def mixed_segments(texts: DataFrame, model: DataFrame, key: list[str], most: int
     chunk of fewer than 8 words is of one language. Chunks without letters say nothing. Words without letters have no
     language of their own: they take that of the words around.
 
-    Texts are dealt by key once, before they are cut; grams, words, windows and runs stay in that partitioning."""
+    Texts are dealt by key once, before they are cut; grams, words, windows and runs stay in that partitioning. The number
+    of partitions is given, since a text grows to a row a letter: by the size of texts they would be joined to a few."""
     by = ngram.wide(model)
     n = range(len(by.languages))
     text = F.col(text_col)
     long = F.size(X.words(text)) > X.WHOLE_WORDS
-    dealt = texts.where(X.mixed_eligible(text, F.lit(2), most)).select(*key, text_col).repartition(*key)
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.where(X.mixed_eligible(text, F.lit(2), most)).select(*key, text_col).repartition(parts, *key)
     chunks = F.when(long, X.sentence_chunks(text)).otherwise(F.array(text))
     cut = dealt.select(*key, long.alias("long"), F.posexplode(chunks).alias("chunk", "part")).where(F.col("part").rlike(r"\p{L}"))
     tokens = X.words(F.col("part"))
