@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -26,6 +28,8 @@ MAGIC = b"SSTOKEN1"
 FOOTER = struct.Struct("<QQQQQQQB8s")
 BLOCK_BYTES, RESTART = 1 << 16, 16
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
+#: Bytes of neighbouring blocks that a pass in order reads at once.
+READ_BYTES = 4 << 20
 _SIGN = 1 << 63
 
 
@@ -66,8 +70,7 @@ def _shared(a: bytes, b: bytes) -> int:
     return n
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh64_intdigest(key)
+def _probes(h: int, bits: int) -> list[int]:
     step = (h >> 32) | 1
     return [(h + i * step) % bits for i in range(BLOOM_HASHES)]
 
@@ -79,7 +82,7 @@ class Writer:
         self.stream, self.width, self.at = stream, width, 0
         self.pack = zstandard.ZstdCompressor(level=1)
         self.block, self.restarts, self.in_block, self.last = bytearray(), [], 0, b""
-        self.index, self.index_last, self.hashes, self.entries, self.ids = bytearray(), b"", [], 0, 0
+        self.index, self.index_last, self.hashes, self.entries, self.ids = bytearray(), b"", array("Q"), 0, 0
 
     def add(self, key: bytes, value: bytes) -> None:
         same = 0
@@ -92,7 +95,7 @@ class Writer:
         self.in_block += 1
         self.entries += 1
         self.ids += len(value) // self.width
-        self.hashes.append(key)
+        self.hashes.append(xxhash.xxh64_intdigest(key))
         if len(self.block) >= BLOCK_BYTES:
             self._flush()
 
@@ -117,8 +120,8 @@ class Writer:
         self._put(index)
         bits = max(64, -(-len(self.hashes) * BLOOM_BITS_PER_KEY // 8) * 8)
         bloom = bytearray(bits // 8)
-        for key in self.hashes:
-            for p in _probes(key, bits):
+        for h in self.hashes:
+            for p in _probes(h, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         bloom_at = self.at
         self._put(bytes(bloom))
@@ -126,17 +129,20 @@ class Writer:
 
 
 class Reader:
-    """Reads a file from its bytes: in order, or single keys by Bloom filter, index and block."""
+    """Reads a file by ranges: in order, or single keys by Bloom filter, index and block.
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        f = FOOTER.unpack(self.data[-FOOTER.size :])
+    ``read(offset, length)`` gives bytes of the file of ``size`` bytes. Only footer and index are read at the start.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read = read
+        f = FOOTER.unpack(read(size - FOOTER.size, FOOTER.size))
         if f[8] != MAGIC:
             raise ValueError("not a table of token ids")
-        self.bits, self.entries, self.ids, self.width = f[4:8]
+        self.bloom_at, self.bits, self.entries, self.ids, self.width = f[2:4], *f[4:8]
         self.unpack = zstandard.ZstdDecompressor()
-        self.bloom = self.data[f[2] : f[2] + f[3]]
-        raw, at, last = self.unpack.decompress(self.data[f[0] : f[0] + f[1]]), 0, b""
+        self.bloom = None
+        raw, at, last = self.unpack.decompress(read(f[0], f[1])), 0, b""
         self.last_keys, self.spots = [], []
         while at < len(raw):
             same, at = _read_varint(raw, at)
@@ -148,16 +154,28 @@ class Reader:
             self.last_keys.append(last)
             self.spots.append((offset, length))
 
-    def _block(self, i: int) -> tuple[bytes, list[int]]:
-        offset, length = self.spots[i]
-        body = self.data[offset : offset + length - 4]
-        if zlib.crc32(body) != struct.unpack("<I", self.data[offset + length - 4 : offset + length])[0]:
-            raise ValueError(f"block {i} is damaged")
+    def _block(self, data: bytes) -> tuple[bytes, list[int]]:
+        body = data[:-4]
+        if zlib.crc32(body) != struct.unpack("<I", data[-4:])[0]:
+            raise ValueError("a block is damaged")
         raw = self.unpack.decompress(body)
         n = struct.unpack_from("<I", raw, len(raw) - 4)[0]
         end = len(raw) - 4 - 4 * n
         return raw[:end], list(struct.unpack_from(f"<{n}I", raw, end))
 
+    def _blocks(self) -> Iterator[bytes]:
+        first = 0
+        while first < len(self.spots):
+            start = self.spots[first][0]
+            end, past = start + self.spots[first][1], first + 1
+            while past < len(self.spots) and end - start < READ_BYTES:
+                end += self.spots[past][1]
+                past += 1
+            data = memoryview(self.read(start, end - start))
+            for offset, length in self.spots[first:past]:
+                yield data[offset - start : offset - start + length]
+            first = past
+
     @staticmethod
     def _entry(raw: bytes, at: int, last: bytes) -> tuple[bytes, int, int]:
         same, at = _read_varint(raw, at)
@@ -170,8 +188,8 @@ class Reader:
         return np.frombuffer(value, "<u2" if self.width == 2 else "<u4")
 
     def __iter__(self):
-        for i in range(len(self.spots)):
-            raw, _ = self._block(i)
+        for data in self._blocks():
+            raw, _ = self._block(data)
             at, key = 0, b""
             while at < len(raw):
                 key, start, at = self._entry(raw, at, key)
@@ -180,12 +198,14 @@ class Reader:
     def get(self, ident: int | None) -> np.ndarray | None:
         """The ids of one document (of equal identifiers the first), or None."""
         key = to_key(ident)
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, self.bits)):
+        if self.bloom is None:
+            self.bloom = self.read(*self.bloom_at)
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(xxhash.xxh64_intdigest(key), self.bits)):
             return None
         i = bisect_left(self.last_keys, key)
         if i == len(self.last_keys):
             return None
-        raw, restarts = self._block(i)
+        raw, restarts = self._block(self.read(*self.spots[i]))
         lo, hi = 0, len(restarts)
         while hi - lo > 1:  # the last restart whose key is below
             mid = (lo + hi) // 2

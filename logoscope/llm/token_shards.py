@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from itertools import chain
@@ -19,6 +20,10 @@ from logoscope.llm.shared import new_path, partitions
 
 #: Pieces remembered a worker, in each of two generations.
 REMEMBERED = 500_000
+#: A file is closed after the document that takes it to this size.
+FILE_BYTES = 128 << 20
+#: Entries of a batch that a reader hands to Spark.
+BATCH_ROWS = 10_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -81,95 +86,126 @@ def _in_turn(coder: Encoder, batches, chars: int = 1 << 21):
     yield from zip(ids, coder.encode_many(texts), strict=True)
 
 
+def _store(uri: str):
+    """The file system of a folder and the folder's path there, by the names that Spark uses for the same stores."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+def _batch(columns, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.string() if n == "file" else pa.int64()) for x, n in zip(columns, names, strict=True)], names)
+
+
 def write_tables(
-    docs: DataFrame, tokenizer: str, out: str, end_id: int | None, files: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    out: str,
+    end_id: int | None,
+    files: int | None = None,
+    file_bytes: int = FILE_BYTES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Encodes every whole text and writes it under ``out`` (a folder that all executors share), in ascending id order
     over the files. Returns the written manifest: file, first and last id, entries, tokens, base (ids before the file).
 
-    Null text counts as empty; ``end_id`` is appended to every document. Only files of tasks that ended well are in the
-    manifest: a task that is run again writes a file of another name. Empty tables give an empty manifest; repeated
-    identifiers lie next to each other; extra columns are ignored.
+    Each of ``files`` tasks writes as many files of about ``file_bytes`` as its rows need. Null text counts as empty;
+    ``end_id`` is appended to every document. Only files of tasks that ended well are in the manifest: a task that is run
+    again writes files of other names. Empty tables give an empty manifest; repeated identifiers lie next to each other,
+    also over the end of a file; null identifiers come first; extra columns are ignored.
     """
     spark = docs.sparkSession
 
     def write(batches):
-        from pyarrow import fs
-
         coder = encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], coder.type).tobytes()
-        writer = stream = first = last = None
-        name = f"{uuid.uuid4().hex}.sst"
-        for ident, ids in _in_turn(coder, batches):
-            if writer is None:
-                first = ident
-                store, base = fs.FileSystem.from_uri(out)
-                store.create_dir(base, recursive=True)
-                stream = store.open_output_stream(f"{base}/{name}")
+        store, base = _store(out)
+        store.create_dir(base, recursive=True)
+        rows = _in_turn(coder, batches)
+        for head in rows:
+            first = head[0]
+            name = f"{uuid.uuid4().hex}.sst"
+            with store.open_output_stream(f"{base}/{name}") as stream:
                 writer = sstable.Writer(stream, coder.type.itemsize)
-            last = ident
-            writer.add(sstable.to_key(ident), ids + end)
-        if writer is not None:
-            writer.close()
-            stream.close()
-            row = [[name], [first], [last], [writer.entries], [writer.ids]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row[0], pa.string()), *[pa.array(x, pa.int64()) for x in row[1:]]], ["file", "first_id", "last_id", "entries", "tokens"]
-            )
+                for last, ids in chain([head], rows):
+                    writer.add(sstable.to_key(last), ids + end)
+                    if writer.at + len(writer.block) >= file_bytes:
+                        break
+                writer.close()
+            yield _batch([[name], [first], [last], [writer.entries], [writer.ids]], ["file", "first_id", "last_id", "entries", "tokens"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     rows = rows.repartitionByRange(files or partitions(spark), "id").sortWithinPartitions("id")
     made = rows.mapInArrow(write, "file string, first_id long, last_id long, entries long, tokens long")
     made.write.parquet(f"{out}/manifest")
     manifest = spark.read.parquet(f"{out}/manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    order = [F.col(c).asc_nulls_first() for c in ("first_id", "last_id", "file")]
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
 def read_tables(spark: SparkSession, out: str, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every entry of the files, read back in parallel, a file a row.
-
-    The manifest has a row a file, so its size is bound by the number of files and it is broadcast."""
+    """(id, start, n_tokens, ids_crc32) of every entry of the files, read back in parallel, several files a task. A file is
+    read by ranges of about ``sstable.READ_BYTES``, so a task holds some blocks and a batch of results."""
 
     def read(batches):
+        store, base = _store(out)
         for b in batches:
-            for content, base in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                ids, starts, counts, sums, at = [], [], [], [], base
-                for ident, values in sstable.Reader(content.as_py()):
-                    ids.append(ident)
-                    starts.append(at)
-                    counts.append(len(values))
-                    sums.append(zlib.crc32(values.astype("<u4").tobytes()))
-                    at += len(values)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, starts, counts, sums)], ["id", "start", "n_tokens", "ids_crc32"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(out)
-    files = files.withColumn("file", F.substring_index("path", "/", -1))
-    known = files.join(F.broadcast(manifest.select("file", "base")), "file").select("content", "base")
-    return known.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
-
-
-def lookup(spark: SparkSession, out: str, manifest: DataFrame, wanted: list[int]) -> DataFrame:
-    """(id, ids) of single documents: only files whose range can hold one are read, each by filter, index and block."""
+            for name, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{base}/{name}") as f:
+                    rows = []
+                    for ident, values in sstable.Reader(lambda spot, n, f=f: f.read_at(n, spot), f.size()):
+                        rows.append((ident, at, len(values), zlib.crc32(values.astype("<u4").tobytes())))
+                        at += len(values)
+                        if len(rows) == BATCH_ROWS:
+                            yield _batch(zip(*rows, strict=True), ["id", "start", "n_tokens", "ids_crc32"])
+                            rows = []
+                    if rows:
+                        yield _batch(zip(*rows, strict=True), ["id", "start", "n_tokens", "ids_crc32"])
+
+    dealt = manifest.select("file", "base").repartition(partitions(spark))
+    return dealt.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+
+
+def lookup(spark: SparkSession, out: str, manifest: DataFrame, wanted: list[int | None]) -> DataFrame:
+    """(id, ids) of single documents, null among them: only files whose range can hold one are opened, and of these only
+    footer, filter, index and the block that the index names are read. Of a repeated id a file gives its first document."""
     near = F.lit(False)
     for w in wanted:
-        near = near | F.lit(w).between(F.col("first_id"), F.col("last_id"))
+        low = F.col("first_id").isNull()
+        near = near | (low if w is None else (low | (F.col("first_id") <= w)) & F.coalesce(F.col("last_id") >= w, F.lit(False)))
 
     def find(batches):
+        store, base = _store(out)
         for b in batches:
-            for content in b.column(0):
-                table = sstable.Reader(content.as_py())
-                hits = [(w, ids) for w in wanted if (ids := table.get(w)) is not None]
+            for name in b.column(0).to_pylist():
+                with store.open_input_file(f"{base}/{name}") as f:
+                    table = sstable.Reader(lambda spot, n, f=f: f.read_at(n, spot), f.size())
+                    hits = [(w, ids) for w in wanted if (ids := table.get(w)) is not None]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w for w, _ in hits], pa.int64()), pa.array([x.astype(np.int64) for _, x in hits], pa.list_(pa.int64()))], ["id", "ids"]
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(out)
-    files = files.withColumn("file", F.substring_index("path", "/", -1))
-    held = files.join(F.broadcast(manifest.where(near).select("file")), "file").select("content")
+    held = manifest.where(near).select("file").repartition(partitions(spark))
     return held.mapInArrow(find, "id long, ids array<long>")
 
 
+def token_counts(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens) of every row, the end token of ``end_id`` included: texts are encoded where they lie, without a
+    shuffle. Null text counts as empty; null and repeated ids stay; extra columns are ignored; empty tables give no rows."""
+    end = 0 if end_id is None else 1
+
+    def run(batches):
+        coder = encoder(tokenizer)
+        for b in batches:
+            counts = [len(ids) // coder.type.itemsize + end for _, ids in _in_turn(coder, [b])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["id", "n_tokens"])
+
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long").withColumnRenamed("id", id_col)
+
+
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes ``docs`` to a new folder of the shared one and returns what its files hold, a row a document."""
     spark = docs.sparkSession

@@ -92,6 +92,32 @@ def test_token_tables(spark):
     assert token_shards.round_trip(frame(spark, []), TOKENIZER, 2).count() == 0
 
 
+def test_rolled_files_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    rows = [(i // 3 if i >= 20 else None, "w%d " % i * rng.randint(0, 40), "x", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, file string, base long")
+    out = new_path(spark, "token-tables")
+    manifest = token_shards.write_tables(docs, TOKENIZER, out, 2, files=2, file_bytes=600)
+    files = manifest.orderBy("base").collect()
+    assert len(files) > 20 and sum(r.entries for r in files) == len(rows)
+    assert [r.base for r in files] == [sum(f.tokens for f in files[:i]) for i in range(len(files))]
+    got = sorted(token_shards.read_tables(spark, out, manifest).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    counts = token_shards.token_counts(docs, TOKENIZER, 2).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in got) == sorted((r.doc_id or -1, r.n_tokens) for r in counts)
+    assert {r.id for r in token_shards.lookup(spark, out, manifest, [None, 7, 55, 99, 10**9]).collect()} == {None, 7, 55, 99}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aé1²٣ \n\t\r' stmdrevl!?_-漢ʼ\u3000\u00a0<|>"), st.characters(exclude_categories=["Cs"])), max_size=80))
+def test_pieces_encode_as_whole_texts(text):
+    coder = token_shards.encoder(TOKENIZER)
+    assert coder.by_piece
+    whole = coder.library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(coder.encode_many([text])[0], coder.type).tolist() == whole
+
+
 def test_table_format():
     import io
 
@@ -102,7 +128,9 @@ def test_table_format():
     for i in [None, *rows]:
         writer.add(sstable.to_key(i), np.arange((i or 0) % 40, dtype="<u2").tobytes())
     writer.close()
-    table = sstable.Reader(stream.getvalue())
+    data, reads = stream.getvalue(), []
+    table = sstable.Reader(lambda at, n: reads.append(n) or data[at : at + n], len(data))
+    assert table.get(rows[5]) is not None and len(reads) == 4  # footer, index, filter and one block
     assert [i for i, _ in table] == [None, *rows]
     assert all(len(table.get(i)) == i % 40 for i in rows[::7]) and table.get(501) is None and len(table.get(None)) == 0
     assert len(table.last_keys) > 1
