@@ -133,5 +133,6 @@ def op9_signature_tree_join(spark, sf_dir):
 
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark, sf_dir):
-    """All documents, as bytes with an end token, in sequences of four permitted lengths."""
-    return packing.pack(table(spark, sf_dir, "documents"), packing.byte_tokens())
+    """All documents, as token ids with an end token, in sequences of four permitted lengths."""
+    counted = token_shards.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return packing.pack(counted, F.col("n_tokens"))

@@ -3,10 +3,13 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logoscope.llm import jaccard_join, language_id, multi_index, packing, quality, signature_tree
+from logoscope.llm import jaccard_join, language_id, multi_index, packing, quality, signature_tree, token_shards
 from logoscope.llm.components import components
 
 
@@ -218,6 +221,54 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), F.col("n")).count() == 0
 
 
+def plain_best_fit(lengths):
+    """Best fit item by item, every open bin looked at."""
+    order, bins, rest = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)), [], sum(lengths)
+    for i in order:
+        n = lengths[i]
+        fits = [b for b in bins if b[0] - sum(lengths[j] for j in b[1]) >= n]
+        if fits:
+            best = min(fits, key=lambda b: (b[0] - sum(lengths[j] for j in b[1]), bins.index(b)))
+        else:
+            sizes = [c for c in packing.CAPACITIES if c >= n]
+            best = (min(sizes, key=lambda c: packing.cost(c) / min(c, rest)), [])
+            bins.append(best)
+        best[1].append(i)
+        rest -= n
+    return bins
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 16384), st.integers(1, 300), st.sampled_from([1, 2047, 2048, 8192, 16384])), max_size=60))
+def test_best_fit_against_plain(lengths):
+    placed, capacity = packing.best_fit(lengths)
+    want = plain_best_fit(lengths)
+    assert [sorted(i for i, b in enumerate(placed) if b == k) for k in range(len(capacity))] == [sorted(items) for _, items in want]
+    assert capacity == [min(c for c in packing.CAPACITIES if c >= sum(lengths[i] for i in items)) for _, items in want]
+
+
+def test_packing_of_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(31)
+    rows = [(i, rng.choice([None, "", " ".join(rng.choice("red mango sky 汉字 it's".split()) for _ in range(rng.randint(1, 9000)))]), "x") for i in range(60)]
+    rows += [rows[3], (None, "a b", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    got = packing.pack(token_shards.token_counts(docs, path, 2), F.col("n_tokens")).collect()
+    top, pieces = max(packing.CAPACITIES), []
+    for i, text, _ in rows:
+        n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+        pieces += [(-1 if i is None else i, p, min(top, n - p * top)) for p in range(-(-n // top))]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.n_tokens) for r in got) == sorted(pieces)
+    lengths = [n for _, _, n in pieces]
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r.n_tokens)
+    assert sorted(sorted(x) for x in bins.values()) == sorted(sorted(lengths[i] for i in items) for _, items in plain_best_fit(lengths))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
@@ -233,12 +284,43 @@ def test_pipeline(spark):
     bad = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").collect()}
     good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
     assert not bad & set(kept["quality"]) and len(good - set(kept["quality"])) <= 0.02 * len(good)
-    texts = kept["exact_dedup"].values()
-    assert len({t.translate(str.maketrans("", "", " \t\n\x0b\f\r")) for t in texts}) == len(texts)
+    groups = {}
+    for i, t in kept["quality"].items():
+        groups.setdefault(t.translate(str.maketrans("", "", " \t\n\x0b\f\r")), []).append((-len(t), i))
+    assert set(kept["exact_dedup"]) == {min(g)[1] for g in groups.values()}
+    exact = sorted(kept["exact_dedup"])
+    sets = shingle_sets([kept["exact_dedup"][i] for i in exact], 5)
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * (c := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - c)]
     near = sorted(kept["near_dedup"])
-    sets = shingle_sets([kept["near_dedup"][i] for i in near], 5)
-    assert not any(100 * (c := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - c) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j])
+    assert near == [exact[i] for i, r in enumerate(roots(len(sets), linked)) if i == r]
     assert set(kept["pii"]) == set(near) and not any("@mail" in t for t in kept["pii"].values())
     packed = P.STAGES[-1][1](spark, rows, sf_dir)
-    total = packed.agg(F.sum("n_tokens")).first()[0]
-    assert total == sum(len(t.encode()) + 1 for t in kept["pii"].values())
+    coder = token_shards.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(coder.library.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept["pii"].items()}
+    assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} == want
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    base = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{base}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet").limit(40)
+    first = docs.orderBy("doc_id").limit(1)
+    odd = first.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" and a last word of its own")))
+    blank = first.withColumn("doc_id", F.lit(10**6).cast("long")).withColumn("text", F.lit(None).cast("string"))
+    empty = first.withColumn("doc_id", F.lit(10**6 + 1).cast("long")).withColumn("text", F.lit(" "))
+    long = first.withColumn("doc_id", F.lit(10**6 + 2).cast("long")).withColumn("text", F.repeat(F.col("text"), 400))
+    rows = docs.union(first).union(odd).union(odd).union(blank).union(empty).union(long)
+    for name in ("n_tokens", "h", "term", "id", "piece", "score", "keep_id", "component", "rep", "s"):
+        rows = rows.withColumn(name, F.lit("x"))
+    for table, at in ((rows, tmp_path / "odd"), (rows.limit(0), tmp_path / "none")):
+        table.write.parquet(f"{at}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
+    kept = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        before, kept = kept, spark.createDataFrame(stage(spark, kept, f"{tmp_path}/odd").toArrow(), rows.schema)
+        assert kept.columns == rows.columns and not kept.select("doc_id").subtract(before.select("doc_id")).count()
+    packed = {r.doc_id for r in P.STAGES[-1][1](spark, kept, f"{tmp_path}/odd").collect()}
+    assert packed and packed == {r.doc_id for r in kept.select("doc_id").collect()}
