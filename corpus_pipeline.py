@@ -5,15 +5,18 @@ Every stage but the last returns the columns of ``documents``; stages are writte
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logoscope.llm import exact_dedup, jaccard_join, packing, pii, quality
+from logoscope.llm import exact_dedup, jaccard_join, packing, pii, quality, token_shards
 from logoscope.llm.queries import id_remainder
 from logoscope.llm.shared import written
 
 #: Documents with a lower calibrated score go.
 LEAST_QUALITY = 0.5
+#: Vocabulary whose ids fill the training sequences, and the id that ends a document.
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +48,10 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of the documents in training sequences. Every row has a piece, as a null or empty text has its end token;
-    rows of a repeated id are packed each."""
-    return packing.pack(docs, packing.byte_tokens())
+    """Places of the documents in training sequences, by token ids. Every row has a piece, as a null or empty text has its
+    end token; rows of a repeated id are packed each."""
+    counted = token_shards.token_counts(docs, public_tokenizers.path(TOKENIZER), END_ID)
+    return packing.pack(counted, F.col("n_tokens"))
 
 
 STAGES = [
