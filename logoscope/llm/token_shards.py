@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,10 @@ class Encoder:
         self.cache = Remembered(None, REMEMBERED)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        every = np.fromiter(chain.from_iterable(ids), self.type).tobytes()
+        ends = [0, *accumulate(len(x) * self.type.itemsize for x in ids)]
+        return [every[a:b] for a, b in pairwise(ends)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
@@ -57,12 +60,11 @@ class Encoder:
         if len(self.cache) >= self.cache.limit:
             self.cache.old = dict(self.cache)
             self.cache.clear()
-        new = set().union(*cut) - self.cache.keys()
-        found = {p: b for p in new if (b := self.cache.old.get(p)) is not None}
-        ask = list(new - found.keys())
-        found.update(zip(ask, self._library(ask), strict=True))
-        known = self.cache
-        known.update(found)
+        known, old = self.cache, self.cache.old
+        new = [p for p in set().union(*cut) if p not in known]
+        known.update((p, old[p]) for p in new if p in old)
+        ask = [p for p in new if p not in old]
+        known.update(zip(ask, self._library(ask), strict=True))
         return [b"".join(map(known.__getitem__, x)) for x in cut]
 
 
