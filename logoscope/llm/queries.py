@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from logoscope.llm import bpe, exact_dedup, jaccard_join, kd_shards, language_id, multi_index, packing, pii, quality, token_shards
+from logoscope.llm import bpe, exact_dedup, fill_middle, impact_index, jaccard_join, kd_shards, language_id, multi_index, packing, pii, quality, resampling, token_shards
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -136,3 +136,50 @@ def op6_best_fit_packing(spark, sf_dir):
     """All documents, as token ids with an end token, in sequences of four permitted lengths."""
     counted = token_shards.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return packing.pack(counted, F.col("n_tokens"))
+
+
+@query(
+    "op11_fill_in_middle",
+    r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+                 ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+    c AS (SELECT *, length(u) AS n, least(h1 % (length(u) + 1), h2 % (length(u) + 1)) AS a, greatest(h1 % (length(u) + 1), h2 % (length(u) + 1)) AS b FROM u),
+    p AS (SELECT doc_id, t, n, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+    """,
+)
+def op11_fill_in_middle(spark, sf_dir):
+    """All documents rearranged for filling in the middle, and rebuilt from that."""
+    made = fill_middle.transform(table(spark, sf_dir, "documents"), seed="7", fim_percent=100, spm_percent=50)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+@query("op12_importance_resampling")
+def op12_importance_resampling(spark, sf_dir):
+    """All documents weighed towards the benchmark texts, and five in a hundred of the longer ones drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed="42")
+
+
+@query(
+    "op13_impact_search",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS e FROM embeddings
+               WHERE embedding IS NOT NULL AND length(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND length(c.e) = length(q.e)
+          WHERE q.vec_id % 100 = 0)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """,
+)
+def op13_impact_search(spark, sf_dir):
+    """The ten best by inner product among all embeddings, for every hundredth of them."""
+    return impact_index.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
