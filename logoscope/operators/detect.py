@@ -2,29 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logoscope.functions import codepoints as C
 from logoscope.functions import scripts
 from logoscope.functions import text as X
-from logoscope.operators import ngram
+from logoscope.operators import ngram, packed
+from logoscope.operators.packed import Scorer
 
 MODES = ("off", "markup_only", "markup_text", "always")
 
 
-def detect(texts: DataFrame, model: DataFrame, key: list[str], enabled: list[str], text_col: str = "text") -> DataFrame:
-    """(key, script_lang, lang, conf, words): the language by script (a sentinel or enabled), else the likeliest one.
+def signals_udf(spark: SparkSession):
+    """UDF text -> struct<script, words, natural>: dominant script, number and text of natural words; null for blank texts."""
+    shared = C.shared_tables(spark)
+
+    def read(texts: pa.Array) -> pa.Array:
+        blank, script, words, natural = C.signals([t or "" for t in texts.to_pylist()], shared.value)
+        return pa.StructArray.from_arrays([pa.array(script, pa.string()), pa.array(words, pa.int32()), pa.array(natural, pa.string())], ["script", "words", "natural"], mask=pa.array(blank))
+
+    return F.arrow_udf(C.in_slices(read), "struct<script:string,words:int,natural:string>")
+
+
+def detect(texts: DataFrame, model: DataFrame | Scorer, key: list[str], enabled: list[str], text_col: str = "text") -> DataFrame:
+    """(key, script_lang, lang, conf, words) of texts that aren't blank: the language by script (a sentinel or enabled),
+    else the likeliest one. ``model`` is a trigram model, or a scorer that stands in for it (see ``packed.Scorer``).
 
     ``words`` is the number of natural words. Only texts without a script language are scored, and of these only what
-    letters and natural words leave; texts that leave nothing have no language. Keys must be unique."""
-    tier = scripts.usable(scripts.script_language(scripts.dominant_script(F.col(text_col))), F.array(*[F.lit(x) for x in enabled]))
-    natural = X.natural_words(X.clean_letters(F.col(text_col)))
+    letters and natural words leave; texts that leave nothing have no language. Texts are read and scored where they lie, a
+    row each, with nothing shuffled; only a model too large to be sent around is joined, by ``key``, which must then be unique. Keys may have any name but those of the result."""
+    spark = texts.sparkSession
+    by = model if callable(model) else packed.pack(model, enabled)
+    tier = scripts.usable(scripts.script_language(F.col("_signals.script")), F.array(*[F.lit(x) for x in enabled]))
+    rows = texts.select(*key, signals_udf(spark)(F.col(text_col)).alias("_signals")).where("_signals is not null")
+    rows = rows.select(*key, tier.alias("script_lang"), F.col("_signals.words").alias("words"), F.col("_signals.natural").alias("_natural"))
+    open_ = F.when(F.col("script_lang").isNull() & (F.col("words") > 0), F.col("_natural"))
+    if by is None:
+        return _joined(rows, model, key, enabled, open_)
+    score = packed.checked(spark, by) if callable(by) else packed.scorer(spark, by)
+    found = rows.select(*key, "script_lang", "words", score(open_).alias("_score"))
+    of = lambda f: F.when(F.col("script_lang").isNull() & (F.col("words") > 0), F.col(f"_score.{f}"))
+    return found.select(*key, "script_lang", F.coalesce("script_lang", of("lang")).alias("lang"), of("conf").alias("conf"), "words")
+
+
+def _joined(rows: DataFrame, model: DataFrame, key: list[str], enabled: list[str], open_: Column) -> DataFrame:
+    """As ``detect``, with a model of any size: grams are joined to it, and a text keeps one row without a gram."""
     by = ngram.wide(model, enabled)
-    rows = texts.where(~X.is_blank(F.col(text_col))).select(*key, tier.alias("script_lang"), natural.alias("natural"))
-    # texts that aren't scored keep one row without a gram; so nothing is joined back, and texts are read once
-    scored = F.when(F.col("script_lang").isNull(), ngram.grams_of(F.array_join("natural", " ")))
-    rows = rows.select(*key, "script_lang", F.size("natural").alias("words"), F.explode_outer(scored).alias("gram"))
-    found = by.joined(rows).groupBy(*key, "script_lang", "words").agg(*by.sums() or [F.count("*").alias("s_0")])
+    cut = rows.select(*key, "script_lang", "words", F.explode_outer(ngram.grams_of(open_)).alias("gram"))
+    found = by.joined(cut).groupBy(*key, "script_lang", "words").agg(*by.sums() or [F.count("*").alias("s_0")])
     best = found.select(*key, "script_lang", "words", F.array_min(by.scored()).alias("b"))
     return best.select(*key, "script_lang", F.coalesce("script_lang", "b.lang").alias("lang"), F.col("b.conf").alias("conf"), "words")
 

@@ -1,17 +1,21 @@
 """Statistical language identification: character trigrams with add-one smoothing, scored word by word.
 
 The logarithms are whole numbers of millionths, so sums don't depend on their order. A text's score is the sum over its
-grams; the model has one row a gram, so it is broadcast, and a text is scored where it lies: its grams are summed in the
-task that reads it, and what is shuffled is one row a text.
+grams. A model that fits is packed and sent to the executors (see ``packed``): a text is scored where it lies, as one row.
+A larger one, with a row a gram, is joined to the grams of the texts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logoscope.functions import codepoints as C
+
 #: Letters of a gram; scale of the stored logarithms.
 GRAM, SCALE = 3, 1_000_000
 #: Grams of a model that is broadcast; one with more (very large alphabets) is joined by shuffle.
@@ -23,18 +27,36 @@ def word_list(text) -> F.Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def grams(words: DataFrame, word: str = "word") -> DataFrame:
-    """``words`` exploded to a column gram: each GRAM letters of the word with a space before and after it."""
-    padded = F.concat(F.lit(" "), F.col(word), F.lit(" "))
-    starts = F.sequence(F.lit(1), F.length(padded) - (GRAM - 1))
-    return words.withColumn("gram", F.explode(F.transform(starts, lambda i: F.substring(padded, i, F.lit(GRAM)))))
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n) of rows (lang, text): each letter of a word with what stands beside it, a space at the word's ends. Tasks
+    count the grams of a part of a batch before the shuffle, so a text never becomes a row a letter."""
+    shared = C.shared_tables(labelled.sparkSession)
+
+    def count(batches):
+        flags = shared.value.flags
+        for b in batches:
+            langs = b.column(0).dictionary_encode()
+            names, who, done = langs.dictionary.to_pylist(), langs.indices.to_numpy(), 0
+            for part in C.slices(b.column(1)):
+                points, of = C.flatten(C.lowered(part))
+                letter = (flags[points] & C.LETTER) > 0
+                left, mid, right = C.grams(np.where(letter, points, C.BLANK).astype(np.int64), of, letter, C.BLANK)
+                code, owner = left << 42 | mid << 21 | right, who[done + of[letter]]
+                done += len(part)
+                for i in np.unique(owner):
+                    found, n = np.unique(code[owner == i], return_counts=True)
+                    cut = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], 1).ravel()
+                    said = C.strings(cut, np.full(len(found), GRAM))
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(n), pa.string()), pa.array(said, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    made = labelled.select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
+    return made.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, n, lp): grams by language with scaled log-probabilities. Words are counted before they are cut."""
-    words = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(word_list(F.col(text_col))).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("c"))
-    counts = grams(counted).groupBy("lang", "gram").agg(F.sum("c").alias("n"))
+    """(lang, gram, n, lp): grams by language with scaled log-probabilities. Null and empty texts have none."""
+    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = gram_counts(known)
     kinds = counts.select("gram").distinct().agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).crossJoin(F.broadcast(kinds))  # a row a language
     scaled = F.round(F.log((F.col("n") + 1) / (F.col("total") + F.col("v"))) * SCALE).cast("long")
@@ -90,19 +112,3 @@ def grams_of(text: Column) -> Column:
     cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(GRAM)))
     slow = F.flatten(F.transform(word_list(text), cut))
     return F.when(text.rlike(r"[\x{10000}-\x{10ffff}]"), slow).otherwise(F.regexp_extract_all(padded, F.lit(r"(?=(.\p{L}.))"), F.lit(1)))
-
-
-def scores(texts: DataFrame, model: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """(key, lang, score, conf): confidence of every language for every text with a word, as a softmax of the scores."""
-    by = wide(model)
-    rows = by.joined(texts.select(*key, F.explode(grams_of(F.col(text_col))).alias("gram")))
-    found = rows.groupBy(*key).agg(*by.sums()).select(*key, F.explode(by.scored()).alias("x"))
-    return found.select(*key, F.col("x.lang").alias("lang"), (-F.col("x.s")).alias("score"), F.col("x.conf").alias("conf"))
-
-
-def top(texts: DataFrame, model: DataFrame, key: list[str], text_col: str = "text") -> DataFrame:
-    """(key, lang, conf): the likeliest language of each text with a word; of equals the first by code."""
-    by = wide(model)
-    rows = by.joined(texts.select(*key, F.explode(grams_of(F.col(text_col))).alias("gram")))
-    best = rows.groupBy(*key).agg(*by.sums()).select(*key, F.array_min(by.scored()).alias("b"))
-    return best.select(*key, F.col("b.lang").alias("lang"), F.col("b.conf").alias("conf"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logoscope.functions import tables as T
-from logoscope.operators import detect, ngram, segments, session
+from logoscope.operators import detect, ngram, packed, segments, session
 from logoscope.plans import duck as D
 from logoscope.plans.registry import query, table
 from logoscope.plans.texts import lines2
@@ -56,7 +56,7 @@ def plain_lines(spark, sf_dir, keep=("source", "lang")):
 
 @query("ngram_score", f"WITH {MODEL}, {scored(LINES, 'doc_id, line_no')} SELECT doc_id, line_no, lang, score, round(conf, 4) AS conf FROM sc")
 def ngram_score(spark, sf_dir):
-    found = ngram.scores(plain_lines(spark, sf_dir), model_of(spark, sf_dir), ["doc_id", "line_no"])
+    found = packed.scores(plain_lines(spark, sf_dir), model_of(spark, sf_dir), ["doc_id", "line_no"])
     return found.select("doc_id", "line_no", "lang", "score", F.round("conf", 4).alias("conf"))
 
 
@@ -66,7 +66,7 @@ TOP = "SELECT {key}, arg_min(lang, (-score, lang)) AS lang, arg_min(conf, (-scor
 @query("top_language", f"WITH {MODEL}, {scored(LINES, 'doc_id, line_no')}, t AS ({TOP.format(key='doc_id, line_no')}) SELECT doc_id, line_no, lang, round(conf, 4) AS conf FROM t")
 def top_language(spark, sf_dir):
     key = ["doc_id", "line_no"]
-    return ngram.top(plain_lines(spark, sf_dir), model_of(spark, sf_dir), key).withColumn("conf", F.round("conf", 4))
+    return packed.top(plain_lines(spark, sf_dir), model_of(spark, sf_dir), key).withColumn("conf", F.round("conf", 4))
 
 
 def detected(source: str, key: str, using: str) -> str:
@@ -217,30 +217,35 @@ SEGMENTS = f"""WITH {MODEL}, {PIECES}, dw AS (SELECT DISTINCT word FROM tk WHERE
  fin AS (SELECT * FROM sg WHERE (doc_id, line_no) IN (SELECT (doc_id, line_no) FROM sg GROUP BY doc_id, line_no HAVING count(DISTINCT lang) > 1))"""
 
 
-def mixed(spark, sf_dir):
+def mixed_texts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(MIXED).alias("text"))
-    return segments.mixed_segments(U.lines(docs), model_of(spark, sf_dir), ["doc_id", "line_no"])
+    return segments.mixed_texts(U.lines(docs), model_of(spark, sf_dir), ["doc_id", "line_no"])
 
 
 @query("mixed_segments", SEGMENTS + " SELECT doc_id, line_no, seg, lang, text FROM fin")
 def mixed_segments(spark, sf_dir):
-    return mixed(spark, sf_dir).select("doc_id", "line_no", "seg", "lang", "text")
+    return segments.listed(mixed_texts(spark, sf_dir), ["doc_id", "line_no"])
 
 
 @query("switch_pause", SEGMENTS + """ SELECT doc_id, line_no, seg, lang, CASE WHEN lag(lang) OVER (PARTITION BY doc_id, line_no ORDER BY seg) <> lang THEN 0.3 ELSE 0.0 END::DOUBLE AS pause FROM fin""")
 def switch_pause(spark, sf_dir):
-    return segments.switch_pauses(mixed(spark, sf_dir), ["doc_id", "line_no"]).select("doc_id", "line_no", "seg", "lang", "pause")
+    found = mixed_texts(spark, sf_dir).withColumn("segments", segments.with_pauses(F.col("segments")))
+    return segments.listed(found, ["doc_id", "line_no"], ("seg", "lang", "pause"))
 
 
 @query("segment_languages", SEGMENTS + " SELECT doc_id, line_no, count(*) AS segments, count(DISTINCT lang) AS languages FROM fin GROUP BY ALL")
 def segment_languages(spark, sf_dir):
-    return mixed(spark, sf_dir).groupBy("doc_id", "line_no").agg(F.count("*").alias("segments"), F.count_distinct("lang").alias("languages"))
+    parts = F.col("segments")
+    return mixed_texts(spark, sf_dir).select(
+        "doc_id", "line_no", F.size(parts).cast("long").alias("segments"), F.size(F.array_distinct(parts.getField("lang"))).cast("long").alias("languages")
+    )
 
 
 @query("concat_segments", SEGMENTS + " SELECT doc_id, string_agg(lang || ':' || text, '|' ORDER BY line_no, seg) AS said FROM fin GROUP BY doc_id")
 def concat_segments(spark, sf_dir):
     """Segments of all lines of a document, in order."""
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "seg", F.concat_ws(":", "lang", "text").alias("t"))))
-    return mixed(spark, sf_dir).groupBy("doc_id").agg(F.array_join(parts.getField("t"), "|").alias("said"))
+    line = F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["lang"], s["text"])), "|")
+    lines = F.array_sort(F.collect_list(F.struct("line_no", line.alias("t"))))
+    return mixed_texts(spark, sf_dir).groupBy("doc_id").agg(F.array_join(lines.getField("t"), "|").alias("said"))
 
 

@@ -100,7 +100,7 @@ def test_salvage(spark):
 def test_native_queries_have_no_python(spark):
     import __spark_entry__ as entry
 
-    for name in ("detect_language", "speakable_text", "mixed_segments", "sync_voices"):
+    for name in ("expand_unpronounceable", "speakable_text", "script_counts", "sync_voices"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "Python" not in plan and "Arrow" not in plan, name
 
