@@ -109,8 +109,8 @@ def unpronounceable_class() -> str:
 
 def spoken_name(name: str, verbosity: str) -> str:
     """What is said for a Unicode name."""
-    if name in T.FRIENDLY_NAMES:
-        return T.FRIENDLY_NAMES[name]
+    if name in T.SPOKEN_NAMES:
+        return T.SPOKEN_NAMES[name]
     name = next((name[len(p) :] for p in T.NAME_PREFIXES if name.startswith(p)), name)
     if verbosity == "brief":
         name = " ".join(w for w in name.split() if w not in T.BRIEF_WORDS) or name

@@ -63,16 +63,12 @@ def expand_emoji_char(c: Column, lang: str = "en", names: dict[str, dict[str, st
     return literal_map(names.get(lang, names["en"]))[c]
 
 
-def emoticon_names() -> dict[str, str]:
-    return {e: said for said, faces in T.EMOTICONS.items() for e in faces}
-
-
 WORD = r"[\p{L}\p{N}_]"
 
 
 def expand_emoticons(text: Column) -> Column:
     """Emoticons that touch no word character as words; spaces are tidied in any case."""
-    table = emoticon_names()
+    table = T.EMOTICONS
     pattern = f"(?<!{WORD})(?:{_alternatives(table)})(?!{WORD})"
     lookup = literal_map({k: f" {v} " for k, v in table.items()})
     return trimmed(single_spaced(replaced(text, pattern, lambda m: lookup[m])))
@@ -111,7 +107,7 @@ def names_in(rows: DataFrame, text_col: str, verbosity: str = "brief", lang: str
 
 def speakable_text(text: Column, names: dict[str, str], lang: str = "en", emoticons: bool = True) -> Column:
     """A whole line as it is read: unpronounceable characters and emoji, then emoticons."""
-    said = bound(expand_unpronounceable(text, names, lang), lambda t: expand_emojis(t, lang))
+    said = expand_unpronounceable(text, names, lang)
     return expand_emoticons(said) if emoticons else said
 
 

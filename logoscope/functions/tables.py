@@ -18,101 +18,115 @@ SCRIPT_LANGUAGES = {
 }
 SENTINELS = ("ipa", "unicode_braille")
 
-#: Fixed: spoken names of characters whose Unicode name is spoken otherwise than NAME_PREFIXES and BRIEF_WORDS make it.
-FRIENDLY_NAMES = {
-    "PILCROW SIGN": "pilcrow", "COPYRIGHT SIGN": "copyright", "REGISTERED SIGN": "registered", "TRADE MARK SIGN": "trademark",
-    "DEGREE SIGN": "degree", "MICRO SIGN": "micro", "PLUS-MINUS SIGN": "plus minus", "MULTIPLICATION SIGN": "times",
-    "DIVISION SIGN": "divided by", "NUMERO SIGN": "numero", "MINUS SIGN": "minus", "LEFT-TO-RIGHT MARK": "left to right mark",
-    "RIGHT-TO-LEFT MARK": "right to left mark", "OBJECT REPLACEMENT CHARACTER": "object replacement",
-    "BULLET OPERATOR": "bullet", "HORIZONTAL ELLIPSIS": "ellipsis", "EURO SIGN": "euro", "POUND SIGN": "pound",
-    "YEN SIGN": "yen", "CENT SIGN": "cent", "CURRENCY SIGN": "currency", "INDIAN RUPEE SIGN": "rupee", "RUBLE SIGN": "ruble",
-    "TURKISH LIRA SIGN": "lira", "BITCOIN SIGN": "bitcoin", "VULGAR FRACTION ONE HALF": "one half",
-    "VULGAR FRACTION ONE QUARTER": "one quarter", "VULGAR FRACTION THREE QUARTERS": "three quarters",
+#: Fixed: spoken names of characters by Unicode name, in order of code points.
+SPOKEN_NAMES = {
+    "INVERTED EXCLAMATION MARK": "inverted exclamation mark", "CENT SIGN": "cent", "POUND SIGN": "pound",
+    "CURRENCY SIGN": "currency", "YEN SIGN": "yen", "BROKEN BAR": "broken bar", "SECTION SIGN": "section sign",
+    "COPYRIGHT SIGN": "copyright", "NOT SIGN": "not sign", "SOFT HYPHEN": "soft hyphen", "REGISTERED SIGN": "registered",
+    "DEGREE SIGN": "degree", "PLUS-MINUS SIGN": "plus minus", "SUPERSCRIPT TWO": "superscript 2",
+    "SUPERSCRIPT THREE": "superscript 3", "MICRO SIGN": "micro", "PILCROW SIGN": "pilcrow", "MIDDLE DOT": "middle dot",
+    "SUPERSCRIPT ONE": "superscript 1", "VULGAR FRACTION ONE QUARTER": "one quarter", "VULGAR FRACTION ONE HALF": "one half",
+    "VULGAR FRACTION THREE QUARTERS": "three quarters", "INVERTED QUESTION MARK": "inverted question mark",
+    "MULTIPLICATION SIGN": "times", "DIVISION SIGN": "divided by", "LATIN SMALL LETTER ENG": "eng",
+    "LATIN SMALL LETTER TURNED A": "turned a", "LATIN SMALL LETTER ALPHA": "alpha",
+    "LATIN SMALL LETTER TURNED ALPHA": "turned alpha", "LATIN SMALL LETTER B WITH HOOK": "b hook",
+    "LATIN SMALL LETTER OPEN O": "open o", "LATIN SMALL LETTER C WITH CURL": "c curl",
+    "LATIN SMALL LETTER D WITH TAIL": "d tail", "LATIN SMALL LETTER D WITH HOOK": "d hook",
+    "LATIN SMALL LETTER SCHWA": "schwa", "LATIN SMALL LETTER OPEN E": "open e",
+    "LATIN SMALL LETTER REVERSED OPEN E": "reversed open e", "LATIN SMALL LETTER DOTLESS J WITH STROKE": "barred dotless j",
+    "LATIN SMALL LETTER G WITH HOOK": "g hook", "LATIN LETTER SMALL CAPITAL G": "small capital g",
+    "LATIN SMALL LETTER GAMMA": "gamma", "LATIN SMALL LETTER RAMS HORN": "rams horn",
+    "LATIN SMALL LETTER TURNED H": "turned h", "LATIN SMALL LETTER H WITH HOOK": "h hook",
+    "LATIN LETTER SMALL CAPITAL I": "small capital i", "LATIN SMALL LETTER LEZH": "lezh",
+    "LATIN SMALL LETTER TURNED M": "turned m", "LATIN SMALL LETTER TURNED M WITH LONG LEG": "turned m long leg",
+    "LATIN SMALL LETTER N WITH LEFT HOOK": "n left hook", "LATIN SMALL LETTER N WITH RETROFLEX HOOK": "n retroflex hook",
+    "LATIN LETTER SMALL CAPITAL N": "small capital n", "LATIN LETTER SMALL CAPITAL OE": "small capital o e",
+    "LATIN SMALL LETTER PHI": "phi", "LATIN SMALL LETTER TURNED R": "turned r",
+    "LATIN SMALL LETTER TURNED R WITH HOOK": "turned r hook", "LATIN SMALL LETTER R WITH FISHHOOK": "r fishhook",
+    "LATIN LETTER SMALL CAPITAL R": "small capital r", "LATIN SMALL LETTER S WITH HOOK": "s hook",
+    "LATIN SMALL LETTER ESH": "esh", "LATIN SMALL LETTER SQUAT REVERSED ESH": "squat reversed esh",
+    "LATIN SMALL LETTER T WITH RETROFLEX HOOK": "t retroflex", "LATIN SMALL LETTER UPSILON": "upsilon",
+    "LATIN SMALL LETTER V WITH HOOK": "v hook", "LATIN SMALL LETTER TURNED V": "turned v",
+    "LATIN SMALL LETTER TURNED W": "turned w", "LATIN SMALL LETTER TURNED Y": "turned y",
+    "LATIN SMALL LETTER Z WITH RETROFLEX HOOK": "z retroflex", "LATIN SMALL LETTER Z WITH CURL": "z curl",
+    "LATIN SMALL LETTER EZH": "ezh", "LATIN LETTER GLOTTAL STOP": "glottal stop",
+    "LATIN LETTER PHARYNGEAL VOICED FRICATIVE": "pharyngeal fricative",
+    "LATIN LETTER INVERTED GLOTTAL STOP": "inverted glottal stop", "LATIN LETTER STRETCHED C": "stretched c",
+    "LATIN LETTER SMALL CAPITAL L": "small capital l", "MODIFIER LETTER SMALL H": "aspirated",
+    "MODIFIER LETTER SMALL J": "palatalized", "MODIFIER LETTER SMALL W": "labialized",
+    "MODIFIER LETTER VERTICAL LINE": "primary stress", "MODIFIER LETTER LOW VERTICAL LINE": "secondary stress",
+    "MODIFIER LETTER TRIANGULAR COLON": "long", "MODIFIER LETTER HALF TRIANGULAR COLON": "half long",
+    "MODIFIER LETTER RHOTIC HOOK": "rhoticity", "MODIFIER LETTER SMALL GAMMA": "velarized",
+    "ZERO WIDTH SPACE": "zero width space", "ZERO WIDTH NON-JOINER": "zero width non-joiner",
+    "ZERO WIDTH JOINER": "zero width joiner", "LEFT-TO-RIGHT MARK": "left to right mark",
+    "RIGHT-TO-LEFT MARK": "right to left mark", "HYPHEN": "hyphen", "NON-BREAKING HYPHEN": "non-breaking hyphen",
+    "FIGURE DASH": "figure dash", "HORIZONTAL BAR": "horizontal bar", "BULLET": "bullet",
+    "TRIANGULAR BULLET": "triangular bullet", "HORIZONTAL ELLIPSIS": "ellipsis", "HYPHENATION POINT": "hyphenation point",
+    "INTERROBANG": "interrobang", "WORD JOINER": "word joiner", "SUPERSCRIPT ZERO": "superscript 0",
+    "SUBSCRIPT ZERO": "subscript 0", "SUBSCRIPT ONE": "subscript 1", "SUBSCRIPT TWO": "subscript 2",
+    "SUBSCRIPT THREE": "subscript 3", "SUBSCRIPT FOUR": "subscript 4", "SUBSCRIPT FIVE": "subscript 5",
+    "SUBSCRIPT SIX": "subscript 6", "SUBSCRIPT SEVEN": "subscript 7", "SUBSCRIPT EIGHT": "subscript 8",
+    "SUBSCRIPT NINE": "subscript 9", "EURO SIGN": "euro", "INDIAN RUPEE SIGN": "rupee", "TURKISH LIRA SIGN": "lira",
+    "RUBLE SIGN": "ruble", "BITCOIN SIGN": "bitcoin", "DEGREE CELSIUS": "degrees celsius",
+    "DEGREE FAHRENHEIT": "degrees fahrenheit", "NUMERO SIGN": "numero", "TRADE MARK SIGN": "trademark",
     "VULGAR FRACTION ONE THIRD": "one third", "VULGAR FRACTION TWO THIRDS": "two thirds",
     "VULGAR FRACTION ONE FIFTH": "one fifth", "VULGAR FRACTION TWO FIFTHS": "two fifths",
     "VULGAR FRACTION THREE FIFTHS": "three fifths", "VULGAR FRACTION FOUR FIFTHS": "four fifths",
     "VULGAR FRACTION ONE SIXTH": "one sixth", "VULGAR FRACTION FIVE SIXTHS": "five sixths",
     "VULGAR FRACTION ONE EIGHTH": "one eighth", "VULGAR FRACTION THREE EIGHTHS": "three eighths",
     "VULGAR FRACTION FIVE EIGHTHS": "five eighths", "VULGAR FRACTION SEVEN EIGHTHS": "seven eighths",
-    "SUPERSCRIPT ONE": "superscript 1", "SUPERSCRIPT TWO": "superscript 2", "SUPERSCRIPT THREE": "superscript 3",
-    "SUPERSCRIPT ZERO": "superscript 0", "SUBSCRIPT ZERO": "subscript 0", "SUBSCRIPT ONE": "subscript 1",
-    "SUBSCRIPT TWO": "subscript 2", "SUBSCRIPT THREE": "subscript 3", "SUBSCRIPT FOUR": "subscript 4",
-    "SUBSCRIPT FIVE": "subscript 5", "SUBSCRIPT SIX": "subscript 6", "SUBSCRIPT SEVEN": "subscript 7",
-    "SUBSCRIPT EIGHT": "subscript 8", "SUBSCRIPT NINE": "subscript 9", "MUSIC SHARP SIGN": "sharp", "MUSIC FLAT SIGN": "flat",
-    "MUSIC NATURAL SIGN": "natural", "BLACK SPADE SUIT": "spade", "BLACK HEART SUIT": "heart", "BLACK DIAMOND SUIT": "diamond",
-    "BLACK CLUB SUIT": "club", "WHITE SPADE SUIT": "white spade", "WHITE HEART SUIT": "white heart",
-    "WHITE DIAMOND SUIT": "white diamond", "WHITE CLUB SUIT": "white club", "HEAVY CHECK MARK": "check mark",
-    "BALLOT X": "x mark", "HEAVY BALLOT X": "x mark", "BALLOT BOX WITH CHECK": "checked ballot box",
-    "BALLOT BOX WITH X": "x ballot box", "STAR OPERATOR": "star", "LEFTWARDS ARROW": "left arrow", "UPWARDS ARROW": "up arrow",
-    "RIGHTWARDS ARROW": "right arrow", "DOWNWARDS ARROW": "down arrow", "NORTH WEST ARROW": "northwest arrow",
-    "NORTH EAST ARROW": "northeast arrow", "SOUTH EAST ARROW": "southeast arrow", "SOUTH WEST ARROW": "southwest arrow",
-    "RIGHTWARDS DOUBLE ARROW": "right double arrow", "LEFTWARDS DOUBLE ARROW": "left double arrow",
-    "UPWARDS DOUBLE ARROW": "up double arrow", "DOWNWARDS DOUBLE ARROW": "down double arrow",
-    "ALMOST EQUAL TO": "approximately equal", "NOT EQUAL TO": "not equal", "LESS-THAN OR EQUAL TO": "less than or equal",
-    "GREATER-THAN OR EQUAL TO": "greater than or equal", "NOT AN ELEMENT OF": "not element of", "N-ARY PRODUCT": "product",
-    "TILDE OPERATOR": "tilde", "DEGREE CELSIUS": "degrees celsius", "DEGREE FAHRENHEIT": "degrees fahrenheit",
-    "BLACK UP-POINTING TRIANGLE": "up triangle", "BLACK DOWN-POINTING TRIANGLE": "down triangle",
-    "BLACK LEFT-POINTING TRIANGLE": "left triangle", "BLACK RIGHT-POINTING TRIANGLE": "right triangle",
-    "WHITE MEDIUM SQUARE": "white square", "BLACK MEDIUM SQUARE": "black square", "BLACK SUN WITH RAYS": "sun",
-    "RADIOACTIVE SIGN": "radioactive", "BIOHAZARD SIGN": "biohazard", "PEACE SYMBOL": "peace", "WARNING SIGN": "warning",
-    "HIGH VOLTAGE SIGN": "high voltage", "HEAVY EXCLAMATION MARK ORNAMENT": "exclamation mark",
+    "LEFTWARDS ARROW": "left arrow", "UPWARDS ARROW": "up arrow", "RIGHTWARDS ARROW": "right arrow",
+    "DOWNWARDS ARROW": "down arrow", "LEFT RIGHT ARROW": "left right arrow", "UP DOWN ARROW": "up down arrow",
+    "NORTH WEST ARROW": "northwest arrow", "NORTH EAST ARROW": "northeast arrow", "SOUTH EAST ARROW": "southeast arrow",
+    "SOUTH WEST ARROW": "southwest arrow", "LEFTWARDS DOUBLE ARROW": "left double arrow",
+    "UPWARDS DOUBLE ARROW": "up double arrow", "RIGHTWARDS DOUBLE ARROW": "right double arrow",
+    "DOWNWARDS DOUBLE ARROW": "down double arrow", "LEFT RIGHT DOUBLE ARROW": "left right double arrow", "FOR ALL": "for all",
+    "PARTIAL DIFFERENTIAL": "partial differential", "THERE EXISTS": "there exists", "EMPTY SET": "empty set",
+    "NABLA": "nabla", "ELEMENT OF": "element of", "NOT AN ELEMENT OF": "not element of", "N-ARY PRODUCT": "product",
+    "MINUS SIGN": "minus", "BULLET OPERATOR": "bullet", "SQUARE ROOT": "square root", "PROPORTIONAL TO": "proportional to",
+    "INFINITY": "infinity", "LOGICAL AND": "logical and", "LOGICAL OR": "logical or", "INTERSECTION": "intersection",
+    "UNION": "union", "INTEGRAL": "integral", "TILDE OPERATOR": "tilde", "ALMOST EQUAL TO": "approximately equal",
+    "NOT EQUAL TO": "not equal", "IDENTICAL TO": "identical to", "LESS-THAN OR EQUAL TO": "less than or equal",
+    "GREATER-THAN OR EQUAL TO": "greater than or equal", "SUBSET OF": "subset of", "SUPERSET OF": "superset of",
+    "STAR OPERATOR": "star", "BLACK SQUARE": "black square", "WHITE SQUARE": "white square",
+    "BLACK UP-POINTING TRIANGLE": "up triangle", "BLACK RIGHT-POINTING TRIANGLE": "right triangle",
+    "BLACK DOWN-POINTING TRIANGLE": "down triangle", "BLACK LEFT-POINTING TRIANGLE": "left triangle", "LOZENGE": "lozenge",
+    "WHITE CIRCLE": "white circle", "BLACK CIRCLE": "black circle", "WHITE MEDIUM SQUARE": "white square",
+    "BLACK MEDIUM SQUARE": "black square", "BLACK SUN WITH RAYS": "sun", "CLOUD": "cloud", "UMBRELLA": "umbrella",
+    "SNOWMAN": "snowman", "COMET": "comet", "BLACK STAR": "black star", "WHITE STAR": "white star",
+    "BALLOT BOX": "ballot box", "BALLOT BOX WITH CHECK": "checked ballot box", "BALLOT BOX WITH X": "x ballot box",
+    "SKULL AND CROSSBONES": "skull and crossbones", "RADIOACTIVE SIGN": "radioactive", "BIOHAZARD SIGN": "biohazard",
+    "PEACE SYMBOL": "peace", "YIN YANG": "yin yang", "BLACK SPADE SUIT": "spade", "WHITE HEART SUIT": "white heart",
+    "WHITE DIAMOND SUIT": "white diamond", "BLACK CLUB SUIT": "club", "WHITE SPADE SUIT": "white spade",
+    "BLACK HEART SUIT": "heart", "BLACK DIAMOND SUIT": "diamond", "WHITE CLUB SUIT": "white club",
+    "HOT SPRINGS": "hot springs", "QUARTER NOTE": "quarter note", "EIGHTH NOTE": "eighth note",
+    "BEAMED EIGHTH NOTES": "beamed eighth notes", "MUSIC FLAT SIGN": "flat", "MUSIC NATURAL SIGN": "natural",
+    "MUSIC SHARP SIGN": "sharp", "ANCHOR": "anchor", "WARNING SIGN": "warning", "HIGH VOLTAGE SIGN": "high voltage",
+    "CHECK MARK": "check mark", "HEAVY CHECK MARK": "check mark", "BALLOT X": "x mark", "HEAVY BALLOT X": "x mark",
+    "SPARKLES": "sparkles", "SNOWFLAKE": "snowflake", "HEAVY LOW DOUBLE COMMA QUOTATION MARK ORNAMENT": "low double quote",
+    "CURVED STEM PARAGRAPH SIGN ORNAMENT": "paragraph sign", "HEAVY EXCLAMATION MARK ORNAMENT": "exclamation mark",
     "HEAVY HEART EXCLAMATION MARK ORNAMENT": "heart exclamation", "HEAVY BLACK HEART": "red heart",
+    "MEDIUM LEFT PARENTHESIS ORNAMENT": "left parenthesis", "MEDIUM RIGHT PARENTHESIS ORNAMENT": "right parenthesis",
+    "MEDIUM FLATTENED LEFT PARENTHESIS ORNAMENT": "left parenthesis",
+    "MEDIUM FLATTENED RIGHT PARENTHESIS ORNAMENT": "right parenthesis",
+    "MEDIUM LEFT-POINTING ANGLE BRACKET ORNAMENT": "left angle bracket",
+    "MEDIUM RIGHT-POINTING ANGLE BRACKET ORNAMENT": "right angle bracket",
     "HEAVY LEFT-POINTING ANGLE QUOTATION MARK ORNAMENT": "left angle quote",
     "HEAVY RIGHT-POINTING ANGLE QUOTATION MARK ORNAMENT": "right angle quote",
     "HEAVY LEFT-POINTING ANGLE BRACKET ORNAMENT": "left angle bracket",
     "HEAVY RIGHT-POINTING ANGLE BRACKET ORNAMENT": "right angle bracket",
-    "MEDIUM LEFT-POINTING ANGLE BRACKET ORNAMENT": "left angle bracket",
-    "MEDIUM RIGHT-POINTING ANGLE BRACKET ORNAMENT": "right angle bracket",
-    "MEDIUM LEFT PARENTHESIS ORNAMENT": "left parenthesis", "MEDIUM RIGHT PARENTHESIS ORNAMENT": "right parenthesis",
-    "MEDIUM FLATTENED LEFT PARENTHESIS ORNAMENT": "left parenthesis",
-    "MEDIUM FLATTENED RIGHT PARENTHESIS ORNAMENT": "right parenthesis",
+    "LIGHT LEFT TORTOISE SHELL BRACKET ORNAMENT": "left bracket",
+    "LIGHT RIGHT TORTOISE SHELL BRACKET ORNAMENT": "right bracket",
     "MEDIUM LEFT CURLY BRACKET ORNAMENT": "left curly bracket", "MEDIUM RIGHT CURLY BRACKET ORNAMENT": "right curly bracket",
-    "LIGHT LEFT TORTOISE SHELL BRACKET ORNAMENT": "left bracket", "LIGHT RIGHT TORTOISE SHELL BRACKET ORNAMENT": "right bracket",
-    "HEAVY LOW DOUBLE COMMA QUOTATION MARK ORNAMENT": "low double quote", "CURVED STEM PARAGRAPH SIGN ORNAMENT": "paragraph sign",
     "DINGBAT NEGATIVE CIRCLED DIGIT ONE": "circled 1", "DINGBAT NEGATIVE CIRCLED DIGIT TWO": "circled 2",
     "DINGBAT NEGATIVE CIRCLED DIGIT THREE": "circled 3", "DINGBAT NEGATIVE CIRCLED DIGIT FOUR": "circled 4",
     "DINGBAT NEGATIVE CIRCLED DIGIT FIVE": "circled 5", "DINGBAT NEGATIVE CIRCLED DIGIT SIX": "circled 6",
     "DINGBAT NEGATIVE CIRCLED DIGIT SEVEN": "circled 7", "DINGBAT NEGATIVE CIRCLED DIGIT EIGHT": "circled 8",
     "DINGBAT NEGATIVE CIRCLED DIGIT NINE": "circled 9", "DINGBAT NEGATIVE CIRCLED NUMBER TEN": "circled 10",
-    "LATIN LETTER SMALL CAPITAL I": "small capital i", "LATIN SMALL LETTER B WITH HOOK": "b hook",
-    "LATIN SMALL LETTER C WITH CURL": "c curl", "LATIN SMALL LETTER D WITH TAIL": "d tail",
-    "LATIN SMALL LETTER D WITH HOOK": "d hook", "LATIN SMALL LETTER DOTLESS J WITH STROKE": "barred dotless j",
-    "LATIN SMALL LETTER G WITH HOOK": "g hook", "LATIN SMALL LETTER H WITH HOOK": "h hook",
-    "LATIN SMALL LETTER TURNED M WITH LONG LEG": "turned m long leg", "LATIN SMALL LETTER N WITH LEFT HOOK": "n left hook",
-    "LATIN SMALL LETTER N WITH RETROFLEX HOOK": "n retroflex hook", "LATIN LETTER SMALL CAPITAL N": "small capital n",
-    "LATIN LETTER SMALL CAPITAL OE": "small capital o e", "LATIN LETTER SMALL CAPITAL R": "small capital r",
-    "LATIN SMALL LETTER R WITH FISHHOOK": "r fishhook", "LATIN SMALL LETTER TURNED R WITH HOOK": "turned r hook",
-    "LATIN SMALL LETTER S WITH HOOK": "s hook", "LATIN SMALL LETTER T WITH RETROFLEX HOOK": "t retroflex",
-    "LATIN SMALL LETTER V WITH HOOK": "v hook", "LATIN SMALL LETTER Z WITH RETROFLEX HOOK": "z retroflex",
-    "LATIN SMALL LETTER Z WITH CURL": "z curl", "LATIN LETTER PHARYNGEAL VOICED FRICATIVE": "pharyngeal fricative",
-    "LATIN LETTER SMALL CAPITAL G": "small capital g", "LATIN LETTER SMALL CAPITAL L": "small capital l",
-    "MODIFIER LETTER VERTICAL LINE": "primary stress", "MODIFIER LETTER LOW VERTICAL LINE": "secondary stress",
-    "MODIFIER LETTER TRIANGULAR COLON": "long", "MODIFIER LETTER HALF TRIANGULAR COLON": "half long",
-    "MODIFIER LETTER SMALL H": "aspirated", "MODIFIER LETTER SMALL W": "labialized", "MODIFIER LETTER SMALL J": "palatalized",
-    "MODIFIER LETTER SMALL GAMMA": "velarized", "MODIFIER LETTER RHOTIC HOOK": "rhoticity",
+    "REVERSED QUESTION MARK": "reversed question mark", "LATIN SMALL LETTER BETA": "beta",
+    "OBJECT REPLACEMENT CHARACTER": "object replacement", "REPLACEMENT CHARACTER": "replacement character",
 }
 
-#: Fixed: further characters of the built-in list, spoken as NAME_PREFIXES makes it.
-BUILT_IN = (
-    "SECTION SIGN", "MIDDLE DOT", "BROKEN BAR", "NOT SIGN", "INVERTED EXCLAMATION MARK", "INVERTED QUESTION MARK",
-    "INTERROBANG", "REVERSED QUESTION MARK", "FIGURE DASH", "HORIZONTAL BAR", "HYPHEN", "NON-BREAKING HYPHEN", "SOFT HYPHEN",
-    "ZERO WIDTH SPACE", "ZERO WIDTH NON-JOINER", "ZERO WIDTH JOINER", "WORD JOINER", "BULLET", "TRIANGULAR BULLET",
-    "HYPHENATION POINT", "EIGHTH NOTE", "BEAMED EIGHTH NOTES", "QUARTER NOTE", "CHECK MARK", "BALLOT BOX", "BLACK STAR",
-    "WHITE STAR", "LEFT RIGHT ARROW", "UP DOWN ARROW", "LEFT RIGHT DOUBLE ARROW", "INFINITY", "SQUARE ROOT", "PROPORTIONAL TO",
-    "FOR ALL", "THERE EXISTS", "EMPTY SET", "ELEMENT OF", "SUBSET OF", "SUPERSET OF", "UNION", "INTERSECTION", "INTEGRAL",
-    "PARTIAL DIFFERENTIAL", "NABLA", "IDENTICAL TO", "LOGICAL AND", "LOGICAL OR", "REPLACEMENT CHARACTER", "BLACK CIRCLE",
-    "WHITE CIRCLE", "BLACK SQUARE", "WHITE SQUARE", "LOZENGE", "SNOWFLAKE", "COMET", "CLOUD", "UMBRELLA", "HOT SPRINGS",
-    "SKULL AND CROSSBONES", "YIN YANG", "ANCHOR", "SPARKLES", "SNOWMAN", "LATIN SMALL LETTER SCHWA",
-    "LATIN SMALL LETTER OPEN E", "LATIN SMALL LETTER OPEN O", "LATIN SMALL LETTER TURNED A", "LATIN SMALL LETTER ALPHA",
-    "LATIN SMALL LETTER TURNED ALPHA", "LATIN SMALL LETTER ESH", "LATIN SMALL LETTER EZH", "LATIN SMALL LETTER ENG",
-    "LATIN SMALL LETTER TURNED R", "LATIN SMALL LETTER TURNED V", "LATIN SMALL LETTER UPSILON",
-    "LATIN SMALL LETTER REVERSED OPEN E", "LATIN LETTER GLOTTAL STOP", "LATIN SMALL LETTER TURNED H",
-    "LATIN SMALL LETTER LEZH", "LATIN SMALL LETTER TURNED M", "LATIN SMALL LETTER PHI", "LATIN SMALL LETTER TURNED W",
-    "LATIN SMALL LETTER TURNED Y", "LATIN LETTER INVERTED GLOTTAL STOP", "LATIN LETTER STRETCHED C",
-    "LATIN SMALL LETTER BETA", "LATIN SMALL LETTER GAMMA", "LATIN SMALL LETTER RAMS HORN",
-    "LATIN SMALL LETTER SQUAT REVERSED ESH",
-)
-
 #: Fixed: prefixes of Unicode names that aren't spoken (the first that fits), and words left out in brief mode.
 NAME_PREFIXES = (
     "BOX DRAWINGS ", "BLOCK ", "BRAILLE PATTERN ", "DINGBAT ", "MODIFIER LETTER SMALL ", "MODIFIER LETTER ",
@@ -130,15 +144,19 @@ PHONETIC = ((0x250, 0x2FF), (0x1D00, 0x1DBF))
 #: Fixed: invisible characters besides those of category Cf.
 INVISIBLE = ((0x034F, 0x034F), (0x2028, 0x2029), (0xFE00, 0xFE0F), (0x1F1E6, 0x1F1FF), (0xE0100, 0xE01EF))
 
-#: Fixed: emoticons by what is said for them.
+#: Fixed: emoticons and what is said for them.
 EMOTICONS = {
-    "smiley face": (":-)", ":)"), "sad face": (":-(", ":("), "grinning face": (":-D", ":D", ":-d", ":d"),
-    "winking face": (";-)", ";)"), "tongue out": (":-P", ":P", ":-p", ":p"), "confused face": (":-/", ":/", ":-\\", ":\\"),
-    "surprised face": (":-O", ":O", ":-o", ":o"), "neutral face": (":-|", ":|"), "kiss": (":-*", ":*"),
-    "crying face": (":'(", ":'-("), "angry face": (">:(", ">:-("), "heart": ("<3",), "broken heart": ("</3",),
-    "laughing": ("XD", "xD"), "crying": ("T_T", "T.T"), "shocked": ("O_O", "o_o", "O.O"), "happy": ("^_^", "^-^", "^^"),
-    "frustrated": (">_<", ">.<"), "unamused": ("-_-", "-.-"), "cool face": ("B-)", "B)", "8-)", "8)"), "horrified": ("D:",),
-    "evil grin": (">:)", ">:-)"), "shrug": ("¯\\_(ツ)_/¯",), "table flip": ("(╯°□°)╯︵ ┻━┻",), "disapproval": ("ಠ_ಠ",),
+    ":-)": "smiley face", ":)": "smiley face", ":-(": "sad face", ":(": "sad face", ":-D": "grinning face",
+    ":D": "grinning face", ":-d": "grinning face", ":d": "grinning face", ";-)": "winking face", ";)": "winking face",
+    ":-P": "tongue out", ":P": "tongue out", ":-p": "tongue out", ":p": "tongue out", ":-/": "confused face",
+    ":/": "confused face", ":-\\": "confused face", ":\\": "confused face", ":-O": "surprised face", ":O": "surprised face",
+    ":-o": "surprised face", ":o": "surprised face", ":-|": "neutral face", ":|": "neutral face", ":-*": "kiss", ":*": "kiss",
+    ":'(": "crying face", ":'-(": "crying face", ">:(": "angry face", ">:-(": "angry face", "<3": "heart",
+    "</3": "broken heart", "XD": "laughing", "xD": "laughing", "T_T": "crying", "T.T": "crying", "O_O": "shocked",
+    "o_o": "shocked", "O.O": "shocked", "^_^": "happy", "^-^": "happy", "^^": "happy", ">_<": "frustrated",
+    ">.<": "frustrated", "-_-": "unamused", "-.-": "unamused", "B-)": "cool face", "B)": "cool face", "8-)": "cool face",
+    "8)": "cool face", "D:": "horrified", ">:)": "evil grin", ">:-)": "evil grin", "¯\\_(ツ)_/¯": "shrug",
+    "(╯°□°)╯︵ ┻━┻": "table flip", "ಠ_ಠ": "disapproval",
 }
 
 #: Fixed: names of languages in themselves.

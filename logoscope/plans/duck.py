@@ -71,7 +71,7 @@ def expand_unpronounceable(x: str) -> str:
 def expand_emoticons(x: str) -> str:
     """Of texts whose emoticons have no neighbours in common: RE2 has no look-around, so neighbours are kept."""
     out = f"' ' || {x} || ' '"
-    for face, said in sorted(rewrite.emoticon_names().items(), key=lambda p: (-len(p[0]), p[0])):
+    for face, said in sorted(T.EMOTICONS.items(), key=lambda p: (-len(p[0]), p[0])):
         import re
 
         safe = re.escape(face).replace("\\ ", " ")

@@ -9,7 +9,6 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from logoscope.functions import tables as T
-from logoscope.functions.chars import spoken_name
 from logoscope.operators import voices as V
 from logoscope.plans import duck as D
 from logoscope.plans.registry import query, table
@@ -273,8 +272,7 @@ def custom_name_lookup(spark, sf_dir):
 
 
 def built_in():
-    names = [*T.FRIENDLY_NAMES, *T.BUILT_IN]
-    return [(unicodedata.lookup(n), n, spoken_name(n, "verbose")) for n in names]
+    return [(unicodedata.lookup(n), n, said) for n, said in T.SPOKEN_NAMES.items()]
 
 
 @query(

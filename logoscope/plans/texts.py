@@ -124,8 +124,8 @@ def expand_emoji_char(spark, sf_dir):
     return distinct_chars(spark, sf_dir).select("ch", "n", rewrite.expand_emoji_char(F.col("ch")).alias("name"))
 
 
-#: One emoticon of each line's own, away from others: the oracle's regular expressions have no look-around.
-FACES = """replace(replace(text, '(', ' '), ')', ' ') || CASE doc_id % 7 WHEN 0 THEN ' :-) ' WHEN 1 THEN ' x:) ' WHEN 2 THEN ' </3 ' WHEN 3 THEN ' T_T'
+#: An emoticon of each text's own behind the text as it is.
+FACES = """text || CASE doc_id % 7 WHEN 0 THEN ' :-) ' WHEN 1 THEN ' x:) ' WHEN 2 THEN ' </3 ' WHEN 3 THEN ' T_T'
  WHEN 4 THEN ' (╯°□°)╯︵ ┻━┻' WHEN 5 THEN ' http://a 8)' ELSE '  D:  ok' END"""
 
 
@@ -255,18 +255,18 @@ def letters_total(spark, sf_dir):
     return docs2(spark, sf_dir).select("doc_id", scripts.letters_total(F.col("text")).alias("letters"))
 
 
-#: The written-in part with a little of the text, so that a script can have half of the letters.
-SHORT = f"substr(text, 1, 4) || right({U.INJECTED}, length({U.INJECTED}) - length(text))"
-SHORT_DOCS = f"(SELECT doc_id, source, lang, {SHORT} AS text FROM documents)"
+#: Whole texts, and the written-in part once more as a line of its own, which has a dominant script.
+SCRIPT_LINES = D.lines(f"(SELECT doc_id, source, lang, {U.INJECTED} || chr(10) || right({U.INJECTED}, length({U.INJECTED}) - length(text)) AS text FROM documents)")
+KEYED_LINES = f"(SELECT doc_id, line_no, concat_ws('/', doc_id, line_no) AS k, text FROM {SCRIPT_LINES})"
+DOMINANT = f"(SELECT doc_id, line_no, dominant FROM {KEYED_LINES} JOIN {D.dominant(KEYED_LINES, 'k')} USING (k))"
 
 
-def short_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.expr(SHORT).alias("text"))
-
-
-@query("dominant_script", f"SELECT doc_id, dominant FROM {D.dominant(SHORT_DOCS, 'doc_id')}")
+@query("dominant_script", f"SELECT doc_id, line_no, dominant FROM {DOMINANT}")
 def dominant_script(spark, sf_dir):
-    return short_docs(spark, sf_dir).select("doc_id", scripts.dominant_script(F.col("text")).alias("dominant"))
+    """The dominant script of every whole line."""
+    part = f"{U.INJECTED} || chr(10) || right({U.INJECTED}, length({U.INJECTED}) - length(text))"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(part).alias("text"))
+    return U.lines(docs).select("doc_id", "line_no", scripts.dominant_script(F.col("text")).alias("dominant"))
 
 
 #: Whole texts as rows of even number; the written-in parts alone, which have a dominant script, as rows of odd number.
@@ -300,14 +300,10 @@ def natural_word_count(spark, sf_dir):
     return lines2(spark, sf_dir).select("doc_id", "line_no", F.size(X.natural_words(F.col("text"))).alias("n"))
 
 
-@query(
-    "script_to_language",
-    f"SELECT doc_id, dominant, {D.case('dominant', T.SCRIPT_LANGUAGES)} AS lang FROM {D.dominant(SHORT_DOCS, 'doc_id')}",
-)
+@query("script_to_language", f"SELECT doc_id, line_no, dominant, {D.case('dominant', T.SCRIPT_LANGUAGES)} AS lang FROM {DOMINANT}")
 def script_to_language(spark, sf_dir):
     known = spark.createDataFrame(list(T.SCRIPT_LANGUAGES.items()), "dominant string, lang string")
-    rows = short_docs(spark, sf_dir).select("doc_id", scripts.dominant_script(F.col("text")).alias("dominant"))
-    return rows.join(F.broadcast(known), "dominant", "left").select("doc_id", "dominant", "lang")
+    return dominant_script(spark, sf_dir).join(F.broadcast(known), "dominant", "left").select("doc_id", "line_no", "dominant", "lang")
 
 
 @query("detect_character", f"SELECT ch, n, CASE WHEN l IN ('ru', 'he', 'ipa', 'unicode_braille') THEN l END AS lang FROM (SELECT ch, n, {D.case(D.script_of('ch'), T.SCRIPT_LANGUAGES)} AS l FROM {D.CHARS})")

@@ -56,7 +56,7 @@ def migrate_profile_map(rows: DataFrame, mapped: DataFrame) -> DataFrame:
     wanted = old.select("tenant", F.explode("s.language_to_profile").alias("lang", "old_profile")).select("tenant", "lang")
     found = wanted.join(mapped, ["tenant", "lang"])
     return found.select(
-        "tenant", "lang", "voice_name", F.when(F.col("voice_name") != "", F.col("lang")).otherwise(F.col("lang")).alias("voice_lang"), "voice_dialect", "rate",
+        "tenant", "lang", "voice_name", F.col("lang").alias("voice_lang"), "voice_dialect", "rate",
         "average_pitch", F.coalesce("table", F.lit("")).alias("contraction_table"),
     )
 
