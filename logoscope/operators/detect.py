@@ -56,16 +56,21 @@ def _joined(rows: DataFrame, model: DataFrame, key: list[str], enabled: list[str
     return best.select(*key, "script_lang", F.coalesce("script_lang", "b.lang").alias("lang"), F.col("b.conf").alias("conf"), "words")
 
 
-def resolve(
-    mode: Column, mixed: Column, markup: Column, locale: Column, script_lang: Column, detected: Column, default: Column, voiced: Column
-) -> Column:
-    """Language of a line by mode. ``markup`` is that of the range (used for mixed lines only), ``locale`` that of the
-    object, ``detected`` the result of full detection; a hint without a voice (see ``voiced``) does not count."""
+def resolve(mode: Column, mixed: Column, markup: Column, locale: Column, script_lang: Column, detected: Column, default: Column) -> Column:
+    """Language of a line by mode, with or without a voice: ``markup`` of the range (for mixed lines only), else ``locale`` of the
+    object, else what the mode detects. Null in mode off: the line's voice stays."""
     hint = F.coalesce(F.when(mixed, X.lang_code(markup)), X.lang_code(locale))
-    hint = F.when(F.array_contains(voiced, hint), hint)
     by_mode = (
         F.when(mode == "always", detected)
         .when(mode == "markup_text", F.coalesce(hint, detected))
         .when(mode == "markup_only", F.coalesce(hint, script_lang, default))
     )
     return F.when(mode != "off", by_mode)
+
+
+def resolve_utterance(mode: Column, mixed: Column, voice: Column, script_lang: Column, detected: Column, default: Column, voiced: Column) -> Column:
+    """Language of an utterance that comes with the language of a voice (null for none; one without a voice doesn't count): unless
+    the line is mixed the voice is trusted, else the mode decides. A language without a voice leaves the voice as it is."""
+    known = F.when(F.array_contains(voiced, voice), voice)
+    found = F.when(~mixed & known.isNotNull(), known).when(mode == "markup_only", F.coalesce(known, script_lang, default)).otherwise(detected)
+    return F.when(mode != "off", F.coalesce(F.when(F.array_contains(voiced, found), found), known))

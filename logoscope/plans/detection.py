@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from logoscope.functions import tables as T
+from logoscope.functions import text as X
 from logoscope.operators import detect, ngram, packed, segments, session
 from logoscope.plans import duck as D
 from logoscope.plans.registry import query, table
 from logoscope.plans.texts import lines2
+from logoscope.sources import markup
 from logoscope.sources import utterances as U
 from logoscope.sources.scratch import scratch
 
@@ -103,30 +105,80 @@ def lang_distribution(spark, sf_dir):
     return found.groupBy("source", F.coalesce("lang", F.lit("none")).alias("lang")).agg(F.count("*").alias("lines"))
 
 
-PAGE_LANG = "regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1)"
-PAGE_TEXT = r"regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\x{9}-\x{d} ]+', ' ', 'g')"
-PAGE_MODE = "CASE page_id % 4 WHEN 0 THEN 'off' WHEN 1 THEN 'markup_only' WHEN 2 THEN 'markup_text' ELSE 'always' END"
 VOICED = ["en", "de", "ru"]
+PAGE_MODE = "CASE page_id % 4 WHEN 0 THEN 'off' WHEN 1 THEN 'markup_only' WHEN 2 THEN 'markup_text' ELSE 'always' END"
+PAGE_MIXED = "page_id % 3 <> 1"
+#: Pages with nested languages written in; some have no locale of their own.
+MARKED = """replace(replace(replace(replace(html, '</h1>', ' <span lang="de-DE">der die und <i lang="ru">мир</i> nicht</span> Привет <i lang="he">да</i></h1>'),
+  '<p>The ', '<p lang="fr">The '), '<p>Of ', '<p lang="">Of '), CASE page_id % 5 WHEN 0 THEN '<html lang=' ELSE '' END, CASE page_id % 5 WHEN 0 THEN '<html data-lang=' ELSE '' END)"""
+BLOCK = rf"^</?({'|'.join(markup.BLOCKS)})[\s/>]"
+CODE = "nullif(lower(regexp_extract(trim({}), '^[^-_.@]*')), '')"
+UNESCAPED = """replace(replace(replace(replace(replace(w, chr(10), ' '), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')"""
+#: Texts of pages cut by line and by innermost language: an element ends at the first end of its name that balances.
+PAGE_PIECES = f"""pt AS (SELECT page_id, m, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT page_id, m, regexp_extract_all(m,
+     '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>|[^<]+') AS t FROM (SELECT page_id, {MARKED} AS m FROM pages))),
+ pn AS (SELECT page_id, i, w, starts_with(w, '<') AS tag, regexp_extract(w, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1) AS name, starts_with(w, '</') AS ends,
+   regexp_matches(w, '{BLOCK}') AND NOT regexp_matches(w, '^<(script|style)') AS block,
+   CASE WHEN regexp_matches(w, '^<[a-zA-Z]') AND regexp_matches(w, '\\slang=["'']') THEN regexp_extract(w, '\\slang=["'']([^"'']*)', 1) END AS lang FROM pt),
+ po AS (SELECT page_id, i, name, lang FROM pn WHERE lang IS NOT NULL AND name <> 'html'),
+ pd AS (SELECT po.page_id, po.i, po.lang, n.i AS j, n.ends, sum(CASE WHEN n.ends THEN -1 ELSE 1 END) OVER (PARTITION BY po.page_id, po.i ORDER BY n.i) AS depth
+   FROM po JOIN pn n ON n.page_id = po.page_id AND n.name = po.name AND n.i > po.i),
+ pr AS (SELECT po.page_id, po.i AS a, coalesce(min(j) FILTER (WHERE ends AND depth = -1), 1000000000) AS b, po.lang FROM po LEFT JOIN pd USING (page_id, i) GROUP BY ALL),
+ ps AS (SELECT page_id, i, block, CASE WHEN block THEN chr(10) WHEN tag THEN '' ELSE {UNESCAPED} END AS s FROM pn),
+ px AS (SELECT page_id, i, block, s, coalesce(sum(length(s)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS spot,
+   coalesce(sum(CASE WHEN block THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i), 0)::INTEGER AS line_no FROM ps),
+ pl AS (SELECT px.page_id, px.i, s, spot, line_no, {PAGE_MIXED.replace('page_id', 'px.page_id')} AS mixed, arg_max(lang, a) AS lang
+   FROM px LEFT JOIN pr ON pr.page_id = px.page_id AND pr.a < px.i AND px.i < pr.b WHERE NOT block AND s <> '' GROUP BY ALL),
+ pg AS (SELECT *, CASE WHEN mixed AND lag(lang) OVER w IS DISTINCT FROM lang THEN 1 ELSE 0 END AS new FROM pl WINDOW w AS (PARTITION BY page_id, line_no ORDER BY i)),
+ pq AS (SELECT *, sum(new) OVER (PARTITION BY page_id, line_no ORDER BY i) AS g FROM pg),
+ pp AS (SELECT page_id, line_no, min(spot) AS start, string_agg(s, '' ORDER BY i) AS text, CASE WHEN mixed THEN any_value(lang) END AS tag, mixed FROM pq
+   GROUP BY page_id, line_no, g, mixed HAVING regexp_matches(string_agg(s, '' ORDER BY i), '[^{D.S}]')),
+ lo AS (SELECT page_id, nullif(regexp_extract({MARKED}, '<html[^>]*\\slang="([^"]*)"', 1), '') AS locale FROM pages)"""
+
+
+def marked_pieces(spark, sf_dir):
+    """(page_id, locale, mixed, line_no, start, tag, text): lines of pages, those of mixed ones cut where the declared language changes."""
+    path = scratch(spark, "pages")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr(MARKED).alias("html"))
+    scan = pages.select("page_id", F.expr(PAGE_MIXED).alias("mixed"), markup.scanned(F.col("html")).alias("s"))
+    scan.select("page_id", "mixed", "s.*").write.parquet(path)
+    scan = spark.read.parquet(path)
+    lines = scan.select("page_id", "mixed", "locale", F.inline("lines"))
+    kept = ["page_id", "line_no", "start"]
+    whole = lines.where(~F.col("mixed") & ~X.is_blank(F.col("text"))).select(*kept, F.lit(None).cast("string").alias("tag"), "text")
+    cut = markup.pieces(lines.where("mixed"), scan.where("mixed").select("page_id", F.inline("ranges")), ["page_id"])
+    return whole.union(cut.select(*kept, F.col("lang").alias("tag"), "text")).join(scan.select("page_id", "mixed", "locale"), "page_id")
 
 
 @query(
     "resolve_language",
-    f"""WITH p AS (SELECT page_id, {PAGE_TEXT} AS text, {PAGE_MODE} AS mode, nullif({PAGE_LANG}, '') AS tag FROM pages),
-        pp AS (SELECT * FROM p WHERE regexp_matches(text, '[^{D.S}]')), {detected('pp', 'page_id', '')}
-        SELECT page_id, mode, CASE mode WHEN 'off' THEN NULL WHEN 'always' THEN lang WHEN 'markup_text' THEN coalesce(hint, lang)
-          ELSE coalesce(hint, script_lang, 'en') END AS lang
-        FROM (SELECT page_id, mode, script_lang, lang, CASE WHEN tag IN ('en', 'de', 'ru') THEN tag END AS hint FROM pp JOIN de USING (page_id))""",
+    f"""WITH {PAGE_PIECES}, {detected('pp', 'page_id, line_no, start', '')},
+        h AS (SELECT *, {PAGE_MODE} AS mode, {CODE.format("CASE WHEN mixed THEN tag END")} AS range_lang, {CODE.format("locale")} AS locale_lang
+              FROM pp JOIN de USING (page_id, line_no, start) JOIN lo USING (page_id)),
+        r AS (SELECT *, CASE mode WHEN 'off' THEN NULL WHEN 'always' THEN lang WHEN 'markup_text' THEN coalesce(range_lang, locale_lang, lang)
+          ELSE coalesce(range_lang, locale_lang, script_lang, 'en') END AS resolved FROM h),
+        v AS (SELECT *, CASE WHEN resolved IN ('en', 'de', 'ru') THEN resolved END AS voice FROM r),
+        u AS (SELECT *, CASE WHEN NOT mixed AND voice IS NOT NULL THEN voice WHEN mode = 'markup_only' THEN coalesce(voice, script_lang, 'en') ELSE lang END AS found FROM v)
+        SELECT page_id, line_no, start, mode, mixed, CASE WHEN mode = 'off' THEN 'off' WHEN mode <> 'always' AND range_lang IS NOT NULL THEN 'range'
+            WHEN mode <> 'always' AND locale_lang IS NOT NULL THEN 'locale' WHEN mode = 'markup_only' AND script_lang IS NULL THEN 'default' ELSE 'detection' END AS won,
+          resolved, voice, CASE WHEN mode <> 'off' THEN coalesce(CASE WHEN found IN ('en', 'de', 'ru') THEN found END, voice) END AS utterance FROM u""",
 )
 def resolve_language(spark, sf_dir):
-    """Language of pages: the page's tag is the object's locale; no range markup."""
-    text = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[\x{9}-\x{d} ]+", " ")
-    tag = F.nullif(F.regexp_extract("html", '<html[^>]*lang="([^"]*)"', 1), F.lit(""))
-    pages = table(spark, sf_dir, "pages").select("page_id", text.alias("text"), F.expr(PAGE_MODE).alias("mode"), tag.alias("tag"))
-    found = detect.detect(pages, model_of(spark, sf_dir), ["page_id"], ENABLED)
-    lang = detect.resolve(
-        F.col("mode"), F.lit(False), F.lit(None).cast("string"), F.col("tag"), F.col("script_lang"), F.col("lang"), F.lit("en"), F.array(*[F.lit(v) for v in VOICED])
-    )
-    return pages.drop("text").join(found, "page_id").select("page_id", "mode", lang.alias("lang"))
+    """Languages of lines of pages and of the utterances made of them: markup of ranges, locale of the page, detection, default."""
+    rows = marked_pieces(spark, sf_dir).withColumn("mode", F.expr(PAGE_MODE))
+    key = ["page_id", "line_no", "start", "mode", "mixed", "tag", "locale"]
+    found = detect.detect(rows, model_of(spark, sf_dir), key, ENABLED)
+    mode, mixed, script, default = F.col("mode"), F.col("mixed"), F.col("script_lang"), F.lit("en")
+    voiced = F.array(*[F.lit(v) for v in VOICED])
+    resolved = detect.resolve(mode, mixed, F.col("tag"), F.col("locale"), script, F.col("lang"), default)
+    won = (
+        F.when(mode == "off", "off").when((mode != "always") & mixed & X.lang_code(F.col("tag")).isNotNull(), "range")
+        .when((mode != "always") & X.lang_code(F.col("locale")).isNotNull(), "locale").when((mode == "markup_only") & script.isNull(), "default").otherwise("detection")
+    )
+    found = found.withColumn("won", won).withColumn("resolved", resolved)
+    found = found.withColumn("voice", F.when(F.array_contains(voiced, F.col("resolved")), F.col("resolved")))
+    utterance = detect.resolve_utterance(mode, mixed, F.col("voice"), script, F.col("lang"), default, voiced)
+    return found.select("page_id", "line_no", "start", "mode", "mixed", "won", "resolved", "voice", utterance.alias("utterance"))
 
 
 #: Turns of conversations, some with words of other languages and short ones, so that the state machine has work.
