@@ -1,8 +1,9 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Two codebooks, one for each half of the vectors, form a grid of cells (Babenko and Lempitsky 2012). Every vector lies in
-one cell; as a query it visits the cells nearest to it in multi-sequence order, as many as a calibration against brute
-force asks for, and what it meets there is verified by its cosine. Cells are worked on in blocks of bounded size, so a
+one cell; as a query it visits the cells nearest to it in multi-sequence order, as many as a calibration asks for, and what it
+meets there is verified by its cosine. The calibration compares a bounded set of queries with all vectors once; where these have
+few links, it moves the queries themselves away by the threshold's angle and asks how far down the cell of the moved vector is. Cells are worked on in blocks of bounded size, so a
 cell that holds a large part of all vectors becomes many tasks; only link counts and a spanning forest leave a block.
 """
 
@@ -25,10 +26,11 @@ CELL_ROWS, MAX_CODEWORDS = 48, 1024
 FIT_ROWS, CALIBRATION_ROWS, ROUNDS, SEED = 20_000, 400, 8, 7
 #: Components of all vectors of such a sample together: bounds what reaches the driver whatever the dimension.
 SAMPLE_COMPONENTS = 16_000_000
-#: Queries with links that a calibration needs, if the table has so many; queries compared at once in it.
-ENOUGH_LINKED, QUERIES_AT_ONCE = 100, 512
-#: Share of links that the calibrated traversal must meet, and cells that it visits at least.
-TARGET_RECALL, LEAST_VISITS = 0.998, 4
+#: Queries with links that make a calibration by links; queries compared at once in it; ids of queries are divisible by EVERY.
+ENOUGH_LINKED, QUERIES_AT_ONCE, EVERY = 100, 512, 20
+#: Share of links that the calibrated traversal must meet, of vectors moved by the full angle too (links are nearer), and
+#: cells that it visits at least.
+TARGET_RECALL, TARGET_MOVED, LEAST_VISITS = 0.998, 0.99, 4
 #: Vectors of each side of a block; cell numbers of a dimension.
 BLOCK, CELLS = 4096, MAX_CODEWORDS**2
 
@@ -107,47 +109,50 @@ class Grid:
         return out
 
 
-def fit(vectors: DataFrame, total: int, dimension: int) -> Grid | None:
-    """Codebooks from a sample of at most about FIT_ROWS of the ``total`` rows (rep, w, e)."""
+def fit(vectors: DataFrame, total: int, dimension: int) -> Grid:
+    """Codebooks from a sample of at most about FIT_ROWS of the ``total`` rows (least, rep, w, e)."""
     rows = min(FIT_ROWS, SAMPLE_COMPONENTS // dimension)
-    part = F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, rows / max(1, total))))
+    part = F.pmod(F.xxhash64("least"), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, rows / max(1, total))))
     drawn = vectors.where(part).select("e").collect()
-    if not drawn:
-        return None
+    drawn = drawn or vectors.select("e").limit(1).collect()
     x = normalised([r.e for r in drawn])
     k = max(2, min(MAX_CODEWORDS, round((total / CELL_ROWS) ** 0.5)))
     half = max(1, x.shape[1] // 2)
     return Grid(k_means(x[:, :half], k), k_means(x[:, half:], k) if x.shape[1] > 1 else np.zeros((k, 0)))
 
 
-def depth(vectors: DataFrame, grid: Grid, total: int, threshold: float, most: int = FIT_ROWS) -> int:
-    """Cells to visit for TARGET_RECALL: of sampled queries, compared with all vectors, how far down a query's traversal
-    is the cell of a link, or the query's cell down the link's. Each query counts alike, however many links it has.
-    Further queries are drawn until ENOUGH_LINKED have links or all vectors were queries."""
-    tables, lower, rows, linked = [], 0, min(CALIBRATION_ROWS, most), 0
-    while lower < 1 << 20 and linked < ENOUGH_LINKED:
-        upper = min(1 << 20, lower + max(1, int((1 << 20) * min(1.0, rows / max(1, total)))))
-        table = link_ranks(vectors, grid, threshold, lower, upper)
-        if len(table):
-            tables.append(table.assign(q=table.q + (len(tables) << 40)))
-            linked += table.q.nunique()
-        lower, rows = upper, min(2 * rows, most)
-    if not tables:
-        return LEAST_VISITS  # no vector has a link
-    table = pd.concat(tables)
-    table["share"] = table.n / table.groupby("q").n.transform("sum") / table.q.nunique()
+def depth(vectors: DataFrame, grid: Grid, total: int, threshold: float, most: int = CALIBRATION_ROWS) -> int:
+    """Cells to visit for TARGET_RECALL: of at most about ``most`` queries (ids divisible by EVERY, thinned by hash), compared with
+    all vectors in one pass, how far down a query's traversal is the cell of a link, or the query's cell down the link's. Each
+    query counts alike, however many links it has. With fewer than ENOUGH_LINKED linked queries also TARGET_MOVED of the
+    queries' images at the threshold's angle must be met, so a table with few links needs no more than that one pass."""
+    place, share = F.pmod(F.xxhash64("least", F.lit(1)), F.lit(1 << 20)), max(1, int((1 << 20) * min(1.0, EVERY * most / max(1, total))))
+    drawn = vectors.where((F.pmod("least", F.lit(EVERY)) == 0) & (place < share)).select("rep", "e").limit(2 * most).collect()
+    if not drawn:
+        drawn = vectors.select("rep", "e").limit(1).collect()
+    queries, names = normalised([r.e for r in drawn]), np.array([r.rep for r in drawn])
+    table = link_ranks(vectors, grid, threshold, queries, names)
+    table["share"] = table.n / table.groupby("q").n.transform("sum") / max(1, table.q.nunique())
     reached = table.groupby("rank").share.sum().sort_index().cumsum()
-    return max(LEAST_VISITS, int(reached[reached >= TARGET_RECALL - 1e-9].index[0]) + 1)
+    cells = [LEAST_VISITS, *(reached[reached >= TARGET_RECALL - 1e-9].index[:1] + 1)]
+    if table.q.nunique() < ENOUGH_LINKED:
+        queries = np.tile(queries, (max(1, most // len(queries)), 1))  # few queries are moved several ways
+        moved = turned(queries, threshold)
+        ranks = np.minimum(grid.ranks(queries, grid.visits(moved, 1)[:, 0]), grid.ranks(moved, grid.visits(queries, 1)[:, 0]))
+        cells.append(np.quantile(ranks, TARGET_MOVED, method="higher") + 1)
+    return int(max(cells))
 
 
-def link_ranks(vectors: DataFrame, grid: Grid, threshold: float, lower: int, upper: int) -> pd.DataFrame:
-    """(q, rank, n) of the links of the queries whose hash is from ``lower`` to less than ``upper`` of 2^20."""
-    place = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20))
-    drawn = vectors.where((place >= lower) & (place < upper)).select("rep", "e").collect()
-    if not drawn:
-        return pd.DataFrame({"q": [], "rank": [], "n": []})
-    queries = normalised([r.e for r in drawn])
-    names = np.array([r.rep for r in drawn])
+def turned(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Rows of length 1, each moved in a random direction until its cosine with itself as it was is ``cosine``."""
+    u = np.random.default_rng(SEED).normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    size = np.sqrt((u * u).sum(1, keepdims=True))
+    return cosine * x + (1 - cosine * cosine) ** 0.5 * np.divide(u, size, out=np.zeros_like(u), where=size > 0)
+
+
+def link_ranks(vectors: DataFrame, grid: Grid, threshold: float, queries: np.ndarray, names: np.ndarray) -> pd.DataFrame:
+    """(q, rank, n) of the links of queries among all vectors."""
     at = grid.visits(queries, 1)[:, 0]
 
     def pairs(x, rep):
@@ -251,10 +256,11 @@ def placer(grid: Grid, count: int, offset: int):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row: links are pairs of other rows with cosine >= ``threshold``.
 
-    Null, zero and non-finite vectors, and vectors with null components, have no links and stay. Finite components may be
-    of any magnitude. Vectors of equal components are compared once, for all their rows. Vectors of each dimension have an index of their own; those of a
-    dimension with at most BLOCK different ones are all compared. Ids are meant to be unique; rows of equal id are one node. Extra
-    columns are ignored; an empty table gives no rows. Links found are exact; some may be missed (see TARGET_RECALL).
+    Null, zero and non-finite vectors, vectors with null components, and rows without an id have no links and stay. Finite
+    components may be of any magnitude. Vectors of equal components are compared once, for all their rows. Vectors of each
+    dimension have an index of their own, however few they are; those of a dimension that a single one has are linked with nothing.
+    Rows of equal id are one node of the links, whatever their vectors; ``n_links`` counts rows. Extra columns are ignored; an empty
+    table gives no rows. Links found are exact; some may be missed (see TARGET_RECALL).
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("e"))
     good = rows.where(usable(F.col("e")) & F.col("id").isNotNull())
@@ -263,21 +269,22 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
 
 
 def _links(tables: Workspace, rows: DataFrame, good: DataFrame, threshold: float, id_col: str) -> DataFrame:
-    classes = tables.written(good.groupBy("e").agg(F.min("id").alias("rep"), F.count("*").alias("w")), "vectors")
+    # a class is a vector with the rows that have it: rep is its number, least its smallest id, w its rows
+    classes = good.groupBy("e").agg(F.min("id").alias("least"), F.count("*").alias("w")).withColumn("rep", F.monotonically_increasing_id())
+    classes = tables.written(classes, "vectors")
     sizes = {r.d: r.n for r in classes.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row a dimension
-    single = F.col("id")
     if not sizes:
-        return rows.select(single.alias(id_col), F.lit(0).cast("long").alias("n_links"), single.alias("component_id"), F.lit(True).alias("kept"))
+        return _without(rows, id_col)
     kind = classes.schema["e"].dataType.simpleString()
-    large = sorted(d for d, n in sizes.items() if n > BLOCK)
-    # cells of a dimension are numbered from dimension * CELLS; small dimensions are one cell each
-    home = F.size("e").cast("long") * CELLS
-    cells = [classes.where(~F.size("e").isin(large)).select("rep", "w", "e", home.alias("home"), F.array(home).alias("visits"))]
-    for d in large:
+    cells = []
+    # cells of a dimension are numbered from dimension * CELLS
+    for d in sorted(d for d, n in sizes.items() if n > 1):
         main = classes.where(F.size("e") == d)
         grid = fit(main, sizes[d], d)
-        place = placer(grid, depth(main, grid, sizes[d], threshold, max(1, min(FIT_ROWS, SAMPLE_COMPONENTS // d))), d * CELLS)
+        place = placer(grid, depth(main, grid, sizes[d], threshold, max(1, min(CALIBRATION_ROWS, SAMPLE_COMPONENTS // d))), d * CELLS)
         cells.append(main.select("rep", "w", "e").mapInArrow(place, f"rep long, w long, e {kind}, home long, visits array<long>"))
+    alone = F.size("e").cast("long") * CELLS
+    cells.append(classes.where(F.size("e").isin([d for d, n in sizes.items() if n == 1])).select("rep", "w", "e", alone.alias("home"), F.array(alone).alias("visits")))
     placed = tables.written(reduce(DataFrame.union, cells), "vector-cells")
     # blocks of a cell: chunks of the vectors at home there times chunks of the vectors that visit it
     at_home = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("h_chunks"))
@@ -291,10 +298,22 @@ def _links(tables: Workspace, rows: DataFrame, good: DataFrame, threshold: float
     columns = ["cell", "h", "v", "side", "rep", "w", "home", "visits", "e"]
     blocks = home_side.select(columns).union(visit_side.select(columns)).groupBy("cell", "h", "v")
     found = tables.written(blocks.applyInPandas(block_links(threshold), "rep long, links long, root long"), "vector-links")
-    parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    members = tables.written(good.join(classes.select("e", "rep"), "e").select("id", "rep"), "members")
+    # classes that an id has rows of are one node
+    shared = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("id", "a")
+    tied = members.join(shared, "id").select("a", F.col("rep").alias("b"))
+    parts = tables.written(components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(tied)), "parts")
+    least = classes.select("rep", "least").join(parts.withColumnRenamed("id", "rep"), "rep").groupBy("component").agg(F.min("least").alias("node"))
+    named = parts.join(least, "component").select(F.col("id").alias("rep"), "node")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(counted, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("e", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    listed = good.join(known, "e").select("id", "n_links", "component_id")
-    rest = rows.where(~(usable(F.col("e")) & F.col("id").isNotNull())).select("id", F.lit(0).cast("long").alias("n_links"), single.alias("component_id"))
-    return listed.union(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    known = classes.join(counted, "rep", "left").join(named, "rep", "left")
+    known = known.select("rep", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("node", "least").alias("component_id"))
+    listed = members.join(known, "rep").select("id", "n_links", "component_id")
+    listed = listed.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return listed.union(_without(rows, id_col))
+
+
+def _without(rows: DataFrame, id_col: str) -> DataFrame:
+    """The result of rows that can't be compared."""
+    rest = rows.where(~(usable(F.col("e")) & F.col("id").isNotNull()))
+    return rest.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))

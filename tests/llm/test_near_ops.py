@@ -123,19 +123,24 @@ def test_multi_index_depth(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1000, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "rep long, e array<double>")
+    df = spark.createDataFrame([(i, i, list(map(float, v))) for i, v in enumerate(x)], "rep long, least long, e array<double>")
     grid = multi_index.Grid(multi_index.k_means(x[:, :6], 8), multi_index.k_means(x[:, 6:], 8))
     homes = grid.visits(x, 1)[:, 0]
 
-    def met(threshold):
-        seen = grid.visits(x, multi_index.depth(df, grid, 1000, threshold))
+    def met(threshold, most=400):
+        seen = grid.visits(x, multi_index.depth(df, grid, 1000, threshold, most))
         pairs = [(i, j) for i, j in zip(*np.nonzero(x @ x.T >= threshold), strict=True) if i > j]
         return np.mean([homes[i] in seen[j] or homes[j] in seen[i] for i, j in pairs])
 
-    assert met(0.0) >= 0.99
-    monkeypatch.setattr(multi_index, "CALIBRATION_ROWS", 2)
+    assert met(0.0) >= 0.98
     monkeypatch.setattr(multi_index, "LEAST_VISITS", 1)
-    assert met(0.86) == 1.0
+    # few queries have a link: they are moved by the threshold's angle
+    assert met(0.86, 25) >= 0.9 and met(0.86) >= 0.95
+    # a table without links: one pass of the queries, and a depth for what a link would need
+    asked = []
+    ranks = multi_index.link_ranks
+    monkeypatch.setattr(multi_index, "link_ranks", lambda *a: asked.append(len(a[3])) or ranks(*a))
+    assert 1 < multi_index.depth(df, grid, 1000, 0.97) < 64 and asked == [50]
     every = grid.visits(x[:50], 64)
     for cell in (0, 9, 63):
         assert (every[np.arange(50), grid.ranks(x[:50], np.full(50, cell))] == cell).all()
@@ -143,7 +148,7 @@ def test_multi_index_depth(spark, monkeypatch):
 
 @pytest.mark.parametrize("block", [4096, 60])
 def test_multi_index_dimensions(spark, monkeypatch, block):
-    """Near links in every dimension, by all pairs and by an index for each."""
+    """Near links in every dimension, each by an index of its own, however few its vectors."""
     rng = np.random.default_rng(6)
     tables = [rng.normal(size=(n, d)) for n, d in ((200, 16), (150, 10), (20, 3))]
     for x in tables:
@@ -158,10 +163,36 @@ def test_multi_index_dimensions(spark, monkeypatch, block):
         y = x / np.linalg.norm(x, axis=1, keepdims=True)
         want = (y @ y.T >= 0.95).sum(1) - 1
         found = np.array([got[first + i] for i in range(len(x))])
-        assert (found <= want).all() and found.sum() >= (1.0 if len(x) <= block else 0.98) * want.sum() and want.sum() >= len(x)
+        assert (found <= want).all() and found.sum() >= 0.98 * want.sum() and want.sum() >= len(x)
         first += len(x)
 
 
+def test_multi_index_repeated_ids(spark):
+    """Rows of an id are one node, whatever their vectors; null ids are linked with nothing."""
+    a, c, d = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 1.0, 0.05, 0.0]
+    rows = [(1, a), (2, a), (2, c), (3, d), (None, d), (9, [0.0, 0.0, 1.0, 0.0]), (9, [0.0, 0.0, 1.0, 0.0]), (7, [1.0]), (8, [1.0, 2.0, 3.0])]
+    got = sorted(map(str, map(tuple, multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())))
+    want = [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False), (None, 0, None, True), (9, 1, 9, True), (9, 1, 9, True), (7, 0, 7, True), (8, 0, 8, True)]
+    assert got == sorted(map(str, want))
+
+
+def test_multi_index_of_a_small_table(spark, monkeypatch):
+    """Below 4,096 vectors as above: through cells, of which a vector visits few."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    x[1500:] = x[:1500] + rng.normal(scale=0.04, size=(1500, 24))
+    visited = []
+    monkeypatch.setattr(multi_index, "placer", lambda grid, count, offset, make=multi_index.placer: visited.append((grid.k**2, count)) or make(grid, count, offset))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in multi_index.near_duplicates(df, 0.95).collect()}
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.95).sum(1) - 1
+    found = np.array([got[i] for i in range(3000)])
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum() > 2000
+    (cells, count), = visited
+    assert count < cells / 3
+
+
 def test_language(spark):
     rng = random.Random(1)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "ei"], "cc": ["eux", "ion", "le"]}
