@@ -1,11 +1,14 @@
 """Personal data: patterns, and information-theoretic sanitisation of the texts. DataFrame operations only.
 
-Protected entities are the values that the patterns find (emails, ip addresses, cards, phones). A term discloses an
+Protected entities are what the patterns find (emails, ip addresses, cards, phones): the values, their parts that many values
+share (domain and name of an email, first digits of a number, network of an address), and their kinds. A term discloses an
 entity as far as corpus co-occurrence says so: disclosure = PMI(term, entity) / IC(entity), with document frequencies of
 whole texts over the whole corpus (after Sanchez and Batet, C-sanitized, 2016). It is 1 for a term that occurs only with
 the entity and about 0 for one that occurs everywhere. A term of at least THRESHOLD is a span of kind term wherever it
 occurs, in any document, unless chance alone explains it (CHANCE): so entities of few documents count too, as far as the
 corpus has few terms as rare as theirs. Copies of a text are one piece of evidence.
+
+Texts are cut into words once; what later steps read is a table of entities and distinct words.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ PATTERNS = {
 #: What a text with a valid match must hold; keeps the patterns off most texts.
 HINTS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}"}
 #: Least share of an entity's information that a term discloses: with it, a term of an entity of one in a million
-#: documents must meet it in a quarter of its own. Pairs of as frequent terms and entities, in the whole corpus, that would
-#: meet as often by chance: so many are expected at most.
+#: documents must meet it in a quarter of its own. Of an entity, terms as frequent as one that would meet it as often by
+#: chance: so many are expected at most.
 THRESHOLD, CHANCE = 0.9, 0.05
+#: First digits of a card or phone number that are an entity of their own.
+PREFIX = 6
 #: Disclosing terms that are broadcast at most; a shuffle join beyond.
 BROADCAST_TERMS = 100_000
 
@@ -142,28 +147,41 @@ def places(text: Column, terms: Column) -> Column:
     return F.when(terms.isNotNull(), found).otherwise(F.array().cast(PLACE))
 
 
-def disclosing_terms(tables: Workspace, rows: DataFrame) -> DataFrame:
-    """(term) of all terms that disclose an entity, from rows (h, t, base).
+def entities_of(base: Column) -> Column:
+    """Distinct entities of base spans: values in lower case, their shared parts, and their kinds."""
+    name = lambda what, value: F.concat_ws(":", F.lit(what), value)
+    of = lambda k, parts: F.flatten(F.transform(F.filter(base, lambda x: x["k"] == KINDS.index(k)), lambda x: parts(F.lower(x["value"]))))
+    digits = lambda v: F.substring(F.regexp_replace(v, "[^0-9]", ""), 1, PREFIX)
+    emails = of("email", lambda v: F.array(name("email", v), name("name", F.substring_index(v, "@", 1)), name("domain", F.substring_index(v, "@", -1)), F.lit("email")))
+    ips = of("ip", lambda v: F.array(name("ip", v), name("network", F.substring_index(v, ".", 2)), F.lit("ip")))
+    cards, phones = (of(k, lambda v, k=k: F.array(name(k, v), name(f"{k} prefix", digits(v)), F.lit(k))) for k in ("card", "phone"))
+    return F.when(F.size(base) > 0, F.array_distinct(F.concat(emails, ips, cards, phones))).otherwise(F.array().cast("array<string>"))
+
+
+def level(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double") + 1e-9)).cast("int")
+
+
+def disclosing_terms(tables: Workspace, words: DataFrame) -> DataFrame:
+    """(term) of all terms that disclose an entity, from rows (h, entities, terms).
 
     Frequencies are of rows, over whole texts: n_t rows hold the term, n_e the entity, n_te both. For evidence against
     chance equal texts count once: ``texts`` is the number of different texts that hold both. A term of more than
-    n_e ** THRESHOLD * n ** (1 - THRESHOLD) rows can't reach THRESHOLD, so it need not be paired with the entity."""
-    words = rows.select(F.explode(terms_of(outside(F.col("t")))).alias("term"))
-    frequencies = tables.written(words.where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t")), "frequencies")
-    values = F.array_distinct(F.transform("base", lambda x: F.concat_ws(":", x["k"], F.lower(x["value"]))))
-    bearing = rows.where(F.size("base") > 0).select("h", values.alias("entities"), terms_of(outside(F.col("t"))).alias("terms"))
-    bearing = bearing.groupBy("h").agg(F.count("*").alias("w"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    most = n_e ** THRESHOLD * n ** (1 - THRESHOLD) rows can't reach THRESHOLD, so it isn't paired with the entity: both sides meet by
+    text and power of two of n_t, so a text of many entities and words makes no more pairs than about twice those that can."""
+    frequencies = words.select(F.explode("terms").alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_t"))
+    frequencies = tables.written(frequencies, "frequencies")
+    bearing = words.where(F.size("entities") > 0).groupBy("h").agg(F.count("*").alias("w"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     bearing = tables.written(bearing, "classes")
-    n = float(max(1, rows.count()))
+    n = float(max(1, words.count()))
     held = bearing.select("h", "w", F.explode("entities").alias("entity"))
     entities = held.groupBy("entity").agg(F.sum("w").alias("n_e")).where(F.col("n_e") < n)
-    peers = entities.groupBy("n_e").agg(F.count("*").alias("peers"))
-    entities = entities.join(peers, "n_e")
     entities = tables.written(entities.withColumn("most", F.pow("n_e", F.lit(THRESHOLD)) * n ** (1 - THRESHOLD) * (1 + 1e-9)), "entities")
     most = entities.agg(F.max("most")).first()[0] or 0.0
-    met = bearing.select("h", F.explode("terms").alias("term")).join(frequencies.where(F.col("n_t") <= most), "term")
-    pairs = held.join(entities, "entity").join(met, "h").where(F.col("n_t") <= F.col("most"))
-    pairs = pairs.groupBy("entity", "term", "n_e", "n_t", "peers").agg(F.sum("w").alias("n_te"), F.count("*").alias("texts"))
+    met = bearing.select("h", F.explode("terms").alias("term")).join(frequencies.where(F.col("n_t") <= most), "term").withColumn("level", level(F.col("n_t")))
+    asked = held.join(entities, "entity").withColumn("level", F.explode(F.sequence(F.lit(0), level(F.col("most")))))
+    pairs = asked.join(met, ["h", "level"]).where(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.sum("w").alias("n_te"), F.count("*").alias("texts"))
     alike = frequencies.where(F.col("n_t") <= most).groupBy("n_t").agg(F.count("*").alias("alike"))
     share = F.col("n_e") / n
     gain = F.log2(F.col("n_te") / F.col("n_t") / share) / F.log2(1 / share)
@@ -172,7 +190,7 @@ def disclosing_terms(tables: Workspace, rows: DataFrame) -> DataFrame:
     every = F.col("texts") + apart
     without = F.when(apart > 0, apart * F.log(apart / every / (1 - share))).otherwise(0.0)
     chance = F.when(F.col("texts") / every > share, F.exp(-(F.col("texts") * F.log(F.col("texts") / every / share) + without))).otherwise(1.0)
-    found = pairs.where(gain >= THRESHOLD).join(alike, "n_t").where(F.col("alike") * F.col("peers") * chance <= CHANCE)
+    found = pairs.where(gain >= THRESHOLD).join(alike, "n_t").where(F.col("alike") * chance <= CHANCE)
     return tables.written(found.select("term").distinct(), "terms")
 
 
@@ -183,11 +201,12 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     may have any names. Statistics are of all rows. Terms lie outside the emails of a text. The terms of texts that have
     some are a table of the shared folder; what led to it is deleted."""
     t = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(F.xxhash64(t).alias("h"), t.alias("t")).withColumn("base", base_spans(F.col("t")))
     with Workspace(docs.sparkSession, "private") as tables:
-        disclosing = disclosing_terms(tables, rows)
+        read = docs.select(F.xxhash64(t).alias("h"), entities_of(base_spans(t)).alias("entities"), terms_of(outside(t)).alias("terms"))
+        words = tables.written(read, "words")
+        disclosing = disclosing_terms(tables, words)
         count = disclosing.count()
-        every = rows.select("h", F.explode(terms_of(outside(F.col("t")))).alias("term"))
+        every = words.select("h", F.explode("terms").alias("term"))
         hits = every.join(F.broadcast(disclosing) if count <= BROADCAST_TERMS else disclosing, "term")
         marks = tables.kept(hits.groupBy("h").agg(F.collect_set("term").alias("__said")).withColumnRenamed("h", "__h"), "private-marks")
     few = (marks.agg(F.sum(F.size("__said"))).first()[0] or 0) <= BROADCAST_TERMS

@@ -115,6 +115,7 @@ def brute_terms(texts):
     for t in texts:
         words = set(re.findall(r"[^\W\d_]+", re.sub(r"[a-z]+@[a-z]+\.org", " ", t or "").lower()))
         found = set(re.findall(r"[a-z]+@[a-z]+\.org", t or ""))
+        found = {p for e in found for p in (e, f"{e.split('@')[0]}@", f"@{e.split('@')[1]}", "email")}
         held.append((t or "", words, found))
         for e in found:
             entities.setdefault(e, 0)
@@ -136,11 +137,33 @@ def brute_terms(texts):
                 continue
             rest = (every - k) * math.log((every - k) / every / (1 - share)) if every > k else 0.0
             chance = math.exp(-(k * math.log(k / every / share) + rest))
-            if sum(c == count for c in n_t.values()) * sum(c == n_e for c in entities.values()) * chance <= pii.CHANCE:
+            if sum(c == count for c in n_t.values()) * chance <= pii.CHANCE:
                 out.add(w)
     return out
 
 
+def test_entities(spark):
+    """Values, their shared parts and their kinds; none of a text without personal data."""
+    texts = ["Ann@x.org, 10.1.2.3 and +49 30 1234567", "4111 1111 1111 1111", "none", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [sorted(r.e) for r in df.select(pii.entities_of(pii.base_spans(F.col("text"))).alias("e")).collect()]
+    first = ["domain:x.org", "email", "email:ann@x.org", "ip", "ip:10.1.2.3", "name:ann", "network:10.1", "phone", "phone prefix:493012", "phone:+49 30 1234567"]
+    assert got == [first, ["card", "card prefix:411111", "card:4111 1111 1111 1111"], [], []]
+
+
+def test_terms_of_rare_entities(spark):
+    """A name of the two texts of an entity discloses it in a small corpus too, where its pair is one of many."""
+    rng = random.Random(2)
+    texts = [" ".join("w" + "".join(rng.choice("abcdefghij") for _ in range(3)) for _ in range(6)) for _ in range(1500)]
+    for i in range(0, 1500, 100):
+        texts[i] += f" p{'abcdefghijklmno'[i // 100]}@mail.org"
+    texts[100] += " zuname"
+    texts[700] += " zuname pb@mail.org"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    assert all("term" in spans[i] for i in (100, 700)) and sum("term" in s for s in spans.values()) < 20
+
+
 def test_terms_against_brute_force(spark):
     rng = random.Random(12)
     word = lambda: "w" + "".join(rng.choice("abcdef") for _ in range(2))
