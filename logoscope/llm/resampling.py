@@ -1,9 +1,8 @@
 """Importance resampling of documents towards a target: hashed n-gram counts of both sides, a weight for each document,
 and a draw without replacement by Gumbel noise (Xie et al., Data Selection for Language Models via Importance Resampling, 2023).
 
-Texts are scanned once. Separators are collapsed to single spaces; one regular expression, with overlapping matches and
-a look around at their ends, finds at each word the spans of the n-grams that begin there, and the bytes of a span are hashed as
-they stand. What is written of a document are its bucket numbers, two bytes a feature, so counting and weighing don't scan
+Texts are read once. Separators are collapsed to single spaces; a regular expression for each number of words, with overlapping
+matches and a look around at the words' ends, finds the spans of the n-grams, whose bytes are hashed as they stand. What is written of a document are its bucket numbers, two bytes a feature, so counting and weighing don't scan
 again. Tasks count buckets before the shuffle, which therefore holds at most a row a bucket and task; texts are never shuffled.
 """
 
@@ -11,7 +10,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +20,8 @@ from logoscope.llm.shared import Workspace, partitions
 
 #: Buckets of features, words of the longest one, words of a document that can be drawn, and share that is drawn.
 BUCKETS, ORDERS, LEAST_WORDS, PERCENT = 10_000, 3, 20, 5
+#: Bytes of a text from which on its matches aren't listed.
+LONG_TEXT = 1 << 24
 #: Gains and noise are whole thousandths.
 SCALE = 1000
 #: Bytes as they count: capitals of ASCII lowered, letters, digits and bytes beyond ASCII kept, the rest a space.
@@ -29,26 +29,18 @@ WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _ROW_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
-def scanner(orders: int):
-    """Matches the space before a word and the 1 to ``orders`` words after it; group i holds all but the last i."""
+def scanners(orders: int) -> list:
+    """For each number of words a pattern that matches the space before a word and looks ahead at the run that begins there."""
     import regex
 
-    body = rb"(?=[^ ])[^ ]++"
-    for n in range(1, orders):
-        body = rb"(" + body + rb")(?: [^ ]++)?"
-    return regex.compile(rb" " + body + rb"(?![^ ])")
+    return [regex.compile(rb" (?=([^ ]++" + rb" [^ ]++" * n + rb")(?![^ ]))") for n in range(orders)]
 
 
-def features(text: bytes, scan) -> Iterator[int]:
-    """The crc32 of every run of words of a normalised text (a single space before each word)."""
-    crc = zlib.crc32
-    for match in scan.finditer(text, overlapped=True):
-        spans = match.regs
-        start, last = spans[0][0] + 1, 0
-        for _, end in reversed(spans):
-            if end > last:
-                yield crc(text[start:end])
-                last = end
+def features(text: bytes, scans: list) -> np.ndarray:
+    """The crc32 of every run of words of a normalised text (a single space before each word). A long text's matches come one by
+    one, so that no list of them is held."""
+    every = (lambda s: s.findall(text, overlapped=True)) if len(text) < LONG_TEXT else (lambda s: (m[1] for m in s.finditer(text, overlapped=True)))
+    return np.concatenate([np.fromiter(map(zlib.crc32, every(s)), np.uint32) for s in scans])
 
 
 def normalised(text: bytes) -> bytes:
@@ -60,12 +52,12 @@ def bucketed(texts: DataFrame, text_col: str, orders: int, buckets: int, kept: l
     kind = _kind(buckets)
 
     def run(batches):
-        scan = scanner(orders)
+        scans = scanners(orders)
         for b in batches:
             n_words, n_features, held = [], [], []
             for text in b.column(0).cast(pa.large_binary()):
                 flat = normalised(text.as_py() or b"")
-                found = np.sort((np.fromiter(features(flat, scan), np.uint32) % buckets).astype(kind))
+                found = np.sort((features(flat, scans) % buckets).astype(kind))
                 n_words.append(flat.count(b" "))
                 n_features.append(len(found))
                 held.append(found.tobytes())
