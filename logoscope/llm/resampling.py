@@ -2,8 +2,9 @@
 and a draw without replacement by Gumbel noise (Xie et al., Data Selection for Language Models via Importance Resampling, 2023).
 
 Texts are read once. Separators are collapsed to single spaces; a regular expression for each number of words, with overlapping
-matches and a look around at the words' ends, finds the spans of the n-grams, whose bytes are hashed as they stand. What is written of a document are its bucket numbers, two bytes a feature, so counting and weighing don't scan
-again. Tasks count buckets before the shuffle, which therefore holds at most a row a bucket and task; texts are never shuffled.
+matches and a look around at the words' ends, finds the spans of the n-grams, whose bytes are hashed as they stand. What is
+written of a document are its bucket numbers, two bytes a feature, so counting and weighing don't scan again. Tasks count
+buckets before the shuffle, which therefore holds at most a row a bucket and task; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def features(text: bytes, scans: list) -> np.ndarray:
 
 
 def normalised(text: bytes) -> bytes:
-    return b"".join(b" " + w for w in text.translate(WORDS).split(b" ") if w)
+    return b" ".join([b"", *text.translate(WORDS).split()])
 
 
 def bucketed(texts: DataFrame, text_col: str, orders: int, buckets: int, kept: list[Column]) -> DataFrame:
