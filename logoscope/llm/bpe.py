@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 
 from logoscope.llm.pieces import pieces
 
-#: Matches remembered by a worker, in each of two generations: bounds its memory whatever the corpus.
-REMEMBERED = 250_000
+#: Matches remembered by a worker, in each of two generations, and characters of one that is: both bound its memory whatever the
+#: corpus, to some 200 bytes a match of common words and at most about 1 KB.
+REMEMBERED, KEPT_CHARS = 120_000, 64
 
 
 class Remembered(dict):
@@ -36,10 +37,17 @@ class Remembered(dict):
         found = self.old.get(piece)
         if found is None:
             found = self.compute(piece)
-        self.rotate()
-        self[piece] = found
+        if len(piece) <= KEPT_CHARS:
+            self.rotate()
+            self[piece] = found
         return found
 
+    def forget_long(self, added) -> None:
+        """Of pieces added for a batch those that are too long to stay."""
+        for piece in added:
+            if len(piece) > KEPT_CHARS:
+                self.pop(piece, None)
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -207,8 +215,11 @@ class Codec:
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         cut = [pieces(t) for t in texts]
         self.cache.rotate()
-        self.learn(set().union(*cut) - self.cache.keys())
-        return [list(chain.from_iterable(map(self.cache.__getitem__, x))) for x in cut]
+        new = set().union(*cut) - self.cache.keys()
+        self.learn(new)
+        found = [list(chain.from_iterable(map(self.cache.__getitem__, x))) for x in cut]
+        self.cache.forget_long(new)
+        return found
 
     def in_turn(self, texts, chars: int = 1 << 21):
         """Ids of each text, encoded in batches of about so many characters, which bounds memory."""

@@ -18,8 +18,6 @@ from logoscope.llm.bpe import Remembered
 from logoscope.llm.pieces import PATTERN, pieces
 from logoscope.llm.shared import new_path, partitions
 
-#: Pieces remembered a worker, in each of two generations.
-REMEMBERED = 500_000
 #: A file is closed after the document that takes it to this size.
 FILE_BYTES = 128 << 20
 #: Entries of a batch that a reader hands to Spark.
@@ -45,7 +43,7 @@ class Encoder:
         whole = self.library.encode(sample, add_special_tokens=False).ids
         parts = [e.ids for e in self.library.encode_batch(pieces(sample), add_special_tokens=False)]
         self.by_piece = "ByteLevel" in repr(self.library.pre_tokenizer) and whole == list(chain.from_iterable(parts))
-        self.cache = Remembered(None, REMEMBERED)
+        self.cache = Remembered(None)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,7 +63,9 @@ class Encoder:
         known.update((p, old[p]) for p in new if p in old)
         ask = [p for p in new if p not in old]
         known.update(zip(ask, self._library(ask), strict=True))
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+        found = [b"".join(map(known.__getitem__, x)) for x in cut]
+        known.forget_long(new)
+        return found
 
 
 def encoder(path: str) -> Encoder:

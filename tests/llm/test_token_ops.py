@@ -134,3 +134,20 @@ def test_table_format():
     assert [i for i, _ in table] == [None, *rows]
     assert all(len(table.get(i)) == i % 40 for i in rows[::7]) and table.get(501) is None and len(table.get(None)) == 0
     assert len(table.last_keys) > 1
+
+
+def test_caches_are_bounded(monkeypatch):
+    """Pieces of any length are encoded, but only short ones stay, in two generations of a bounded number."""
+    import public_tokenizers
+
+    from logoscope.llm import bpe, token_shards
+
+    texts = [" ".join(f"w{i}x{j}" for i in range(300)) + "y" * 500 for j in range(6)]
+    coders = [token_shards.Encoder(public_tokenizers.path("byte_bpe_50k.json")), bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))]
+    for coder in coders:
+        want = [coder.encode_many([t])[0] for t in texts]
+        coder.cache.limit = 50
+        for _ in range(2):
+            assert [coder.encode_many([t])[0] for t in texts] == want
+        assert max(map(len, coder.cache.keys() | coder.cache.old.keys())) <= bpe.KEPT_CHARS
+        assert len(coder.cache) + len(coder.cache.old) < 3000
