@@ -17,11 +17,13 @@ def char_classes() -> np.ndarray:
         import regex
 
         table = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-            for m in regex.finditer(pattern, every):
-                a, b = ord(every[m.start()]), ord(every[m.end() - 1])
-                table[a : b + 1] = kind
+        kinds = [(k, regex.compile(p)) for k, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+"))]
+        for start in range(0, len(table), 0x800):  # some at a time: all at once would leave each worker 100 MB larger
+            if not 0xD800 <= start < 0xE000:
+                some = "".join(map(chr, range(start, start + 0x800)))
+                for kind, pattern in kinds:
+                    for m in pattern.finditer(some):
+                        table[start + m.start() : start + m.end()] = kind
         table[0xD800:0xE000] = OTHER
         _classes = table
     return _classes

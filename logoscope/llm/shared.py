@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Removes the shuffle files of a query when it has ended: what it wrote is all that is read later.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows and bytes of a batch for Python: batches of ten thousand long texts would be held several times over in each worker.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Where none is set a folder of this session, on one machine only: elsewhere
@@ -31,13 +34,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def tidy_shuffles(spark: SparkSession):
-    """Queries that end inside leave no shuffle files."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    """Queries that end inside leave no shuffle files, and hand texts to Python a little at a time."""
+    wanted = {CLEANUP: "true"} | SMALL_BATCHES
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
