@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logoscope.llm.components import components
-from logoscope.llm.shared import Workspace, partitions
+from logoscope.llm.shared import Workspace, partitions, remembered
 from logoscope.llm.signature_tree import forest, mixed, shingles, word_hashes
 
 #: Sets and members of a chunk, pivots of a large group, members of a task that holds many small groups.
@@ -109,6 +109,7 @@ def sketched(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     of these, the first ones, the sample of any linked set would hold if that set has them."""
 
     def run(batches):
+        remembered("shingles")
         for b in batches:
             n, h, samples, tested = [], [], [], []
             for t in b.column(1):
@@ -155,6 +156,7 @@ def top_nodes(texts: DataFrame, k: int, num: int, den: int, seed: int = 0) -> Da
     """(top, node): the top nodes that sets are in, from rows (h, text, cc); those of different cc are apart."""
 
     def run(batches):
+        remembered("shingles")
         starts = np.array(ranges(num, den))
         tops, nodes, held = [], [], 0
 
@@ -189,6 +191,7 @@ def linked(k: int, num: int, den: int):
     """Of the groups in one task: (a, b), a set and the set that stands for its component, where these differ."""
 
     def run(key, pdf):
+        remembered("shingles")
         out = []
         for _, part in pdf.groupby("cc", sort=False):
             sets = [set_of(t, k) for t in part["text"]]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logoscope.llm.shared import Workspace, written
+from logoscope.llm.shared import Workspace, remembered, written
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digit", "symbol", "punctuation", "white",
@@ -67,6 +67,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        remembered("statistics")
         for b in batches:
             x = [statistics(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])

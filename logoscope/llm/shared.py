@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -95,5 +97,20 @@ class Workspace:
         return written(df, name)
 
 
+_remembered: dict[str, dict] = {}
+
+
+def remembered(kind: str) -> dict:
+    """What tasks of one kind keep for each other in this Python worker. Workers outlive jobs, so what another kind of work
+    has kept is dropped first and its memory goes back to the system: only one kind's tables are held at a time."""
+    if _remembered and kind not in _remembered:
+        _remembered.clear()
+        gc.collect()
+        system = ctypes.CDLL(None)
+        if hasattr(system, "malloc_trim"):
+            system.malloc_trim(0)
+    return _remembered.setdefault(kind, {})
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,6 +19,8 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Children of a node, bits for each member of the largest set.
 FAN_OUT, BITS_PER_MEMBER = 8, 8
+#: Bytes of bitmaps, and members of sets, that one step of a comparison holds, however large the sets are.
+STEP_BYTES, STEP_MEMBERS = 1 << 22, 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -82,7 +84,7 @@ class Tree:
     def __init__(self, sets: list[np.ndarray]):
         size = np.array([len(s) for s in sets])
         bits = 1 << max(6, int(BITS_PER_MEMBER * size.max() - 1).bit_length())
-        step = max(1, (1 << 26) // bits)
+        step = max(1, STEP_BYTES // bits)
         maps = np.concatenate([_bitmaps(sets[i : i + step], bits) for i in range(0, len(sets), step)])
         hidden = size - np.bitwise_count(maps).sum(1).astype(np.int64)
         self.levels = [(maps, size, size, hidden)]
@@ -98,8 +100,9 @@ class Tree:
         maps, low, high, hidden = self.levels[level]
         near = (high[a] * den >= num * low[b]) & (high[b] * den >= num * low[a])
         i = np.flatnonzero(near)
-        for start in range(0, len(i), 4096):
-            part = i[start : start + 4096]
+        step = max(1, STEP_BYTES // (8 * maps.shape[1]))
+        for start in range(0, len(i), step):
+            part = i[start : start + step]
             x, y = a[part], b[part]
             most = np.bitwise_count(maps[x] & maps[y]).sum(1).astype(np.int64) + np.minimum(hidden[x], hidden[y])
             near[part] = most >= required(low[x], low[y], num, den)
@@ -154,8 +157,9 @@ def forest(sets: list[np.ndarray], num: int, den: int, labels: np.ndarray | None
         near = near[near < m]
         near = near[waiting[near] & (part[near] != part[pivot])]
         near = near[tree.possible(0, np.full(len(near), pivot), near, num, den)]
-        for start in range(0, len(near), 256):
-            some = near[start : start + 256]
+        step = min(256, max(1, STEP_MEMBERS // int(size[pivot])))  # what the tree leaves is about as large as the pivot
+        for start in range(0, len(near), step):
+            some = near[start : start + step]
             some = some[part[some] != part[pivot]]
             if not len(some):
                 continue

@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from logoscope.llm import sstable
 from logoscope.llm.bpe import Remembered
 from logoscope.llm.pieces import PATTERN, pieces
-from logoscope.llm.shared import new_path, partitions
+from logoscope.llm.shared import new_path, partitions, remembered
 
 #: A file is closed after the document that takes it to this size.
 FILE_BYTES = 128 << 20
 #: Entries of a batch that a reader hands to Spark.
 BATCH_ROWS = 10_000
-_encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -69,9 +68,10 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    held = remembered("tokenizer")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _in_turn(coder: Encoder, batches, chars: int = 1 << 21):
