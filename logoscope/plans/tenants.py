@@ -156,6 +156,20 @@ def load_settings_lenient(spark, sf_dir):
     return S.load_lenient(rows(spark, sf_dir, FILES))
 
 
+BROKEN = f"""SELECT tenant, CASE WHEN recovered = '' THEN 'lost' ELSE 'salvaged' END AS state,
+ greatest(strpos(body, 'oops'), strpos(body, 'hopeless'), strpos(body, '"x"')) - 1 AS error_at, recovered, body
+ FROM (SELECT tenant, body, concat_ws(',', CASE WHEN contains(body, '{PROFILE_PART.format()}') THEN 'profiles' END, CASE WHEN contains(body, '{GENERAL_PART.format()}') THEN 'general' END) AS recovered
+   FROM {duck(FILES)} WHERE NOT json_valid(body))"""
+
+
+@query("settings_quarantine", BROKEN)
+def settings_quarantine(spark, sf_dir):
+    """Broken bodies of a table by state: where they are broken, and what was saved."""
+    path = scratch(spark, "settings-by-state")
+    S.store_by_state(rows(spark, sf_dir, FILES), path)
+    return S.quarantine(spark, path)
+
+
 @query(
     "auto_configure",
     f"""SELECT o.tenant, o.lang, o.voice_name, o.voice_dialect, CAST(o.rate AS DOUBLE) AS rate, b.gain, coalesce(o.tab, '') AS contraction_table,
@@ -258,10 +272,11 @@ CHANGES = """SELECT s_suppkey AS tenant, v.ch, v.brief, v.said AS verb, v.remove
         UNION ALL SELECT tenant, ch, brief, verb FROM {duck(CHANGES, 'supplier')} WHERE NOT remove""",
 )
 def save_custom_names(spark, sf_dir):
-    """Names after changes, written and read again."""
+    """A table of names after changes were merged into it."""
     path = scratch(spark, "names")
-    S.put_names(custom(spark, sf_dir), rows(spark, sf_dir, CHANGES, "supplier").withColumnRenamed("verb", "verbose")).write.parquet(path)
-    return named(spark.read.parquet(path))
+    S.create_names(custom(spark, sf_dir), path)
+    S.merge_names(spark, path, rows(spark, sf_dir, CHANGES, "supplier").withColumnRenamed("verb", "verbose"))
+    return named(S.stored_names(spark, path))
 
 
 @query("custom_name_lookup", f"SELECT tenant, ch, coalesce(nullif(brief_name, ''), nullif(verbose_name, '')) AS brief_name, nullif(verbose_name, '') AS verbose_name FROM {CUSTOM}")

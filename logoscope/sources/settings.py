@@ -6,7 +6,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logoscope.operators.detect import MODES
@@ -18,6 +18,8 @@ DEFAULTS = {
     "switch_confidence": 0.92, "speak_emoticons": True, "enable_mixed_language": False, "language_switch_pause": 0.3,
     "mixed_max_words": 600, "detection_mode": "markup_text",
 }
+#: Sections of a settings file.
+SECTIONS = ("profiles", "general")
 SCHEMA = """enabled boolean, word_threshold int, enabled_languages array<string>, default_language string, speak_emojis boolean,
  speak_unicode boolean, unicode_verbosity string, switch_confidence double, speak_emoticons boolean, enable_mixed_language boolean,
  language_switch_pause double, mixed_max_words int, detection_mode string, ignored_apps array<string>,
@@ -61,35 +63,85 @@ def migrate_profile_map(rows: DataFrame, mapped: DataFrame) -> DataFrame:
     )
 
 
-def salvage(text: str, sections: tuple[str, ...] = ("profiles", "general")) -> str | None:
-    """What can be read of a broken body: its first object of each section's name, if that is sound."""
+def _salvaged(text: str) -> dict:
     decoder, found = json.JSONDecoder(), {}
-    for name in sections:
+    for name in SECTIONS:
         at = re.search(rf'"{re.escape(name)}"\s*:\s*(?=\{{)', text)
         if at:
             try:
                 found[name] = decoder.raw_decode(text, at.end())[0]
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
-    return json.dumps(found, ensure_ascii=False, separators=(",", ":")) if found else None
+    return found
 
 
-def load_lenient(rows: DataFrame) -> DataFrame:
-    """(tenant, profiles, general, state): the two sections of bodies (tenant, body) as JSON, whole or salvaged; state is
-    strict, salvaged or lost. Only broken bodies leave the JVM."""
+def _json(value) -> str | None:
+    """JSON of a section; a plain string as it is, nothing for null. Half surrogates become question marks."""
+    said = value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return said if said is None else said.encode("utf-8", "replace").decode()
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def sections(text: str) -> tuple[str, int | None, str | None, str | None]:
+    """(state, place of the error in code points, profiles, general) of one body. A broken body gives its first object of
+    each section's name that is sound."""
+    try:
+        whole, state, at = json.loads(text, parse_constant=_no_constant), "strict", None
+    except (ValueError, RecursionError) as error:
+        whole, at = _salvaged(text), getattr(error, "pos", None)
+        state = "salvaged" if whole else "lost"
+    profiles, general = (_json(whole.get(n)) if isinstance(whole, dict) else None for n in SECTIONS)
+    return state, at, profiles, general
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """(tenant, state, error_at, profiles, general, body): the sections of bodies (tenant, body) as JSON, whole or salvaged,
+    in one scan that parses each body once. ``state`` is strict, salvaged or lost; the body is kept of broken ones only.
+    Null bodies give no row, empty ones are lost, repeated tenants a row each; other columns are ignored."""
     kind = rows.schema["tenant"].dataType.simpleString()
-    sound = F.try_parse_json("body").isNotNull()
 
-    def repair(batches):
+    def read(batches):
         for b in batches:
-            fixed = [salvage(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fixed, pa.string())], ["tenant", "body"])
+            texts = b.column(1).to_pylist()
+            found = [sections(t) for t in texts]
+            state, at, profiles, general = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [])
+            body = [None if f == "strict" else t for f, t in zip(state, texts, strict=True)]
+            columns = [pa.array(state, pa.string()), pa.array(at, pa.int64()), *(pa.array(x, pa.string()) for x in (profiles, general, body))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["tenant", "state", "error_at", "profiles", "general", "body"])
+
+    known = rows.where(F.col("body").isNotNull()).select("tenant", "body")
+    return known.mapInArrow(read, f"tenant {kind}, state string, error_at long, profiles string, general string, body string")
+
+
+def load_lenient(rows: DataFrame) -> DataFrame:
+    """(tenant, profiles, general, state) of bodies (tenant, body), see ``tagged``."""
+    return tagged(rows).select("tenant", "profiles", "general", "state")
+
+
+def store_by_state(rows: DataFrame, path: str) -> None:
+    """Writes ``tagged`` bodies as a table with a folder for each state. A second run replaces the first."""
+    tagged(rows).write.mode("overwrite").partitionBy("state").parquet(path)
+
+
+def usable(spark: SparkSession, path: str) -> DataFrame:
+    """(tenant, profiles, general, state) of a table by state: what could be read, without the folder of lost bodies."""
+    return _by_state(spark, path).where(F.col("state").isin("strict", "salvaged")).select("tenant", "profiles", "general", "state")
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """(tenant, state, error_at, recovered, body) of the broken bodies of a table by state: where each is broken, and which
+    sections were saved. Folders of sound bodies aren't read."""
+    saved = [F.when(F.col(n).isNotNull(), F.lit(n)) for n in SECTIONS]
+    broken = _by_state(spark, path).where(F.col("state").isin("salvaged", "lost"))
+    return broken.select("tenant", "state", "error_at", F.concat_ws(",", *saved).alias("recovered"), "body")
 
-    good = rows.where(sound).select("tenant", "body", F.lit("strict").alias("state"))
-    broken = rows.where(~sound & F.col("body").isNotNull()).select("tenant", "body").mapInArrow(repair, f"tenant {kind}, body string")
-    broken = broken.withColumn("state", F.when(F.col("body").isNull(), "lost").otherwise("salvaged"))
-    section = lambda s: F.get_json_object("body", f"$.{s}").alias(s)
-    return good.union(broken).select("tenant", section("profiles"), section("general"), "state")
+
+def _by_state(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``, also where it has no row and so no file that names its columns."""
+    return spark.read.schema("tenant bigint, error_at bigint, profiles string, general string, body string, state string").parquet(path)
 
 
 def baseline(rows: DataFrame) -> DataFrame:
@@ -119,6 +171,62 @@ def put_names(names: DataFrame, changes: DataFrame) -> DataFrame:
     return rest.unionByName(changes.where("not remove").select("tenant", "ch", "brief", "verbose"))
 
 
+#: Buckets of a table of names: a change rewrites those of the tenants that it names.
+BUCKETS = 64
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("tenant"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _write_names(names: DataFrame, path: str, mode: str) -> None:
+    dealt = names.repartition("bucket").sortWithinPartitions("bucket", "tenant", "ch")
+    dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def create_names(names: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Writes names (tenant, ch, brief, verbose) as a table in ``buckets`` folders by tenant. Names without a tenant or a
+    character are left out. Each bucket has a row without a tenant, so that it stays when its last name goes."""
+    own = names.where("tenant is not null and ch is not null").select("tenant", "ch", "brief", "verbose", _bucket(buckets))
+    _write_names(own.unionByName(_marks(names.sparkSession.range(buckets), "id"), allowMissingColumns=True), path, "overwrite")
+
+
+def _marks(numbers: DataFrame, column: str) -> DataFrame:
+    return numbers.select(F.col(column).cast("int").alias("bucket"))
+
+
+def stored_names(spark: SparkSession, path: str) -> DataFrame:
+    """(tenant, ch, brief, verbose) of a table of names."""
+    return spark.read.parquet(path).where("tenant is not null").select("tenant", "ch", "brief", "verbose")
+
+
+def merge_names(spark: SparkSession, path: str, changes: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """Sets or removes names of a table of ``buckets``, by ``changes`` (tenant, ch, brief, verbose, remove), and returns the
+    buckets that it rewrote. Only buckets with a name that changes are rewritten; others keep their files. So a second run
+    of the same changes rewrites nothing.
+
+    Changes without a tenant or a character do nothing. Of several changes of one name one that sets it wins, the one of
+    the largest verbose and then brief form. One job may write a table at a time. Files are replaced bucket by bucket when all are
+    written; a driver lost in the midst of that leaves some buckets old, and the same changes run again complete it, but the
+    bucket that was being replaced has to be taken from a copy."""
+    known = changes.where("tenant is not null and ch is not null")
+    best = F.max(F.struct((~F.col("remove")).alias("set"), "verbose", "brief"))
+    one = known.groupBy("tenant", "ch").agg(best.alias("c"))
+    one = one.select("tenant", "ch", "c.brief", "c.verbose", (~F.col("c.set")).alias("remove"), _bucket(buckets))
+    held = spark.read.parquet(path)
+    now = held.select("tenant", "ch", F.col("brief").alias("b"), F.col("verbose").alias("v"), F.lit(True).alias("there"))
+    same = F.col("b").eqNullSafe(F.col("brief")) & F.col("v").eqNullSafe(F.col("verbose"))
+    moves = F.when(F.col("remove"), F.col("there").isNotNull()).otherwise(F.col("there").isNull() | ~same)
+    touched = one.join(now, ["tenant", "ch"], "left").where(moves).select("bucket").distinct()
+    numbers = sorted(r.bucket for r in touched.collect())  # at most a row a bucket
+    if numbers:
+        part = held.where(F.col("bucket").isin(numbers) & F.col("tenant").isNotNull()).drop("bucket")
+        after = put_names(part, one.where(F.col("bucket").isin(numbers)))
+        marks = _marks(spark.createDataFrame([(n,) for n in numbers], "n int"), "n")
+        _write_names(after.withColumn("bucket", _bucket(buckets)).unionByName(marks, allowMissingColumns=True), path, "overwrite")
+    return numbers
+
+
 def custom_name(brief, verbose, verbosity: str) -> F.Column:
     """The name in a form, else the verbose one, else null."""
     asked = brief if verbosity == "brief" else verbose
