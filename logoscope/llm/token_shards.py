@@ -74,7 +74,7 @@ def encoder(path: str) -> Encoder:
     return held[path]
 
 
-def _in_turn(coder: Encoder, batches, chars: int = 1 << 21):
+def _in_turn(coder: Encoder, batches, chars: int = 1 << 19):
     ids, texts, held = [], [], 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
