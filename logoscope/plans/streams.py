@@ -11,7 +11,7 @@ from logoscope.plans.registry import query, table
 from logoscope.plans.texts import docs2
 from logoscope.sources import utterances as U
 from logoscope.sources.scratch import scratch
-from logoscope.streaming.sessions import session_stream
+from logoscope.streaming.sessions import replayed, session_stream
 
 
 def to_end(stream, name):
@@ -40,7 +40,8 @@ def spoken_stream(spark, sf_dir):
     path = scratch(spark, "detections")
     found = turn_detections(spark, sf_dir)
     found.write.parquet(path)
-    return to_end(session_stream(spark.readStream.schema(found.schema).parquet(path), voiced=VOICED), "sessions")
+    stream = replayed(spark.read.schema(found.schema).parquet(path), scratch(spark, "detections-in-slices"))
+    return to_end(session_stream(stream, voiced=VOICED), "sessions")
 
 
 @query("session_language_stream", SESSIONS + " SELECT conv_id AS session, turn AS seq, spoken FROM f WHERE rn > 0")

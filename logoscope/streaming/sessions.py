@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from logoscope.operators.session import SENTINELS, SURE, THRESHOLD, Session
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a slice of replayed detections, and files that a slice and a micro-batch have at most.
+SLICE_ROWS, SLICE_FILES = 5_000_000, 8
+
 
 class SessionProcessor(StatefulProcessor):
     def __init__(self, default: str, threshold: int, sure: float, voiced: list[str] | None):
@@ -53,3 +57,20 @@ def session_stream(detections: DataFrame, default: str = "en", threshold: int =
         outputMode="Append",
         timeMode="None",
     )
+
+
+def replayed(detections: DataFrame, path: str, slice_rows: int = SLICE_ROWS, files: int = SLICE_FILES) -> DataFrame:
+    """A stream of the rows of a table of detections, in micro-batches of bounded size, for ``session_stream``.
+
+    They are written under ``path`` in slices of about ``slice_rows`` rows by seq, at least two, one after the other, as a
+    stream takes files by their time; a session has one file in a slice. So a session comes in the order of its seq, and
+    no micro-batch holds much more of it than a slice, whatever its length. Rows of one seq are in one slice; rows without
+    a seq come first."""
+    slices = max(2, -(-detections.count() // slice_rows))
+    cuts = sorted(set(detections.stat.approxQuantile("seq", [i / slices for i in range(1, slices)], 0.1 / slices)))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        rows = detections if low is None else detections.where(F.col("seq") > low)
+        if high is not None:
+            rows = rows.where(F.coalesce(F.col("seq") <= high, F.lit(True)) if low is None else F.col("seq") <= high)
+        rows.repartition(files, "session").write.mode("append").parquet(path)
+    return detections.sparkSession.readStream.schema(detections.schema).option("maxFilesPerTrigger", files).parquet(path)

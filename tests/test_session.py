@@ -1,13 +1,14 @@
 """The state machine: the worked example, batch against stream, and settings salvage."""
 
 import random
+import time
 
 import pytest
 
 from logoscope.operators import ngram, segments
 from logoscope.operators.session import Session, session_language
 from logoscope.sources import settings, utterances
-from logoscope.streaming.sessions import session_stream
+from logoscope.streaming.sessions import replayed, session_stream
 
 COLUMNS = "session long, seq long, script_lang string, lang string, conf double, words int, hint string"
 
@@ -90,6 +91,22 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(r.session, r.seq): r.spoken for r in session_language(rows).collect()}
 
 
+def test_stream_stopped_and_started_again(spark, tmp_path):
+    detections(spark, 12).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    total, out, checkpoint = rows.count(), str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    stream = session_stream(replayed(rows, str(tmp_path / "in"), slice_rows=-(-total // 6), files=2))
+    first = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+    until = time.time() + 60
+    while not first.recentProgress and time.time() < until:
+        time.sleep(0.05)
+    first.stop()
+    assert 0 < spark.read.schema(stream.schema).parquet(out).count() < total  # in mid-stream
+    done = utterances.run_to_end(stream, out, checkpoint).collect()
+    assert len(done) == total
+    assert {(r.session, r.seq): r.spoken for r in done} == {(r.session, r.seq): r.spoken for r in session_language(rows).collect()}
+
+
 def test_salvage(spark):
     bodies = ['{"profiles": {"a": {"b": "}"}}, "general": {"x": 1}}', '{"general": {"x": 1} oops "profiles": {"q": 2}}', '{"profiles": {bad}, }', "nothing", None]
     rows = spark.createDataFrame(list(enumerate(bodies)), "tenant int, body string")
