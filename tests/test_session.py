@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from logoscope.operators import ngram, segments
 from logoscope.operators.session import Session, session_language
@@ -81,6 +82,47 @@ def test_batch_equals_steps(spark, threshold):
         assert got[r.session, r.seq] == state.step(r.script_lang, r.lang, r.conf, r.words, r.hint)
 
 
+def giant(n, sessions, seed, quiet):
+    """Rows of few sessions; ``quiet`` of ten rows have no signal, so states before a range stay open for long."""
+    rng = random.Random(seed)
+    rows = []
+    for q in range(n):
+        if rng.randrange(10) < quiet:
+            row = (None, None, None, rng.choice([None, 1]), None)
+        else:
+            lang = rng.choice(["en", "de", "fr", "it", None])
+            row = (rng.choice([None] * 30 + ["ru", "ipa"]), lang, rng.random() * 0.95, rng.randint(0, 3), rng.choice([None] * 60 + ["de", "es"]))
+        rows.append((None if rng.randrange(9) == 0 and sessions > 1 else rng.randrange(sessions), q, *row))
+    return rows
+
+
+@pytest.mark.parametrize("threshold, sessions, quiet, more", [
+    (2, 1, 5, {}), (3, 1, 9, {}), (1, 1, 5, {}), (4, 2, 3, {}), (2, 40, 5, {}), (2, 1, 5, {"statistical": False}),
+    (2, 1, 5, {"fallback": False}), (2, 2, 5, {"statistical": False, "fallback": False}),
+])
+def test_giant_session_in_ranges(spark, threshold, sessions, quiet, more):
+    given = giant(600, sessions, threshold, quiet)
+    found = session_language(spark.createDataFrame(given, COLUMNS), "en", threshold, ranges=16, **more)
+    state, of, expected = None, "", {}
+    for s, q, *row in sorted(given, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        if s != of:
+            of, state = s, Session("en", threshold, 0.92, "en", [], more.get("statistical", True), more.get("fallback", True))
+        expected[s, q] = state.step(*row)
+    rows = found.collect()
+    assert len(rows) == 600 and {(r.session, r.seq): r.spoken for r in rows} == expected
+
+
+def test_giant_session_is_spread_and_odd_rows(spark):
+    rows = spark.createDataFrame(giant(400, 1, 3, 5), COLUMNS)
+    tasks = session_language(rows, ranges=8).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 400
+    ends = session_language(rows, ranges=8).inputFiles()
+    assert len(ends) >= 8  # a file a range
+    assert session_language(rows.where("false")).collect() == []
+    twice = spark.createDataFrame([(1, 1, None, "de", 0.99, 5, None)] * 3 + [(1, None, None, "fr", 0.1, 1, None)], COLUMNS)
+    assert [r.spoken for r in session_language(twice.selectExpr("*", "1 AS part", "2 AS era")).orderBy("seq").collect()] == ["en", "de", "de", "de"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = detections(spark, 12)
     for part, where in enumerate(("seq < 5", "seq between 5 and 8", "seq > 8")):
