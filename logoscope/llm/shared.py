@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Removes the shuffle files of a query when it has ended: what it wrote is all that is read later.
@@ -16,6 +17,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows and bytes of a batch for Python: batches of ten thousand long texts would be held several times over in each worker.
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: Bytes of a row group: what a writing task holds in the executor's heap.
+ROW_GROUP = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,7 +55,7 @@ def save(df: DataFrame, path: str) -> DataFrame:
     """``df`` written to ``path`` and read again: lost executors then cost no recomputation."""
     spark = df.sparkSession
     with tidy_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,6 +109,7 @@ def remembered(kind: str) -> dict:
     if _remembered and kind not in _remembered:
         _remembered.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         system = ctypes.CDLL(None)
         if hasattr(system, "malloc_trim"):
             system.malloc_trim(0)
