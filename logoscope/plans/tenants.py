@@ -14,6 +14,7 @@ from logoscope.plans import duck as D
 from logoscope.plans.registry import query, table
 from logoscope.sources import settings as S
 from logoscope.sources.scratch import scratch
+from logoscope.streaming.voices import publish, voiced_stream
 
 VOICES = """SELECT c_custkey AS tenant, v.ord, v.voice_name, v.lang_tag, v.variant FROM {customer} CROSS JOIN (SELECT * FROM (VALUES
  (0, 'daniel', 'en-GB', 'm'), (1, 'amy', 'en_US', 'f'), (2, 'viktor', 'de-DE', 'm'), (3, 'petra', 'DE', 'f'), (4, 'yuri', 'ru', 'm'),
@@ -117,6 +118,40 @@ def assign_voice(spark, sf_dir):
     return V.assign(docs, c["settings"], c["enabled"]).select("doc_id", "lang", "voice_name", "rate", "gain")
 
 
+#: Settings of a second version, of two customers in three: rates rise, and those of even number lose German.
+CHANGED = f"SELECT tenant, lang, voice_name, voice_dialect, rate + 10.0E0 AS rate, average_pitch, gain FROM ({SETTINGS}) WHERE tenant % 3 > 0 AND NOT (tenant % 2 = 0 AND lang = 'de')"
+FROM_HALF = "(SELECT max(doc_id) // 2 FROM documents)"
+
+
+@query(
+    "assign_voice_stream",
+    f"""WITH d AS (SELECT doc_id, tenant, lang, doc_id >= {FROM_HALF} AND tenant % 3 > 0 AS late FROM {duck(DOC_TENANT, 'documents')}),
+        s AS (SELECT false AS late, * FROM (SELECT tenant, lang, voice_name, rate, gain FROM {duck(SETTINGS)})
+          UNION ALL SELECT true, * FROM (SELECT tenant, lang, voice_name, rate, gain FROM {duck(CHANGED)}))
+        SELECT doc_id, d.lang, coalesce(voice_name, 'caller') AS voice_name, rate, gain
+        FROM d LEFT JOIN (SELECT * FROM s WHERE voice_name <> '') s ON s.tenant = d.tenant AND s.lang = d.lang AND s.late = d.late""",
+)
+def assign_voice_stream(spark, sf_dir):
+    """Voices of a running stream, whose settings change after half of it."""
+    docs = rows(spark, sf_dir, DOC_TENANT, "documents")
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    folder = scratch(spark, "voices")
+    source, settings, out = (f"{folder}/{x}" for x in ("rows", "settings", "voiced"))
+    publish(rows(spark, sf_dir, SETTINGS), 0, settings)
+    halves = docs.where(F.col("doc_id") < top // 2), docs.where(F.col("doc_id") >= top // 2)
+    halves[0].write.parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 64).parquet(source)
+    running = voiced_stream(stream, settings, "doc_id", out, f"{folder}/checkpoint")
+    try:
+        running.processAllAvailable()
+        publish(rows(spark, sf_dir, CHANGED), top // 2, settings)
+        halves[1].write.mode("append").parquet(source)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.parquet(out).select("doc_id", "lang", "voice_name", "rate", "gain")
+
+
 OVERLAY = f"""(WITH f AS (SELECT * FROM {FIRST}), p AS (SELECT *, lower(voice_name) NOT IN ('default default voice', '') AS named FROM {duck(PROFILES)} WHERE lang <> ''),
  q AS (SELECT p.*, f.lang IS NOT NULL AS known, EXISTS (SELECT 1 FROM {BASED} b WHERE b.tenant = p.tenant AND b.lang = p.lang AND b.voice_name = p.voice_name) AS has,
    min(CASE WHEN named THEN p.ord END) OVER (PARTITION BY p.tenant, p.lang) AS start FROM p LEFT JOIN f USING (tenant, lang)),
