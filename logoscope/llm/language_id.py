@@ -17,6 +17,9 @@ ORDERS = {1: 256, 2: 4096, 3: 8192}
 WIDTH = sum(ORDERS.values())
 #: Labelled rows of one language in the fit at most (a bounded sample by hash of the id), landmarks of one language.
 SAMPLE_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 800, 32
+#: Rows and landmarks of all languages together, which bounds the driver's memory: with more than eight languages each has
+#: fewer rows. Languages that are learned at most: those of most rows.
+SAMPLE_ROWS, LANDMARKS, LANGUAGES = 6_400, 1_024, 400
 RIDGE, SHARPNESS, BATCH = 1e-3, 6.0, 256
 UNKNOWN = "und"
 _KEEP = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -49,10 +52,14 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sample(rows: DataFrame) -> DataFrame:
-    """(lang, bits): presence of the n-grams of about SAMPLE_PER_LANGUAGE rows (id, text, lang) of each language."""
+    """(lang, bits): presence of the n-grams of about SAMPLE_PER_LANGUAGE rows (id, text, lang) of each language, and of about
+    SAMPLE_ROWS of all."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * F.lit(SAMPLE_PER_LANGUAGE) / F.col("n")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    known = [(r.lang, r.n) for r in counts.collect()]
+    counts = rows.sparkSession.createDataFrame(known, "lang string, n long")
+    share = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(known)))
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < (1 << 20) * F.lit(share) / F.col("n")
 
     def pack(batches):
         for b in batches:
@@ -78,7 +85,7 @@ def train(rows: DataFrame) -> dict | None:
     x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in drawn]), axis=1)[:, :WIDTH].astype(np.float32)
     y = np.array([names.index(lang) for lang, _ in drawn])
     rng = np.random.default_rng(4)
-    picked = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:LANDMARKS_PER_LANGUAGE] for k in range(len(names))])
+    picked = np.concatenate([rng.permutation(np.flatnonzero(y == k))[: min(LANDMARKS_PER_LANGUAGE, LANDMARKS // len(names))] for k in range(len(names))])
     marks = x[picked]
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-8))

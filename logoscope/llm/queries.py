@@ -64,8 +64,8 @@ def op5_segment_tree_bpe(spark, sf_dir):
 
 
 def id_remainder(n):
-    """crc32 of the identifier as text, modulo ``n``."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+    """crc32 of the identifier as text, modulo ``n``; of a null one that of empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 @query("op4_string_kernel_language")

@@ -209,6 +209,15 @@ def test_language(spark):
     assert language_id.identify(df.limit(0), df).count() == 0
 
 
+def test_language_sample_is_bounded_over_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 20)
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 60)
+    texts = [(None if i % 3 else i, f"{chr(97 + k)}{chr(98 + k)} words {i}", f"l{k:02d}") for k in range(24) for i in range(k + 10)]
+    drawn = language_id.sample(spark.createDataFrame(texts, "id long, text string, lang string")).collect()
+    assert len(drawn) < 150 and {r.lang for r in drawn} <= {f"l{k:02d}" for k in range(4, 24)}
+    assert len(drawn) > 10  # rows without an id are drawn one by one, not all or none
+
+
 def test_quality(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
