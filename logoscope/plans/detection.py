@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from logoscope.functions import tables as T
@@ -113,7 +115,16 @@ MARKED = """replace(replace(replace(replace(html, '</h1>', ' <span lang="de-DE">
   '<p>The ', '<p lang="fr">The '), '<p>Of ', '<p lang="">Of '), CASE page_id % 5 WHEN 0 THEN '<html lang=' ELSE '' END, CASE page_id % 5 WHEN 0 THEN '<html data-lang=' ELSE '' END)"""
 BLOCK = rf"^</?({'|'.join(markup.BLOCKS)})[\s/>]"
 CODE = "nullif(lower(regexp_extract(trim({}), '^[^-_.@]*')), '')"
-UNESCAPED = """replace(replace(replace(replace(replace(w, chr(10), ' '), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')"""
+#: HTML's character references: a name is the longest of its table that begins here, with or without a semicolon as the table has it.
+NAMED_REFERENCES = ", ".join(f"({D.quoted('&' + k)}, {D.quoted(v)})" for k, v in sorted(html5.items()))
+REFERENCE = "&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&(?:" + "|".join(sorted(html5, key=lambda x: (-len(x), x))) + ")|&|[^&]+"
+#: Code points that HTML reads as others, and those that it drops: controls and noncharacters.
+MOVED_POINTS = {0x00: 0xFFFD, 0x0D: 0x0D} | {p: ord(bytes([p]).decode("cp1252", "ignore") or chr(p)) for p in range(0x80, 0xA0)}
+DROPPED = "n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534"
+POINT = f"""CASE n {" ".join(f"WHEN {a} THEN chr({b})" for a, b in MOVED_POINTS.items())} ELSE CASE WHEN n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533)
+ WHEN {DROPPED} THEN '' ELSE chr(n::INTEGER) END END"""
+NUMBER = """CASE WHEN regexp_matches(u, '^&#[xX]') THEN coalesce(try_cast('0x' || regexp_extract(u, '[0-9a-fA-F]+', 0, 'i') AS BIGINT), 2000000)
+ WHEN starts_with(u, '&#') AND length(u) > 2 THEN coalesce(try_cast(regexp_extract(u, '[0-9]+') AS BIGINT), 2000000) END"""
 #: Texts of pages cut by line and by innermost language: an element ends at the first end of its name that balances.
 PAGE_PIECES = f"""pt AS (SELECT page_id, m, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT page_id, m, regexp_extract_all(m,
      '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>|[^<]+') AS t FROM (SELECT page_id, {MARKED} AS m FROM pages))),
@@ -124,7 +135,11 @@ PAGE_PIECES = f"""pt AS (SELECT page_id, m, unnest(t) AS w, generate_subscripts(
  pd AS (SELECT po.page_id, po.i, po.lang, n.i AS j, n.ends, sum(CASE WHEN n.ends THEN -1 ELSE 1 END) OVER (PARTITION BY po.page_id, po.i ORDER BY n.i) AS depth
    FROM po JOIN pn n ON n.page_id = po.page_id AND n.name = po.name AND n.i > po.i),
  pr AS (SELECT po.page_id, po.i AS a, coalesce(min(j) FILTER (WHERE ends AND depth = -1), 1000000000) AS b, po.lang FROM po LEFT JOIN pd USING (page_id, i) GROUP BY ALL),
- ps AS (SELECT page_id, i, block, CASE WHEN block THEN chr(10) WHEN tag THEN '' ELSE {UNESCAPED} END AS s FROM pn),
+ er(u, said) AS (VALUES {NAMED_REFERENCES}),
+ eu AS (SELECT page_id, i, unnest(us) AS u, generate_subscripts(us, 1) AS k FROM (SELECT page_id, i, regexp_extract_all(w, {D.quoted(REFERENCE)}) AS us FROM pn WHERE NOT tag)),
+ en AS (SELECT *, {NUMBER} AS n FROM eu),
+ es AS (SELECT page_id, i, replace(string_agg(CASE WHEN n IS NOT NULL THEN {POINT} ELSE coalesce(said, u) END, '' ORDER BY k), chr(10), ' ') AS s FROM en LEFT JOIN er USING (u) GROUP BY ALL),
+ ps AS (SELECT page_id, i, block, CASE WHEN block THEN chr(10) WHEN tag THEN '' ELSE s END AS s FROM pn LEFT JOIN es USING (page_id, i)),
  px AS (SELECT page_id, i, block, s, coalesce(sum(length(s)) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS spot,
    coalesce(sum(CASE WHEN block THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i), 0)::INTEGER AS line_no FROM ps),
  pl AS (SELECT px.page_id, px.i, s, spot, line_no, {PAGE_MIXED.replace('page_id', 'px.page_id')} AS mixed, arg_max(lang, a) AS lang

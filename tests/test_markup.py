@@ -73,3 +73,27 @@ def test_rules(spark):
     assert r("markup_only", False, None, None, "ru", None) == ("ru", None)
     assert r("markup_only", False, None, None, None, "de") == ("en", "en")
     assert r("markup_only", True, "de", None, None, "en") == ("de", "de")
+
+
+def test_references_in_the_sql(spark, tmp_path):
+    """The SQL of resolve_language reads character references as the scan does: bare ones, prefixes of names, numbers."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from logoscope.plans import catalog
+
+    said = [
+        "Of that*** ing&amp;&amp;&amp", "a&ampb &notit; &copyx &am &quo &zwnj;c", "&#65;&#x42;c &#x41 &#128; &#1;d &#xD800;e &#1114112; &#99999999999999999999; &# &#x; &",
+        "&nbsp;&NewLine;&bne;z &lt;p&gt; &CounterClockwiseContourIntegral; &&amp;amp;",
+    ]
+    html = [f"<html><body><h1>{t}</h1><p lang='de'>{t}<i lang='fr'>und {t}</i> das</p></body></html>" for t in said for _ in range(12)]
+    pq.write_table(pa.table({"page_id": range(len(html)), "html": html}), tmp_path / "pages.parquet")
+    docs = "/root/testdata/sf0.001/documents.parquet"
+    (tmp_path / "documents.parquet").symlink_to(docs)
+    got = catalog.QUERIES["resolve_language"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(catalog.ORACLES["resolve_language"]).fetchall()
+    assert len(want) > len(html) and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
