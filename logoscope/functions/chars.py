@@ -66,6 +66,9 @@ def script_classes() -> dict[str, str]:
 #: Python's white space, as a class body.
 SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+#: The same characters.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 
 @cache
 def letters_class() -> str:
@@ -153,3 +156,8 @@ def char_dimension(spark: SparkSession) -> DataFrame:
 
 def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it: keeps nested rewrites small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -12,17 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logoscope.functions import tables as T
-from logoscope.functions.chars import SPACE, char_names, literal_map, unpronounceable_class
-from logoscope.functions.text import UNUSUAL, trimmed
+from logoscope.functions.chars import SPACE, bound, char_class, char_names, emoji_chars, literal_map, ranges, unpronounceable_class, unpronounceable_ranges
+from logoscope.functions.text import USUAL, trimmed
 
 TOKEN = rf":[^{SPACE}:]+:"
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it: keeps nested rewrites small."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def replaced(text: Column, pattern: str, word) -> Column:
     """``text`` with ``word(match)`` for every match of ``pattern``."""
 
@@ -41,6 +36,11 @@ def _alternatives(items) -> str:
     return "|".join(re.escape(x) for x in sorted(items, key=lambda x: (-len(x), x)))
 
 
+def _firsts(items) -> str:
+    """A class of the first characters: a cheap test of a position, ahead of all alternatives."""
+    return char_class(ranges(sorted({ord(x[0]) for x in items})))
+
+
 def emoji_pattern(names: dict[str, str]) -> str:
     return _alternatives(names)
 
@@ -54,7 +54,7 @@ def expand_emojis(text: Column, lang: str = "en", names: dict[str, dict[str, str
     lookup = literal_map({k: ":" + v.replace(" ", "_") + ":" for k, v in table.items()})
     word = lambda t: replaced(t, pattern, lambda m: lookup[m])
     spoken = replaced(word(text), TOKEN, lambda m: F.concat(F.lit(" "), F.translate(F.substring(m, F.lit(2), F.length(m) - 2), "_", " "), F.lit(" ")))
-    return F.when(text.rlike(pattern), trimmed(single_spaced(spoken))).otherwise(text)
+    return F.when(text.rlike(_firsts(table)) & text.rlike(pattern), trimmed(single_spaced(spoken))).otherwise(text)
 
 
 def expand_emoji_char(c: Column, lang: str = "en", names: dict[str, dict[str, str]] | None = None) -> Column:
@@ -69,9 +69,10 @@ WORD = r"[\p{L}\p{N}_]"
 def expand_emoticons(text: Column) -> Column:
     """Emoticons that touch no word character as words; spaces are tidied in any case."""
     table = T.EMOTICONS
-    pattern = f"(?<!{WORD})(?:{_alternatives(table)})(?!{WORD})"
+    pattern = f"(?={_firsts(table)})(?<!{WORD})(?:{_alternatives(table)})(?!{WORD})"
     lookup = literal_map({k: f" {v} " for k, v in table.items()})
-    return trimmed(single_spaced(replaced(text, pattern, lambda m: lookup[m])))
+    said = lambda t: F.when(t.rlike(pattern), replaced(t, pattern, lambda m: lookup[m])).otherwise(t)
+    return trimmed(single_spaced(bound(text, said)))
 
 
 def expand_unpronounceable(text: Column, names: dict[str, str], lang: str = "en", emojis: bool = True) -> Column:
@@ -79,6 +80,8 @@ def expand_unpronounceable(text: Column, names: dict[str, str], lang: str = "en"
     " name "; invisible ones (name '') go, unnamed ones stay. Emoji go first. Spaces are tidied, but not at the ends."""
     if emojis:
         return bound(expand_emojis(text, lang), lambda t: expand_unpronounceable(t, names, lang, emojis=False))
+    odd = unpronounceable_ranges(emoji_chars())
+    said_of = sorted(ord(c) for c in names if len(c) == 1 and any(a <= ord(c) <= b for a, b in odd))
     if not names:
         return text
     lookup = literal_map(names)
@@ -88,8 +91,10 @@ def expand_unpronounceable(text: Column, names: dict[str, str], lang: str = "en"
         said = F.when(n > 1, F.concat(F.lit(" "), n.cast("string"), F.lit(" "), name, F.lit(" characters "))).otherwise(F.concat(F.lit(" "), name, F.lit(" ")))
         return F.when(name.isNull(), run).when(name == "", F.lit("")).otherwise(said)
 
-    done = single_spaced(replaced(text, f"(?={UNUSUAL})({unpronounceable_class()})\\1*", word))
-    return F.when(text.rlike(f"(?={UNUSUAL}){unpronounceable_class()}"), done).otherwise(text)
+    # Only characters with a name change. The class of all is long, so it is held against what is left without the usual ones.
+    done = single_spaced(replaced(text, f"({char_class(ranges(said_of))})\\1*", word) if said_of else text)
+    rest = F.regexp_replace(text, f"{USUAL}+", "")
+    return F.when(rest.rlike(unpronounceable_class()), done).otherwise(text)
 
 
 def names_in(rows: DataFrame, text_col: str, verbosity: str = "brief", lang: str = "en", custom: dict[str, str] | None = None) -> dict[str, str]:
@@ -98,10 +103,10 @@ def names_in(rows: DataFrame, text_col: str, verbosity: str = "brief", lang: str
     names = char_names(verbosity, lang) | {c: n for c, n in (custom or {}).items() if n}
     if verbosity == "brief":
         names |= {c: "" for c, n in char_names(verbosity, lang).items() if n == ""}
-    odd = rows.where(F.col(text_col).rlike(UNUSUAL)).select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"(?={UNUSUAL}){unpronounceable_class()}"), F.lit(0)))).alias("c")
-    )
-    found = [r.c for r in odd.distinct().collect()]
+    # Distinct characters first: the long class is held against each of them once.
+    some = rows.select(F.explode(F.split(F.regexp_replace(F.col(text_col), f"{USUAL}+", ""), "")).alias("c")).distinct()
+    odd = some.where(F.col("c").rlike(f"^{unpronounceable_class()}$"))
+    found = [r.c for r in odd.collect()]
     return {c: names[c] for c in found if c in names}
 
 

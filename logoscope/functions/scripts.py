@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logoscope.functions import tables as T
-from logoscope.functions.chars import script_classes
+from logoscope.functions.chars import bound, script_classes
 
 #: No character below this belongs to another script than Latin: cheap test, and what is cut before counting.
 BEYOND, BELOW = r"[\x{250}-\x{10ffff}]", r"[\x{0}-\x{24f}]+"
@@ -16,23 +16,23 @@ COUNTS = "array<struct<script:string,n:int,first:int>>"
 
 
 def letters_total(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(LETTERS))
+    return F.length(F.regexp_replace(text, f"[^{LETTERS[1:]}+", ""))
 
 
 def script_counts(text: Column) -> Column:
     """(script, n, first) of every script but Latin that occurs; first orders scripts by where they begin."""
-    rest = F.regexp_replace(text, BELOW, "")
-    found = F.array(*[
+    found = lambda rest: F.array(*[
         F.struct(F.lit(s).alias("script"), F.regexp_count(rest, F.lit(c)).alias("n"), F.regexp_instr(rest, F.lit(c)).alias("first"))
         for s, c in sorted(script_classes().items()) if s != "LATIN"
     ])
-    return F.when(text.rlike(BEYOND), F.filter(found, lambda x: x["n"] > 0)).otherwise(F.array().cast(COUNTS))
+    beyond = bound(F.regexp_replace(text, BELOW, ""), lambda rest: F.filter(found(rest), lambda x: x["n"] > 0))
+    return F.when(text.rlike(BEYOND), beyond).otherwise(F.array().cast(COUNTS))
 
 
 def dominant_script(text: Column) -> Column:
     """The most frequent script but Latin (of equals the first to occur) if half of the letters are of it; else null."""
     order = F.array_min(F.transform(script_counts(text), lambda x: F.struct((-x["n"]).alias("n"), x["first"].alias("first"), x["script"].alias("script"))))
-    return F.when(-order["n"] >= LEAST_SHARE * letters_total(text), order["script"])
+    return bound(order, lambda o: F.when(-o["n"] >= LEAST_SHARE * letters_total(text), o["script"]))
 
 
 def char_script(c: Column) -> Column:

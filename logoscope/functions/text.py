@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logoscope.functions import tables as T
-from logoscope.functions.chars import SPACE, char_class, invisible_class, unpronounceable_class
+from logoscope.functions.chars import SPACE, SPACES, char_class, invisible_class, unpronounceable_class
 
 #: Tokens that look like paths, flags, assignments, dotted names, identifiers, numbers or shell operators (fixed value).
 NOISE = r"^(?:[/~]|--?\w|\w+[=:]\S|\w+\.\w+\.\w+|\w+[_]\w+|\d[\d.]*|[<>|&;$(){}\[\]])"
@@ -21,7 +21,7 @@ WHOLE_WORDS = 30
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
@@ -73,12 +73,12 @@ def is_pronounceable(c: Column) -> Column:
     return ~c.rlike(f"^{unpronounceable_class()}$")
 
 
-#: What is not among the characters read aloud, as a class of few ranges: a cheap look ahead of the large class.
-UNUSUAL = char_class(T.READ_ALOUD, negated=True)
+#: The characters read aloud, as a class of few ranges: their runs are cut before the large class is held against the rest.
+USUAL = char_class(T.READ_ALOUD)
 
 
 def needs_expansion(c: Column) -> Column:
-    return c.rlike(f"(?={UNUSUAL}){unpronounceable_class()}")
+    return F.regexp_replace(c, f"{USUAL}+", "").rlike(unpronounceable_class())
 
 
 def mixed_eligible(c: Column, languages: Column, most: int = MIXED_MOST) -> Column:
