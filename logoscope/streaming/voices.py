@@ -26,7 +26,9 @@ def voiced_at(rows: DataFrame, versions: DataFrame, at: str, other: str = "calle
 
     ``other`` where there is none: no version by then, a language that the version in force lacks, an empty voice name, or a
     null tenant, language or time. Of several rows of one version and language the smallest counts."""
-    known = versions.where("tenant IS NOT NULL AND since IS NOT NULL")
+    # dealt out before they are grouped: small files of many rows are read in few tasks
+    parts = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = versions.where("tenant IS NOT NULL AND since IS NOT NULL").repartition(parts, "tenant")
     times = known.groupBy("tenant").agg(F.array_sort(F.collect_set("since")).alias("__times"))
     held = known.where("voice_name IS NOT NULL AND voice_name <> '' AND lang IS NOT NULL")
     held = held.groupBy("tenant", "lang", F.col("since").alias("__version")).agg(F.min(F.struct(*FIELDS)).alias("__voice"))
