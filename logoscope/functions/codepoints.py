@@ -18,7 +18,7 @@ from logoscope.functions.text import SHORT_CAPITALS
 LETTER, SEPARATOR, COUNTED, SPACE, STABLE, CASED = 1, 2, 4, 8, 16, 32
 BLANK = 32
 #: Bytes of texts that are looked at together; a longer text is looked at alone.
-SLICE = 1 << 21
+SLICE = 1 << 18
 LEAST_SHARE = 0.5
 _tables: Tables | None = None
 

@@ -106,21 +106,22 @@ def scores_udf(spark: SparkSession, packed: Packed):
     return F.arrow_udf(C.in_slices(score), "array<struct<lang:string,score:long,conf:double>>")
 
 
+def best(model: Packed, texts: list[str]) -> pa.StructArray:
+    """SCORE of texts in lower case, null for one without letters."""
+    if not model.languages:
+        return pa.nulls(len(texts), pa.struct([("lang", pa.string()), ("conf", pa.float64())]))
+    sums, grams = model.sums(*C.flatten(texts), len(texts))
+    shares = model.shares(sums)
+    top = sums.argmax(1)
+    found = pa.array(model.languages, pa.string()).take(pa.array(top))
+    return pa.StructArray.from_arrays([found, pa.array(shares[np.arange(len(top)), top])], ["lang", "conf"], mask=pa.array(grams == 0))
+
+
 def scorer(spark: SparkSession, packed: Packed) -> Scorer:
     """The model as a scorer; of equal scores the first language by code counts."""
     shared = spark.sparkContext.broadcast(packed)
 
-    def score(texts: pa.Array) -> pa.Array:
-        model = shared.value
-        sums, grams = model.sums(*C.flatten(C.lowered(texts)), len(texts))
-        if not model.languages:
-            return pa.nulls(len(texts), pa.struct([("lang", pa.string()), ("conf", pa.float64())]))
-        shares = model.shares(sums)
-        best = sums.argmax(1)
-        found = pa.array(model.languages, pa.string()).take(pa.array(best))
-        return pa.StructArray.from_arrays([found, pa.array(shares[np.arange(len(best)), best])], ["lang", "conf"], mask=pa.array(grams == 0))
-
-    return F.arrow_udf(C.in_slices(score), SCORE)
+    return F.arrow_udf(C.in_slices(lambda texts: best(shared.value, C.lowered(texts))), SCORE)
 
 
 def checked(spark: SparkSession, score: Scorer) -> Scorer:
