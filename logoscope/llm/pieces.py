@@ -29,19 +29,22 @@ def char_classes() -> np.ndarray:
     return _classes
 
 
-def boundaries(text: str) -> np.ndarray:
-    """Starts of the matches of PATTERN in ``text``, and its length as the last element."""
+def boundaries(text: str, heads: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the matches of PATTERN in ``text``, and its length as the last element. Where ``heads`` are given, a text of
+    its own begins at each of these offsets."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(cp)
     if not n:
         return np.zeros(1, np.int64)
     kind = char_classes()[cp]
-    start = np.empty(n, bool)
-    start[0] = True
-    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    head = np.zeros(n + 2, bool)
+    head[[0, n, n + 1]] = True
+    if heads is not None:
+        head[heads] = True
+    start = head[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
     # a run of white space before another character gives up its last character; a plain space joins what follows
-    after = np.flatnonzero(start & (kind != SPACE))
-    after = after[after > 0]
+    after = np.flatnonzero(start & ~head[:n] & (kind != SPACE))
     after = after[kind[after - 1] == SPACE]
     start[after - 1] = True
     joined = after[cp[after - 1] == 32]
@@ -49,10 +52,10 @@ def boundaries(text: str) -> np.ndarray:
     # contractions: an apostrophe that is a match of its own takes one or two letters with it
     tick = np.flatnonzero(cp == 39)
     if len(tick):
-        tick = tick[start[tick] & (tick + 1 < n)]
+        tick = tick[start[tick] & ~head[tick + 1]]
         tick = tick[kind[tick + 1] == LETTER]
         one = cp[tick + 1]
-        two = np.where(tick + 2 < n, cp[np.minimum(tick + 2, n - 1)], 0)
+        two = np.where(head[tick + 2], 0, cp[np.minimum(tick + 2, n - 1)])
         short = np.isin(one, [ord(c) for c in "stmd"])
         long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
         start[tick[short | long] + 1] = False

@@ -6,7 +6,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +14,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logoscope.llm import sstable
-from logoscope.llm.bpe import Remembered
-from logoscope.llm.pieces import PATTERN, pieces
+from logoscope.llm.known_pieces import Known, spread
+from logoscope.llm.pieces import PATTERN, boundaries, pieces
 from logoscope.llm.shared import new_path, partitions, remembered
 
 #: A file is closed after the document that takes it to this size.
 FILE_BYTES = 128 << 20
 #: Entries of a batch that a reader hands to Spark.
 BATCH_ROWS = 10_000
+#: Matches that go to the tokenizers library as one text.
+LINES = 100
 
 
 class Encoder:
@@ -38,33 +40,60 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.line = self._library(["\n"])[0]
         sample = f"It's  the 1st\n\n of 'em,\té² {PATTERN}"
-        whole = self.library.encode(sample, add_special_tokens=False).ids
-        parts = [e.ids for e in self.library.encode_batch(pieces(sample), add_special_tokens=False)]
-        self.by_piece = "ByteLevel" in repr(self.library.pre_tokenizer) and whole == list(chain.from_iterable(parts))
-        self.cache = Remembered(None)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        every = np.fromiter(chain.from_iterable(ids), self.type).tobytes()
-        ends = [0, *accumulate(len(x) * self.type.itemsize for x in ids)]
-        return [every[a:b] for a, b in pairwise(ends)]
+        whole = self._library([sample])[0].tolist()
+        parts = self._ask(pieces(sample))[0].tolist()
+        self.by_piece = "ByteLevel" in repr(self.library.pre_tokenizer) and whole == parts
+        self.cache = Known(self._ask, self.type)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of the pattern, one after the other, and the number of each. Those that don't end in white space go
+        to the library as lines of a text: they are its matches again, and the id of a line's end is none of theirs."""
+        texts, lines = [], []
+        for blank, run in groupby(matches, lambda x: x[-1].isspace() or len(self.line) != 1):
+            run = list(run)
+            step = 1 if blank else LINES
+            texts += ["\n".join(run[i : i + step]) for i in range(0, len(run), step)]
+            lines += [0 if blank else len(run[i : i + step]) for i in range(0, len(run), step)]
+        ids, counts = self._library(texts), []
+        for i, n in enumerate(lines):
+            if n:
+                ends = np.flatnonzero(ids[i] == self.line)
+                counts.append(np.diff(ends, prepend=-1, append=len(ids[i])) - 1)
+                ids[i] = np.delete(ids[i], ends)
+            else:
+                counts.append([len(ids[i])])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _found(self, texts: list[str]):
+        """(pool, at, n) of ``Known.look_up`` for the matches in ``texts``, and the first match of each text, the end last."""
+        text = "".join(texts)
+        heads = np.fromiter(accumulate(map(len, texts), initial=0), np.int64, len(texts) + 1)
+        cut = boundaries(text, heads)
+        first = np.searchsorted(cut, heads)
+        raw = np.frombuffer(text.encode() + bytes(16), np.uint8)
+        if len(raw) - 16 > len(text):
+            cut = np.append(np.flatnonzero(raw[:-16] & 0xC0 != 0x80), len(raw) - 16)[cut]
+        return *self.cache.look_up(raw, cut[:-1], np.diff(cut)), first
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        if not self.by_piece:
+            return [len(x) for x in self._library(texts)]
+        _, _, n, first = self._found(texts)
+        return np.diff(np.append(0, np.cumsum(n))[first]).tolist()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
-            return self._library(texts)
-        cut = [pieces(t) for t in texts]
-        if len(self.cache) >= self.cache.limit:
-            self.cache.old = dict(self.cache)
-            self.cache.clear()
-        known, old = self.cache, self.cache.old
-        new = [p for p in set().union(*cut) if p not in known]
-        known.update((p, old[p]) for p in new if p in old)
-        ask = [p for p in new if p not in old]
-        known.update(zip(ask, self._library(ask), strict=True))
-        found = [b"".join(map(known.__getitem__, x)) for x in cut]
-        known.forget_long(new)
-        return found
+            return [x.tobytes() for x in self._library(texts)]
+        pool, at, n, first = self._found(texts)
+        ends = np.append(0, np.cumsum(n))[first] * self.type.itemsize
+        every = spread(pool, at, n).tobytes()
+        return [every[a:b] for a, b in pairwise(ends.tolist())]
 
 
 def encoder(path: str) -> Encoder:
@@ -74,7 +103,8 @@ def encoder(path: str) -> Encoder:
     return held[path]
 
 
-def _in_turn(coder: Encoder, batches, chars: int = 1 << 19):
+def _in_turn(encode, batches, chars: int = 1 << 19):
+    """(id, result of ``encode``) of each row, as many texts at once as have about so many characters."""
     ids, texts, held = [], [], 0
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -83,9 +113,9 @@ def _in_turn(coder: Encoder, batches, chars: int = 1 << 19):
             texts.append(text)
             held += len(text)
             if held >= chars:
-                yield from zip(ids, coder.encode_many(texts), strict=True)
+                yield from zip(ids, encode(texts), strict=True)
                 ids, texts, held = [], [], 0
-    yield from zip(ids, coder.encode_many(texts), strict=True)
+    yield from zip(ids, encode(texts), strict=True)
 
 
 def _store(uri: str):
@@ -124,7 +154,7 @@ def write_tables(
         end = b"" if end_id is None else np.array([end_id], coder.type).tobytes()
         store, base = _store(out)
         store.create_dir(base, recursive=True)
-        rows = _in_turn(coder, batches)
+        rows = _in_turn(coder.encode_many, batches)
         for head in rows:
             first = head[0]
             name = f"{uuid.uuid4().hex}.sst"
@@ -201,7 +231,7 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: st
     def run(batches):
         coder = encoder(tokenizer)
         for b in batches:
-            counts = [len(ids) // coder.type.itemsize + end for _, ids in _in_turn(coder, [b])]
+            counts = [n + end for _, n in _in_turn(coder.counts, [b])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["id", "n_tokens"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))

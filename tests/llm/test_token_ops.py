@@ -11,11 +11,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logoscope.llm import bpe, sstable, token_shards
-from logoscope.llm.pieces import PATTERN, pieces
+from logoscope.llm.pieces import PATTERN, boundaries, pieces
 from logoscope.llm.shared import new_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
 TEXTS = ["It's the 1st\n\n 'll  \té²", None, "", "漢字 かな", "x" * 3000 + " " * 500 + "ab" * 2000, "It's the 1st\n\n 'll  \té²", "<|endoftext|> a"]
 
 
@@ -151,3 +152,35 @@ def test_caches_are_bounded(monkeypatch):
             assert [coder.encode_many([t])[0] for t in texts] == want
         assert max(map(len, coder.cache.keys() | coder.cache.old.keys())) <= bpe.KEPT_CHARS
         assert len(coder.cache) + len(coder.cache.old) < 3000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aé1²٣ \n\t' stmdrevl!?_-漢ʼ😀\0"), max_size=40), max_size=8))
+def test_texts_are_cut_and_encoded_together(texts):
+    """Many texts are cut at once, as if each were alone; counts need no ids."""
+    at = np.cumsum([0, *map(len, texts)])
+    alone = [a + s for a, t in zip(at.tolist(), texts, strict=False) for s in boundaries(t)[:-1].tolist()]
+    assert boundaries("".join(texts), at).tolist() == [*alone, at[-1]]
+    coder = token_shards.encoder(TOKENIZER)
+    want = [e.ids for e in coder.library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, coder.type).tolist() for x in coder.encode_many(texts)] == want
+    assert coder.counts(texts) == list(map(len, want))
+
+
+def test_matches_are_asked_once(monkeypatch):
+    """Words that come again are not asked for again, also beyond the 120,000 that a dictionary had room for, through growth
+    of the table, two generations, and keys that agree but for length, zero bytes or what follows 15 bytes."""
+    coder = token_shards.Encoder(TOKENIZER)
+    asked, library = [], coder._library
+    monkeypatch.setattr(coder, "_library", lambda texts: asked.extend(texts) or library(texts))
+    texts = [" ".join(f"{a}{b}{c}" for b in "bcdfghjklmnp" for c in WORDS) for a in WORDS[:150]]
+    texts += ["a\0 a a\0\0", "é" * 7 + "!" + "é" * 8, "x" * 15 + " " + "x" * 15 + "y " + "x" * 64 + " " + "x" * 90, " \n\n  \t\r\n"]
+    for t in texts:
+        coder.encode_many([t])
+    assert len(coder.cache) > 150_000
+    asked.clear()
+    want = [coder.library.encode(t, add_special_tokens=False).ids for t in texts[::29] + texts[-4:]]
+    assert [np.frombuffer(coder.encode_many([t])[0], coder.type).tolist() for t in texts[::29] + texts[-4:]] == want
+    assert asked == [" " + "x" * 64 + "\n " + "x" * 90]  # only those too long to stay
+    coder.cache.limit = 1000
+    assert [np.frombuffer(coder.encode_many([t])[0], coder.type).tolist() for t in texts[::29] + texts[-4:]] == want
