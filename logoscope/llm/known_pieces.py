@@ -10,8 +10,8 @@ import numpy as np
 WIDTH = 15
 #: Bytes of the longest string that is remembered, and how many short ones take the room of one beyond WIDTH.
 KEPT_BYTES, ROOM = 64, 5
-#: Strings remembered in each of two generations, some 45 bytes each: this bounds a worker's memory whatever the corpus.
-REMEMBERED = 500_000
+#: Strings remembered in each of two generations, some 60 bytes each: this bounds a worker's memory whatever the corpus.
+REMEMBERED = 240_000
 _SIZES = range(WIDTH + 2)
 _LOW = np.array([2 ** (8 * min(s, 8)) - 1 for s in _SIZES[:-1]] + [0], np.uint64)
 _HIGH = np.array([2 ** (8 * max(s - 8, 0)) - 1 for s in _SIZES[:-1]] + [0], np.uint64)

@@ -184,3 +184,13 @@ def test_matches_are_asked_once(monkeypatch):
     assert asked == [" " + "x" * 64 + "\n " + "x" * 90]  # only those too long to stay
     coder.cache.limit = 1000
     assert [np.frombuffer(coder.encode_many([t])[0], coder.type).tolist() for t in texts[::29] + texts[-4:]] == want
+
+
+def test_counts_make_no_ids(monkeypatch):
+    """Packing needs the number of ids of each text only: no list of ids is put together."""
+    coder = token_shards.Encoder(TOKENIZER)
+    texts = [t or "" for t in TEXTS] * 3
+    want = [len(coder.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert coder.encode_many([]) == []
+    monkeypatch.setattr(token_shards, "spread", None)
+    assert coder.counts(texts) == want and coder.counts([]) == []
