@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logoscope.llm.shared import Workspace, remembered, written
+from logoscope.llm.shared import Workspace, give_back, remembered, written
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digit", "symbol", "punctuation", "white",
@@ -71,6 +71,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for b in batches:
             x = [statistics(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "x"])
+        b = None
+        give_back()
 
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"id {kind}, x array<double>")
 
@@ -207,7 +209,8 @@ def keep_good(
     docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
     """The rows of ``docs`` with a score of at least ``least``, columns unchanged: scored where they lie, without a join or
-    shuffle of texts. The model is that of ``quality_scores``; rows with a null id are scored like others."""
+    shuffle of texts. The model is that of ``quality_scores``; rows with a null id are scored like others. The result is
+    a table of the shared folder, as a caller who writes it would hand texts to Python ten thousand at a time."""
     with Workspace(docs.sparkSession, "quality") as tables:
         stats = tables.written(measured(docs, id_col, text_col), "statistics")
         model = train(tables, stats, labelled_rows(labels, id_col, label_col))
@@ -218,5 +221,7 @@ def keep_good(
         for b in batches:
             x = np.array([statistics(t.as_py() or "") for t in b.column(place)], float).reshape(-1, len(STATISTICS))
             yield b.filter(pa.array(score_of(x, model) >= least))
+        b = None
+        give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return written(docs.mapInArrow(run, docs.schema), "quality-kept")

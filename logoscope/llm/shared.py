@@ -15,8 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Removes the shuffle files of a query when it has ended: what it wrote is all that is read later.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows and bytes of a batch for Python: batches of ten thousand long texts would be held several times over in each worker.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: Rows and bytes of a batch for Python, and rows that a Parquet reader decodes at once: batches of ten thousand long texts
+#: would be held several times over in each worker, and outside the heap of its executor.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 #: Bytes of a row group: what a writing task holds in the executor's heap.
 ROW_GROUP = 32 << 20
 
@@ -100,6 +105,15 @@ class Workspace:
         return written(df, name)
 
 
+def give_back() -> None:
+    """What this Python worker has freed goes back to the system; else an idle worker keeps its largest size."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    system = ctypes.CDLL(None)
+    if hasattr(system, "malloc_trim"):
+        system.malloc_trim(0)
+
+
 _remembered: dict[str, dict] = {}
 
 
@@ -108,11 +122,7 @@ def remembered(kind: str) -> dict:
     has kept is dropped first and its memory goes back to the system: only one kind's tables are held at a time."""
     if _remembered and kind not in _remembered:
         _remembered.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        system = ctypes.CDLL(None)
-        if hasattr(system, "malloc_trim"):
-            system.malloc_trim(0)
+        give_back()
     return _remembered.setdefault(kind, {})
 
 

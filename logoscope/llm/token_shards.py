@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from logoscope.llm import sstable
 from logoscope.llm.known_pieces import Known, spread
 from logoscope.llm.pieces import PATTERN, boundaries, pieces
-from logoscope.llm.shared import new_path, partitions, remembered
+from logoscope.llm.shared import give_back, new_path, partitions, remembered
 
 #: A file is closed after the document that takes it to this size.
 FILE_BYTES = 128 << 20
@@ -100,6 +100,7 @@ def encoder(path: str) -> Encoder:
     held = remembered("tokenizer")
     if path not in held:
         held[path] = Encoder(path)
+        give_back()  # what reading the file took
     return held[path]
 
 
@@ -233,6 +234,8 @@ def token_counts(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: st
         for b in batches:
             counts = [n + end for _, n in _in_turn(coder.counts, [b])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["id", "n_tokens"])
+        b = None
+        give_back()
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens long").withColumnRenamed("id", id_col)

@@ -1,5 +1,6 @@
 """What bounds a task: tenants are dealt out before they become rows, and detection is one pass in Python."""
 
+from logoscope.llm import quality
 from logoscope.operators import detect, ngram
 from logoscope.plans import tenants
 from logoscope.streaming import voices
@@ -27,3 +28,13 @@ def test_detection_is_one_pass_in_python(spark):
     assert plan(found).count("ArrowEvalPython") == 1
     got = {r.i: (r.script_lang, r.lang, r.conf is None, r.words) for r in found.collect()}
     assert got == {1: (None, "en", False, 2), 2: (None, "de", False, 2), 3: ("ru", "ru", True, 1), 5: (None, None, True, 0)}
+
+
+def test_the_quality_filter_has_been_through_python_before_a_caller_writes(spark):
+    """A caller's write would hand texts over in batches of the session's size, here of ten thousand rows."""
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 2 else "!! " * i, i) for i in range(40)] + [(None, None, 0)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = quality.keep_good(docs, labels, 0.0)
+    assert "MapInArrow" not in plan(kept) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert sorted(kept.collect(), key=str) == sorted(docs.collect(), key=str) and kept.schema == docs.schema
