@@ -9,9 +9,12 @@
    slice of their bitmaps is equal: a top node holds the sets of a size range that are equal in a slice. Sets that
    share no top node can't overlap enough, whatever else they hold, and no pair of top nodes need be compared. Top nodes
    with a common set are tied together into candidate groups: every link is inside one. As that holds for any cut of the
-   bitmaps, large groups are cut again in other ways, and fall apart unless links or likeness hold them together.
+   bitmaps, large groups are cut again in other ways, and fall apart unless links or likeness hold them together. It
+   also holds for sets without some members, whichever these are: so large groups are cut without the members that many
+   of their sets have, as the sets with a common line would else be one group that grows with the corpus.
 4. In each candidate group a signature tree finds the links by dual traversal. A large group is cut into chunks, which
-   pivots tie together; what the pivots do not tie is compared with every chunk, so nothing is lost.
+   pivots tie together; what the pivots do not tie is compared with every chunk, so nothing is lost. That takes as many
+   passes as keep the copies of texts below twice the texts of all groups.
 """
 
 from __future__ import annotations
@@ -39,6 +42,10 @@ SAMPLED, MISSED = 48, 1e-12
 REFINED_SETS, SEEDS = 200, 4
 #: Cuts of a bitmap that are tried for one with few empty slices; slices that are gathered before they leave a task.
 ROUNDS, GATHERED = 24, 1 << 20
+#: Members are common if more sets of large groups have them; at most so many, the most frequent, are sent to the tasks.
+COMMON_SETS, COMMON_MEMBERS = 100, 200_000
+#: Empty slices allowed, as shares of the others, in the cuts that are tried first, of sets without common members.
+SPARSE = (0, 0, 0.25, 1, 3)
 _MEMBER, _LEAD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -68,20 +75,32 @@ def cuts(p: int) -> np.ndarray:
     return np.array([-(-(j << 64) // p) for j in range(1, p)], np.uint64)
 
 
-def slices(members: np.ndarray, i: int, num: int, den: int, seed: int = 0):
-    """Hashes of the slices of a set (ascending hashes) in size range i. Cuts are tried in a fixed order until one leaves
-    the set few empty slices; as two sets try the same ones, they meet in the first that suits either. Empty slices are
-    left out but in the last round, which a set only reaches if its similarity is low or its hashes are odd."""
+def attempts(members: np.ndarray, i: int, num: int, den: int, seed: int, common: np.ndarray | None):
+    """(members, p, e, number) of the cuts that a set in size range i tries: first, without its common members."""
     p, e = slicing(i, num, den)
+    if common is not None and len(common):
+        rare = members[common[np.searchsorted(common, members).clip(max=len(common) - 1)] != members]
+        for r, share in enumerate(SPARSE):
+            more = max(e, int(share * (p - e)))
+            yield rare, p - e + more, more, SEEDS * ROUNDS + seed * len(SPARSE) + r
     for r in range(ROUNDS):
-        cut = seed * ROUNDS + r
-        part = members if cut == 0 else np.sort(mixed(members ^ np.uint64(cut)))
+        yield members, p, e, seed * ROUNDS + r
+
+
+def slices(members: np.ndarray, i: int, num: int, den: int, seed: int = 0, common: np.ndarray | None = None):
+    """Hashes of the slices of a set (ascending hashes) in size range i. Cuts are tried in a fixed order until one leaves
+    the set few empty slices; as two sets try the same ones, they meet in the first that suits either. Empty slices are
+    left out but in the last round, which a set only reaches if its similarity is low or its hashes are odd.
+
+    Members in ``common`` (ascending) are left out at first: linked sets differ in no more members without them."""
+    for left, p, e, cut in attempts(members, i, num, den, seed, common):
+        part = left if cut == 0 else np.sort(mixed(left ^ np.uint64(cut)))
         at = np.concatenate([[0], np.searchsorted(part, cuts(p)), [len(part)]])
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(part ^ _MEMBER))])
         salt = mixed(np.array([(i << 16) + cut + 1], np.uint64))
         content = total[at[1:]] - total[at[:-1]]
         held = at[1:] > at[:-1]
-        if r == ROUNDS - 1:
+        if cut == seed * ROUNDS + ROUNDS - 1:
             content = np.where(held, content, np.arange(p, dtype=np.uint64) + np.uint64(1))
             held[:] = True
         yield mixed(content[held] + salt)
@@ -152,7 +171,43 @@ def gathered(top: np.ndarray, node: np.ndarray):
     return np.concatenate([top[first], one, name]), np.concatenate([node[first], tied[0][at], tied[1]])
 
 
-def top_nodes(texts: DataFrame, k: int, num: int, den: int, seed: int = 0) -> DataFrame:
+def named_sets(b: pa.RecordBatch, k: int):
+    """(place, name, set) of the rows (h, text, ...) of a batch; other texts of the same id are passed over."""
+    for at, (name, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+        s = set_of(text.as_py(), k)
+        if np.array([names_of(s)], np.uint64).view(np.int64)[0] == name:
+            yield at, name, s
+
+
+def common_members(tables: Workspace, texts: DataFrame, k: int) -> np.ndarray:
+    """Ascending hashes of members that more than COMMON_SETS of the sets (h, text, ...) have, at most COMMON_MEMBERS."""
+
+    def run(batches):
+        remembered("shingles")
+        held, n = [], 0
+
+        def flush():
+            member, sets = np.unique(np.concatenate(held), return_counts=True)
+            for s in range(0, len(member), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(member[s : s + (1 << 17)].view(np.int64)), pa.array(sets[s : s + (1 << 17)])], ["member", "sets"])
+
+        for b in batches:
+            for _, _, s in named_sets(b, k):
+                held.append(s)
+                n += len(s)
+                if n >= GATHERED:
+                    yield from flush()
+                    held, n = [], 0
+        if n:
+            yield from flush()
+
+    counts = texts.select("h", "text").mapInArrow(run, "member long, sets long").groupBy("member").agg(F.sum("sets").alias("sets"))
+    counts = tables.written(counts.where(F.col("sets") > COMMON_SETS), "common-members")
+    most = counts.orderBy(F.desc("sets"), "member").limit(COMMON_MEMBERS).select("member").toPandas()["member"]
+    return np.sort(most.to_numpy(np.int64).view(np.uint64))
+
+
+def top_nodes(texts: DataFrame, k: int, num: int, den: int, seed: int = 0, common: np.ndarray | None = None) -> DataFrame:
     """(top, node): the top nodes that sets are in, from rows (h, text, cc); those of different cc are apart."""
 
     def run(batches):
@@ -166,15 +221,13 @@ def top_nodes(texts: DataFrame, k: int, num: int, den: int, seed: int = 0) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(t[s : s + (1 << 17)]), pa.array(n[s : s + (1 << 17)])], ["top", "node"])
 
         for b in batches:
-            for name, text, cc in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                s = set_of(text.as_py(), k)
-                if np.array([names_of(s)], np.uint64).view(np.int64)[0] != name:
-                    continue  # another text of the same id
-                i = int(np.searchsorted(starts, len(s), "right")) - 1
+            groups = b.column(2).to_pylist()
+            for at, name, s in named_sets(b, k):
+                i, cc = int(np.searchsorted(starts, len(s), "right")) - 1, groups[at]
                 # as the smaller set of a link, and as the larger one of a link with the range below
                 for j in (i, i - 1):
                     if j >= 0 and slicing(j, num, den)[0] > 1 and len(s) * num <= (int(starts[j + 1]) - 1) * den:
-                        for found in slices(s, j, num, den, seed):
+                        for found in slices(s, j, num, den, seed, common):
                             tops.append(found ^ np.uint64(cc & (1 << 64) - 1))
                             nodes.append((name, len(found)))
                             held += len(found)
@@ -217,24 +270,26 @@ def near_texts(rows: DataFrame, near: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(held) if few else held, "id").select("h", "text")
 
 
-def tied(tables: Workspace, texts: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
+def tied(tables: Workspace, texts: DataFrame, k: int, num: int, den: int, seed: int, common: np.ndarray | None = None) -> DataFrame:
     """(h, cc): sets (h, text, cc) that share top nodes, and new names of their groups, which are parts of the old."""
     upto = Window.partitionBy("top").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = top_nodes(texts.select("h", "text", "cc"), k, num, den, seed).select(F.col("node").alias("a"), F.first("node").over(upto).alias("b"))
+    met = top_nodes(texts.select("h", "text", "cc"), k, num, den, seed, common).select(F.col("node").alias("a"), F.first("node").over(upto).alias("b"))
     ties = tables.written(met.where("a <> b").distinct(), "candidate-ties")
     return components(ties).select(F.col("id").alias("h"), F.col("component").alias("cc"))
 
 
 def candidate_groups(tables: Workspace, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(h, cc): sets that may have a link, and the name of their candidate group."""
-    groups, before = tied(tables, texts.withColumn("cc", F.lit(0).cast("long")), k, num, den, 0), math.inf
+    groups, before, common = tied(tables, texts.withColumn("cc", F.lit(0).cast("long")), k, num, den, 0), math.inf, None
     for seed in range(1, SEEDS):
         large = tables.written(groups.groupBy("cc").agg(F.count("*").alias("sets")).where(F.col("sets") > REFINED_SETS), "groups-to-refine")
         now = large.agg(F.sum("sets")).first()[0] or 0
         if not now or now > 0.8 * before:
             break
         before, held = now, groups.join(large.select("cc"), "cc")
-        parts = tied(tables, texts.join(F.broadcast(held) if now <= BROADCAST_ROWS else held, "h"), k, num, den, seed)
+        held = texts.join(F.broadcast(held) if now <= BROADCAST_ROWS else held, "h")
+        common = common_members(tables, held, k) if common is None else common
+        parts = tied(tables, held, k, num, den, seed, common)
         groups = tables.written(groups.join(large, "cc", "left_anti").select("h", "cc").union(parts), "refined-groups")
     return groups
 
@@ -272,14 +327,21 @@ def links_of(tables: Workspace, texts: DataFrame, near: DataFrame, groups: DataF
     rests = tables.written(rest.groupBy("cc").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("long").alias("rests")), "large-rests")
     if not rests.limit(1).count():
         return links.union(in_chunks)
-    # what pivots have not tied to the group's main part: dealt into shares, and each share meets every chunk
+    # what pivots have not tied to the group's main part: dealt into shares, and each share meets every chunk. A share of
+    # all groups makes about two copies of their texts, so no more shares are taken at once than the texts of all groups
     full = cut.drop("label").join(labels, ["cc", "h"]).join(rests, "cc")
-    every = full.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)))
-    alone = full.join(rest, ["cc", "h"], "left_semi").withColumn("k", F.pmod(F.xxhash64("h", F.lit(3)), F.col("rests")))
-    alone = alone.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    both = every.unionByName(alone).withColumn("k1", F.col("cc")).withColumn("k2", F.col("chunk") * F.col("rests") + F.col("k"))
-    more = tables.written(both.select(columns).groupBy("k1", "k2").applyInPandas(find, "a long, b long"), "links-of-rest")
-    return links.union(in_chunks).union(more)
+    at_once = max(1, candidates // (2 * max(1, cut.count())))
+    share = F.pmod(F.xxhash64("h", F.lit(3)), F.col("rests"))
+    found = links.union(in_chunks)
+    for first in range(0, rests.agg(F.max("rests")).first()[0], at_once):
+        end = F.least(F.col("rests"), F.lit(first + at_once))
+        now = full.where(F.col("rests") > first)
+        every = now.withColumn("k", F.explode(F.sequence(F.lit(first).cast("long"), end - 1)))
+        alone = now.join(rest, ["cc", "h"], "left_semi").withColumn("k", share).where((F.col("k") >= first) & (F.col("k") < end))
+        alone = alone.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        both = every.unionByName(alone).withColumn("k1", F.col("cc")).withColumn("k2", F.col("chunk") * F.col("rests") + F.col("k"))
+        found = found.union(tables.written(both.select(columns).groupBy("k1", "k2").applyInPandas(find, "a long, b long"), "links-of-rest"))
+    return found
 
 
 def near_groups(

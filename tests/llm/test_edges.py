@@ -203,3 +203,56 @@ def test_shared_folder_must_be_named(spark):
     with pytest.raises(ValueError):
         shared_dir(Session)
     assert shared_dir(spark)
+
+
+def test_slices_meet_without_common_members():
+    """Sets of any allowed difference share a top node whatever members count as common: few, most or all."""
+    rng = np.random.default_rng(5)
+    starts = np.array(jaccard_join.ranges(80, 100))
+    for seed in (1, 3):
+        for n in (5, 9, 25, 60, 200, 900):
+            for share in (0.1, 0.5, 0.9, 1):
+                both = rng.integers(0, 2**63, n).astype(np.uint64)
+                cut = int(rng.integers(1, n // 5 + 1))
+                a, b = np.unique(both[: n - cut]), np.unique(np.concatenate([both[: n - cut], rng.integers(0, 2**63, int(rng.integers(1, cut + 1))).astype(np.uint64)]))
+                if 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+                    continue
+                common = np.unique(np.concatenate([rng.choice(both, int(share * n), replace=False), rng.integers(0, 2**63, 50).astype(np.uint64)]))
+                tops = []
+                for s in (a, b):
+                    i = int(np.searchsorted(starts, len(s), "right")) - 1
+                    tops.append({x for j in (i, i - 1) if j >= 0 and jaccard_join.slicing(j, 80, 100)[0] > 1 for f in jaccard_join.slices(s, j, 80, 100, seed, common) for x in f.tolist()})
+                assert tops[0] & tops[1]
+
+
+@pytest.mark.parametrize("refined", [20, 10**6])
+def test_a_common_line_makes_no_large_group(spark, monkeypatch, refined):
+    """Pairs of near copies, all with one line: cut again they are small groups; where large groups are left as they are,
+    the texts that pivots don't tie are taken in passes, which make a bounded number of copies each."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    line, rows = " ".join(word() for _ in range(18)), []
+    for i in range(300):
+        words = [word() for _ in range(rng.randint(52, 56))]
+        rows += [(2 * i, f"{line}\n{' '.join(words)}"), (2 * i + 1, f"{line}\n{' '.join([*words[:-1], word()])}")]
+    for name, value in (("REFINED_SETS", refined), ("COMMON_SETS", 30), ("CHUNK_SETS", 15)):
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    largest, copies, plain_groups, plain_written = [], [], jaccard_join.candidate_groups, jaccard_join.Workspace.written
+
+    def groups(*args):
+        found = plain_groups(*args)
+        largest.append(found.groupBy("cc").count().agg(F.max("count")).first()[0])
+        return found
+
+    def written(self, df, name):
+        copies.append(name)
+        return plain_written(self, df, name)
+
+    monkeypatch.setattr(jaccard_join, "candidate_groups", groups)
+    monkeypatch.setattr(jaccard_join.Workspace, "written", written)
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+    if refined == 20:
+        assert largest[0] <= 20
+    else:
+        assert largest[0] > 60 and copies.count("links-of-rest") > 1
