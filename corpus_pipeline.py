@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logoscope.llm import exact_dedup, jaccard_join, packing, pii, quality, token_shards
 from logoscope.llm.queries import id_remainder
-from logoscope.llm.shared import written
+from logoscope.llm.shared import discard, new_path, save
 
 #: Documents with a lower calibrated score go.
 LEAST_QUALITY = 0.5
@@ -67,8 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. A stage's table is deleted when the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        docs = save(stage(spark, docs, sf_dir), path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,6 +27,8 @@ FEATURES, WIDTH, RIDGE, SEED = 192, 4.0, 1e-4, 20
 CELLS, SUMS = 1000, 16
 #: Labelled rows of which statistics enter the fit at most: a bounded sample by hash, evenly over all rows.
 MAX_FIT = 2_000_000
+#: Rows that go, up to this number, are broadcast as (id, hash of the text) to take them out; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
 _KIND[ord("A") : ord("Z") + 1] = 2
@@ -208,20 +210,25 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(
     docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
 ) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``least``, columns unchanged: scored where they lie, without a join or
-    shuffle of texts. The model is that of ``quality_scores``; rows with a null id are scored like others. The result is
-    a table of the shared folder, as a caller who writes it would hand texts to Python ten thousand at a time."""
+    """The rows of ``docs`` with a score of at least ``least``, columns unchanged: scored where they lie. The model is that
+    of ``quality_scores``; rows with a null id are scored like others. What goes is a table of the shared folder, of ids and
+    hashes of texts, and is taken out when the result is read: so no copy of the texts that stay is left there, and a caller
+    who writes the result hands no texts to Python. Rows of one id and text have one score and go or stay together."""
     with Workspace(docs.sparkSession, "quality") as tables:
         stats = tables.written(measured(docs, id_col, text_col), "statistics")
         model = train(tables, stats, labelled_rows(labels, id_col, label_col))
-    place = docs.columns.index(text_col)
 
     def run(batches):
         remembered("statistics")
         for b in batches:
-            x = np.array([statistics(t.as_py() or "") for t in b.column(place)], float).reshape(-1, len(STATISTICS))
-            yield b.filter(pa.array(score_of(x, model) >= least))
+            x = np.array([statistics(t.as_py() or "") for t in b.column(2)], float).reshape(-1, len(STATISTICS))
+            goes = pa.array(~(score_of(x, model) >= least))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["__gone", "__text"]).filter(goes)
         b = None
         give_back()
 
-    return written(docs.mapInArrow(run, docs.schema), "quality-kept")
+    named, hashed = docs[f"`{id_col}`"], F.xxhash64(docs[f"`{text_col}`"])
+    rows = docs.select(named.alias("__gone"), hashed.alias("__text"), docs[f"`{text_col}`"].alias("__whole"))
+    gone = written(rows.mapInArrow(run, f"__gone {docs.schema[id_col].dataType.simpleString()}, __text long"), "quality-gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, named.eqNullSafe(gone["__gone"]) & (hashed == gone["__text"]), "left_anti")

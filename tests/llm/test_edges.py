@@ -256,3 +256,37 @@ def test_a_common_line_makes_no_large_group(spark, monkeypatch, refined):
         assert largest[0] <= 20
     else:
         assert largest[0] > 60 and copies.count("links-of-rest") > 1
+
+
+def test_pipeline_leaves_no_copies_of_texts(spark, tmp_path, monkeypatch):
+    """What the quality filter leaves in the shared folder are the rows that go; of the stages' tables only the last stays."""
+    import corpus_pipeline
+
+    from logoscope.llm import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = corpus_pipeline.keep_quality(spark, docs, sf_dir)
+    assert kept.count() > 0.5 * docs.count()
+    left = sum(p.stat().st_size for p in tmp_path.rglob("part-*"))
+    assert 0 < left < 0.1 * docs.agg(F.sum(F.length("text"))).first()[0]
+    assert corpus_pipeline.run(spark, sf_dir).count()
+    assert [p.name.rpartition("-")[0] for p in (tmp_path / "logoscope").glob("stage-*")] == ["stage-pii"]
+
+
+def test_quality_filter_takes_out_rows_by_shuffle(spark, monkeypatch):
+    """Rows of a null or repeated id go or stay by their own text, whichever way they are taken out."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    good, bad = (lambda: " ".join(word() for _ in range(30)) + "."), (lambda: (word() + "!! ") * 30)
+    rows = [(i, good() if i % 3 else bad()) for i in range(300)]
+    odd = [(None, good()), (None, bad()), (7, good()), (7, bad()), (None, None), (8, None), (8, "")]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + odd + odd[:2], "doc_id long, text string")
+    few = sorted(map(str, quality.keep_good(docs, labels, 0.5).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, quality.keep_good(docs, labels, 0.5).collect())) == few
+    assert len(few) == quality.quality_scores(docs, labels).where("score >= 0.5").count()
+    for row, stays in zip(odd[:4], (2, 0, 1, 0), strict=True):
+        assert few.count(f"Row(doc_id={row[0]}, text={row[1]!r})") == stays
