@@ -180,7 +180,10 @@ def named_sets(b: pa.RecordBatch, k: int):
 
 
 def common_members(tables: Workspace, texts: DataFrame, k: int) -> np.ndarray:
-    """Ascending hashes of members that more than COMMON_SETS of the sets (h, text, ...) have, at most COMMON_MEMBERS."""
+    """Ascending hashes of members that more than COMMON_SETS of the sets (h, text, ...) have, at most COMMON_MEMBERS.
+
+    A task reads all its sets and names the members that two or more of them have: those of one set in a task, which are
+    most, make no rows, and don't count. What is found only steers how groups are cut; links meet whatever is in it."""
 
     def run(batches):
         remembered("shingles")
@@ -188,6 +191,7 @@ def common_members(tables: Workspace, texts: DataFrame, k: int) -> np.ndarray:
 
         def flush():
             member, sets = np.unique(np.concatenate(held), return_counts=True)
+            member, sets = member[sets > 1], sets[sets > 1]
             for s in range(0, len(member), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(member[s : s + (1 << 17)].view(np.int64)), pa.array(sets[s : s + (1 << 17)])], ["member", "sets"])
 
